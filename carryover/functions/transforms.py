@@ -142,32 +142,28 @@ def basename_rewrite(path: Column, root: str) -> Column:
     return F.when(path.isNull() | (path == ""), path).otherwise(F.concat(F.lit(root), basename(path)))
 
 
+def resolve_segments(path: Column) -> Column:
+    """An absolute path with ``.``, ``..`` and doubled separators resolved."""
+    segments = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda acc, s: F.when(s != "..", F.concat(acc, F.array(s)))
+        .when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def context_rewrite(path: Column, marker: str, root: str) -> Column:
     """``<anything><marker>/<context>/<tail>`` becomes ``<root>/<tail>``.
 
-    ``.`` and ``..`` segments are resolved first; a tail that would climb above
-    the root gives NULL, as does a path without the marker and a context.
+    The result is resolved first and must lie at or below ``root``; a tail that
+    climbs out gives NULL, as does a path without the marker and a context.
     """
-    pattern = f"^(?s:.*?){marker}/([^/]+)(/(?s:.*))?$"
-    matched = F.regexp_like(path, F.lit(pattern))
-    tail = F.regexp_extract(path, pattern, 2)
-    segments = F.filter(F.split(tail, "/"), lambda s: ~s.isin("", "."))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(True).alias("inside"))
-
-    def step(acc: Column, segment: Column) -> Column:
-        up = segment == ".."
-        depth = F.size(acc["kept"])
-        return F.struct(
-            F.when(up, F.when(depth > 0, F.slice(acc["kept"], F.lit(1), F.greatest(depth - 1, F.lit(0))))
-                   .otherwise(acc["kept"]))
-            .otherwise(F.concat(acc["kept"], F.array(segment))).alias("kept"),
-            (acc["inside"] & (~up | (depth > 0))).alias("inside"))
-
-    resolved = F.aggregate(segments, start, step)
-    clean = F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join(resolved["kept"], "/"))
-    joined = F.when(F.size(resolved["kept"]) == 0, F.lit(root.rstrip("/"))).otherwise(clean)
+    root = root.rstrip("/")
+    pattern = f"^(.*?{marker})/([^/]+)(/.*)?$"
+    moved = resolve_segments(F.concat(F.lit(root + "/"), F.regexp_extract(path, pattern, 3)))
+    inside = (moved == root) | moved.startswith(root + "/")
     slash = F.when(path.endswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(matched & resolved["inside"], F.concat(joined, slash))
+    return F.when(F.regexp_like(path, F.lit(pattern)) & inside, F.concat(moved, slash))
 
 
 def prefix_rule(key: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> Column:
@@ -245,6 +241,6 @@ def bad_name(name: Column) -> Column:
 
 def whole_word_refs(text: Column, names: Sequence[str]) -> Column:
     """Which of ``names`` occur in ``text`` as whole words, any case, in sorted order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z_][a-z0-9_]*"), F.lit(0))
     wanted = F.array(*[F.lit(n.lower()) for n in names])
     return F.array_sort(F.array_intersect(wanted, words))
