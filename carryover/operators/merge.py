@@ -227,7 +227,8 @@ def synthesise_membership(entities: DataFrame, members: DataFrame, activity: Dat
     own = outside.join(named, entity)
     parents = (outside.select(entity, F.lit(fixed_parent).cast(dict(named.dtypes)[parent]).alias(parent))
                .unionByName(own.select(entity, parent)).distinct())
-    ranked = held.select(entity, "role_id").join(roles, "role_id")
+    ranked = lookup(held.select(entity, "role_id").distinct(), roles, [("role_id", "role_id")], scatter=[entity],
+                    how="inner")
     best = one_per_key(ranked, [entity], F.struct((F.col("role_name") == preferred).alias("p"), F.col("grants"),
                                                   (-F.col("role_id")).alias("i")), ["role_id"])
     least = roles.agg(F.min_by("role_id", F.struct("grants", "role_id")).alias("_least")).withColumn("_one", F.lit(1))
@@ -238,7 +239,7 @@ def synthesise_membership(entities: DataFrame, members: DataFrame, activity: Dat
 
 
 def conditional_activate(rows: DataFrame, live_a: DataFrame, live_b: DataFrame, entity: str, flag: str,
-                         reserved: Column) -> DataFrame:
+                         reserved: Column, scatter: Sequence[str]) -> DataFrame:
     """Set the flag on NULL rows whose owner is live in both tables, except reserved ones.
 
     Adds ``outcome``: activated, reserved, owner not live, or kept.
@@ -246,7 +247,9 @@ def conditional_activate(rows: DataFrame, live_a: DataFrame, live_b: DataFrame,
     def mark(frame: DataFrame, name: str) -> DataFrame:
         return frame.select(entity).distinct().withColumn(name, F.lit(True))
 
-    marked = rows.join(mark(live_a, "_a"), entity, "left").join(mark(live_b, "_b"), entity, "left")
+    # both liveness tests as one right-hand row per owner, so the rows are looked up once
+    owners = mark(live_a, "_a").join(mark(live_b, "_b"), entity)
+    marked = lookup(rows, owners, [(entity, entity)], scatter=scatter, counted=rows.select(entity))
     alive = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     outcome = (F.when(F.col(flag).isNotNull(), "kept").when(~alive, "owner not live")
                .when(reserved, "reserved").otherwise("activated"))
