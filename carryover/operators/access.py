@@ -15,7 +15,7 @@ from carryover.functions.text import fold
 from carryover.operators.skew import lookup, one_per_key
 
 # Group names that are not roles (digits, everybody, queues).
-NON_GROUP = r"^([0-9]+|-1|_all|_queue\..*)$"
+NON_GROUP = r"(?i)^(-?[0-9]+|_all|_queue\..*)$"
 
 
 def is_group(name: Column) -> Column:

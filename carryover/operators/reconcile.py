@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html import unescape
+from urllib.parse import unquote_plus
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +61,18 @@ def orphan_report(orphans: DataFrame, limit: int = 50) -> DataFrame:
     return total.join(first, "_one", "left").select("total", "file_name")
 
 
-# The HTML entities a reference may carry, decoded after the cut. ``&amp;`` comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-            ("&amp;", "&"))
-
-
 def static_html(html: Column) -> Column:
     """The text without comments and script bodies; an opening script tag stays."""
-    no_comments = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    return F.regexp_replace(no_comments, r"(?is)(<script\b[^>]*>).*?(</script\s*>)", "$1$2")
+    no_comments = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    opening = r"""<script\b(?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
+    return F.regexp_replace(no_comments, f"(?is)({opening}).*?(</script\\s*>|\\z)", "$1$2")
 
 
-def decode_reference(raw: Column) -> Column:
+@F.pandas_udf("string")
+def decode_reference(raw: pd.Series) -> pd.Series:
     """Entity-decode, drop the fragment and further parameters, then form-decode."""
-    text = raw
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    cut = F.substring_index(F.substring_index(text, "#", 1), "&", 1)
-    return F.coalesce(F.try_url_decode(cut), cut)
+    return raw.map(lambda v: None if v is None else
+                   unquote_plus(unescape(v).split("#", 1)[0].split("&", 1)[0]))
 
 
 def html_asset_refs(pages: DataFrame, pk: str, html: str, token: str) -> DataFrame:
@@ -91,9 +88,10 @@ def html_asset_refs(pages: DataFrame, pk: str, html: str, token: str) -> DataFra
     hits = F.regexp_extract_all(static_html(F.col(html)), F.lit(pattern), F.lit(0))
     one = F.col("_hit")
     value = F.coalesce(*[F.nullif(F.regexp_extract(one, f"^(?:{pattern})$", g), F.lit("")) for g in range(1, 6)])
-    found = (pages.select(pk, F.explode(F.array_distinct(hits)).alias("_hit"))
-             .select(pk, decode_reference(value).alias("ref")))
-    return found.where(F.col("ref").isNotNull() & (F.col("ref") != "")).distinct()
+    # entities and percent signs are decoded in batches, on the references only
+    found = pages.select(pk, F.explode(F.array_distinct(hits)).alias("_hit")).select(pk, value.alias("_raw"))
+    decoded = found.where(F.col("_raw").isNotNull()).distinct().select(pk, decode_reference("_raw").alias("ref"))
+    return decoded.where(F.col("ref") != "").distinct()
 
 
 def asset_state(refs: DataFrame, assets: DataFrame, ref: str = "ref") -> DataFrame:

@@ -75,37 +75,37 @@ class WindowLedger:
 
 
 def copy_windows(src: DataFrame, key: str, path: str, table: str, ledger: WindowLedger, *,
-                 columns: list[Column] | None = None, size: int = WINDOW_IDS, limit: int | None = None) -> int:
+                 size: int = WINDOW_IDS, limit: int | None = None) -> int:
     """Copy the windows the ledger has not confirmed and return how many that were.
 
     All open windows go in one distributed write; ``limit`` copies only the first few (a
-    cautious first run). Windows are confirmed after their row counts were read back.
+    cautious first run, to be continued). The rebalance hint gives each window few files
+    and splits one that is too large for a task. A window is confirmed after its rows
+    were read back and counted.
     """
     span = bounds(src, key)
     if span is None:
         return 0
     low, high = span
     check_span(low, high, size)
+    plan = window_plan(src, key, size).select("window", "rows")
     done = ledger.confirmed().where(F.col("table_name") == table).select("window")
-    # the plan is bounded by MAX_WINDOWS rows
-    open_windows = window_plan(src, key, size).join(done, "window", "left_anti")
+    todo = plan.join(done, "window", "left_anti")
     if limit is not None:
-        open_windows = open_windows.orderBy("window").limit(limit)
-    open_windows = open_windows.select("window", "rows")
-    rows = src.select("*" if columns is None else F.struct(*[F.col(c) for c in src.columns]).alias("_"),
-                      *(columns or []), window_id(F.col(key), low, size).alias("window"))
-    rows = rows.drop("_")
-    todo = [r.window for r in open_windows.select("window").collect()]
-    if not todo:
+        todo = todo.orderBy("window").limit(limit)
+    # at most MAX_WINDOWS numbers
+    todo = F.broadcast(todo)
+    windows = todo.count()
+    if not windows:
         return 0
-    picked = rows.join(F.broadcast(src.sparkSession.createDataFrame([(w,) for w in todo], "window bigint")), "window")
-    (picked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window").parquet(path))
-    stored = src.sparkSession.read.parquet(path).groupBy("window").agg(F.count(F.lit(1)).alias("_stored"))
-    wanted = window_plan(src, key, size).select(F.col("window").alias("_w"), F.col("rows").alias("_rows"))
-    good = (stored.join(wanted, F.col("window") == F.col("_w")).where(F.col("_stored") == F.col("_rows"))
-            .where(F.col("window").isin(*todo) if len(todo) < 1000 else F.lit(True)).select(F.col("window").cast("bigint")))
-    ledger.confirm(good.join(done, "window", "left_anti"), table)
-    return len(todo)
+    rows = src.withColumn("window", window_id(F.col(key), low, size)).join(todo.select("window"), "window", "left_semi")
+    (rows.hint("rebalance", "window").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("window").parquet(path))
+    stored = (src.sparkSession.read.parquet(path).groupBy(F.col("window").cast("bigint").alias("window"))
+              .agg(F.count(F.lit(1)).alias("_stored")))
+    arrived = todo.join(stored, "window").where(F.col("rows") == F.col("_stored")).select("window")
+    ledger.confirm(arrived, table)
+    return windows
 
 
 def manifest(spec_columns: list[str], digest: str) -> str:
