@@ -8,6 +8,7 @@ the whole table.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,24 +24,27 @@ def role(name: str, sql: str) -> None:
 
 
 def _needs(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql)) if n in BASE or n in ROLES]
 
 
-def frame(spark: SparkSession, sf: str, name: str, cache: dict[str, DataFrame] | None = None) -> DataFrame:
+def _named(sql: str, names: dict[str, str]) -> str:
+    return re.sub(r"\{(\w+)\}", lambda m: names.get(m.group(1), m.group(0)), sql)
+
+
+def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A base table or a role as a lazy DataFrame."""
-    cache = {} if cache is None else cache
-    if name not in cache:
-        if name in BASE:
-            cache[name] = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-        else:
-            inputs = {n: frame(spark, sf, n, cache) for n in _needs(ROLES[name])}
-            cache[name] = spark.sql(ROLES[name], **inputs)
-    return cache[name]
+    path = sf.rstrip("/")
+    if name in BASE:
+        return spark.read.parquet(f"{path}/{name}.parquet")
+    views = {}
+    for n in _needs(ROLES[name]):
+        views[n] = f"role_{hashlib.sha256(path.encode()).hexdigest()[:8]}_{n}"
+        frame(spark, path, n).createOrReplaceTempView(views[n])
+    return spark.sql(_named(ROLES[name], views))
 
 
 def frames(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
-    cache: dict[str, DataFrame] = {}
-    return [frame(spark, sf, n, cache) for n in names]
+    return [frame(spark, sf, n) for n in names]
 
 
 def with_roles(sql: str) -> str:
@@ -56,7 +60,8 @@ def with_roles(sql: str) -> str:
 
     for n in _needs(sql):
         visit(n)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    known = {n: n for n in (*BASE, *ROLES)}
+    plain = lambda s: _named(s, known)
     parts = [f"{n} AS ({plain(ROLES[n])})" for n in ordered]
     body = plain(sql)
     if not parts:
@@ -76,7 +81,7 @@ role("seed_orders", """
     SELECT o_orderkey * 2 + 1 AS order_no, o_custkey AS cust_no,
            nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority,
            CAST(CAST(o_totalprice AS DECIMAL(12,2)) + 1 AS DECIMAL(12,2)) AS total, o_orderdate AS placed_at,
-           CAST(NULL AS VARCHAR(1)) AS import_archived_legacy_status
+           CAST(NULL AS STRING) AS import_archived_legacy_status
     FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 250000""")
 
 # --- orders copied id-intact under another shape
@@ -123,28 +128,28 @@ role("st_files", """
     FROM {part} LEFT JOIN (SELECT l_partkey, min(l_shipdate) AS first_ship FROM {lineitem} GROUP BY l_partkey) f
       ON l_partkey = p_partkey""")
 role("st_disks", """
-    SELECT p_partkey AS id, concat(p_name, ' ', p_type, ' ', CAST(p_size AS VARCHAR(10))) AS name,
+    SELECT p_partkey AS id, concat(p_name, ' ', p_type, ' ', CAST(p_size AS STRING)) AS name,
            CASE WHEN p_brand = 'Brand#3' THEN NULL ELSE 1992 + p_size END AS made
     FROM {part}""")
 role("st_claims", """
     SELECT s_suppkey AS id,
-           CASE WHEN s_nationkey < 5 THEN concat('import-disks-2001-', CAST(s_suppkey AS VARCHAR(20)), '-0')
-                WHEN s_nationkey < 10 THEN upper(concat('import-disks-1997-', CAST(s_suppkey * 3 AS VARCHAR(20)), '-0'))
+           CASE WHEN s_nationkey < 5 THEN concat('import-disks-2001-', CAST(s_suppkey AS STRING), '-0')
+                WHEN s_nationkey < 10 THEN upper(concat('import-disks-1997-', CAST(s_suppkey * 3 AS STRING), '-0'))
                 WHEN s_nationkey < 15 THEN 'Small Ring PROMO 7' ELSE s_name END AS name
     FROM {supplier}""")
 role("disk_files", """
-    SELECT DISTINCT concat(p_name, ' ', p_type, ' ', CAST(p_size AS VARCHAR(10))) AS name
+    SELECT DISTINCT concat(p_name, ' ', p_type, ' ', CAST(p_size AS STRING)) AS name
     FROM {part} WHERE p_retailprice > 910
     UNION SELECT s_name FROM {supplier} WHERE s_acctbal > 0
     UNION SELECT 'Small Ring PROMO 7'""")
 
 # --- a reference table whose ids collide with a seed
 role("live_codes", """
-    SELECT p_partkey AS id, concat(p_brand, ' ', CAST(p_size AS VARCHAR(10))) AS code, p_name AS label FROM {part}""")
+    SELECT p_partkey AS id, concat(p_brand, ' ', CAST(p_size AS STRING)) AS code, p_name AS label FROM {part}""")
 role("seed_codes", """
     SELECT p_partkey AS id,
-           CASE WHEN p_type = 'PROMO' THEN concat(p_brand, ' ', CAST(p_size AS VARCHAR(10)))
-                ELSE upper(concat(p_brand, ' ', CAST(p_size + 7 AS VARCHAR(10)))) END AS code, p_type AS label
+           CASE WHEN p_type = 'PROMO' THEN concat(p_brand, ' ', CAST(p_size AS STRING))
+                ELSE upper(concat(p_brand, ' ', CAST(p_size + 7 AS STRING))) END AS code, p_type AS label
     FROM {part} WHERE p_retailprice < 950 OR p_size > 40""")
 role("code_backup", """
     SELECT id, code, CASE WHEN code LIKE 'Brand#2 %' THEN 'older label' ELSE label END AS label FROM {live_codes}""")
@@ -152,10 +157,10 @@ role("code_backup", """
 # --- settings
 role("st_settings", """
     SELECT event_id AS id,
-           CASE event_type WHEN 'view' THEN concat('label.', CAST(user_id AS VARCHAR(20)))
-                WHEN 'click' THEN concat('fax_', CAST(user_id AS VARCHAR(20)))
+           CASE event_type WHEN 'view' THEN concat('label.', CAST(user_id AS STRING))
+                WHEN 'click' THEN concat('fax_', CAST(user_id AS STRING))
                 WHEN 'signup' THEN 'docRoot' WHEN 'purchase' THEN 'smtpPassword'
-                ELSE concat('mod', CAST(user_id AS VARCHAR(20))) END AS name,
+                ELSE concat('mod', CAST(user_id AS STRING)) END AS name,
            CASE WHEN value < 10 THEN 'yes' ELSE props END AS setting
     FROM {events}""")
 
@@ -175,10 +180,10 @@ role("grants_all", """
     FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
       JOIN {nation} ON c_nationkey = n_nationkey JOIN {part} ON l_partkey = p_partkey""")
 role("staged_matrix", """
-    SELECT concat(seg, ' ', CAST(reg AS VARCHAR(5))) AS grp, concat(object, '.', ptype) AS object, max(flag) AS privilege
+    SELECT concat(seg, ' ', CAST(reg AS STRING)) AS grp, concat(object, '.', ptype) AS object, max(flag) AS privilege
     FROM {grants_all} WHERE qty > 20 GROUP BY 1, 2
     UNION ALL SELECT DISTINCT '_all', object, 'R' FROM {grants_all} WHERE qty > 45
-    UNION ALL SELECT DISTINCT CAST(reg AS VARCHAR(5)), object, 'R' FROM {grants_all} WHERE qty > 45""")
+    UNION ALL SELECT DISTINCT CAST(reg AS STRING), object, 'R' FROM {grants_all} WHERE qty > 45""")
 role("seed_matrix", """
     SELECT upper(seg) AS grp, concat(object, '.', ptype) AS object, max(flag) AS privilege
     FROM {grants_all} WHERE qty > 47 GROUP BY 1, 2
@@ -189,27 +194,71 @@ role("target_groups", """
 role("stock_groups", "SELECT DISTINCT upper(c_mktsegment) AS grp FROM {customer}")
 
 # --- documents, encoded by source: as stored, encoded once, twice, or mixed
-""" """
+# The accented letters of the given texts.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+
+
+def _misread(char: str) -> str:
+    """What a character looks like after its UTF-8 bytes were read as Windows-1252."""
+    return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252")
+                   for b in char.encode("utf-8"))
+
+
+def _encode(expr: str, alphabet: list[str], base: int) -> str:
+    """SQL that misreads every character of ``alphabet``, by way of private-use placeholders."""
+    marks = [chr(base + i) for i in range(len(alphabet))]
+    expr = f"translate({expr}, '{''.join(alphabet)}', '{''.join(marks)}')"
+    for char, mark in zip(alphabet, marks):
+        expr = f"replace({expr}, '{mark}', '{_misread(char)}')"
+    return expr
+
+
+ONCE = list(LETTERS)
+TWICE = sorted({c for letter in ONCE for c in _misread(letter)})
+SOURCES = {"once": [f"src{i}" for i in range(0, 5)], "twice": [f"src{i}" for i in range(5, 9)],
+           "mixed": [f"src{i}" for i in range(9, 12)]}
+_in = {state: ", ".join(f"'{s}'" for s in sources) for state, sources in SOURCES.items()}
+role("text_once", f"""
+    SELECT doc_id, lang, source, text AS original, {_encode("text", ONCE, 0xE000)} AS once,
+           CASE WHEN source IN ({_in['once']}) THEN 'once' WHEN source IN ({_in['twice']}) THEN 'twice'
+                WHEN source IN ({_in['mixed']}) THEN 'mixed' ELSE 'clean' END AS state
+    FROM {{documents}}""")
+role("st_text", f"""
+    SELECT doc_id, lang, source, state, original,
+           CASE state WHEN 'once' THEN once WHEN 'twice' THEN {_encode("once", TWICE, 0xE100)}
+                WHEN 'mixed' THEN concat(once, ' é Ã©') ELSE original END AS body
+    FROM {{text_once}}""")
+role("st_spans", """
+    SELECT doc_id, lang, state, original,
+           CASE WHEN state = 'clean' AND lang = 'en' THEN replace(original, ' the ', ' â\u0080\u0093 ')
+                WHEN state = 'clean' AND lang = 'fr' THEN replace(replace(original, ' le ', ' â\u0089¤ '), ' la ', ' â\u0080\u0093 ')
+                WHEN state = 'clean' AND lang = 'de' THEN replace(replace(original, ' der ', ' â\u0080\u0093 '), ' und ', ' â\u0085 ')
+                ELSE body END AS body,
+           CASE WHEN state = 'clean' AND lang = 'en' THEN replace(original, ' the ', ' – ')
+                WHEN state = 'clean' AND lang = 'fr' THEN replace(replace(original, ' le ', ' ≤ '), ' la ', ' – ')
+                WHEN state = 'clean' AND lang = 'de' THEN replace(replace(original, ' der ', ' – '), ' und ', ' â\u0085 ')
+                ELSE body END AS replaced
+    FROM {st_text}""")
 
 # --- attachments and files
 role("st_attachments", """
     SELECT doc_id AS id,
            CASE WHEN n_chars < 200 AND lang = 'en' THEN concat('/abs/', source, '.pdf')
-                WHEN lang = 'es' AND n_chars < 900 THEN concat(source, '/', CAST(doc_id AS VARCHAR(20)), '.pdf')
+                WHEN lang = 'es' AND n_chars < 900 THEN concat(source, '/', CAST(doc_id AS STRING), '.pdf')
                 WHEN lang = 'de' AND n_chars < 900 THEN concat('.', source)
                 WHEN lang = 'fr' AND n_chars < 300 THEN '  '
-                ELSE concat(source, '-', CAST(doc_id AS VARCHAR(20)), '.pdf') END AS filename,
+                ELSE concat(source, '-', CAST(doc_id AS STRING), '.pdf') END AS filename,
            lang AS kind, n_chars AS pages
     FROM {documents}""")
 role("attachment_files", """
-    SELECT concat(d.source, '-', CAST(d.doc_id AS VARCHAR(20)), '.pdf') AS file_name,
+    SELECT concat(d.source, '-', CAST(d.doc_id AS STRING), '.pdf') AS file_name,
            CASE WHEN l.toxic = 1 THEN CAST(0 AS BIGINT) WHEN d.lang = 'es' AND l.quality = 0 THEN NULL
                 ELSE d.n_chars END AS size
     FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
     UNION ALL
-    SELECT concat('notice-', CAST(doc_id AS VARCHAR(20)), '.pdf'), n_chars FROM {documents} WHERE source = 'src3'
+    SELECT concat('notice-', CAST(doc_id AS STRING), '.pdf'), n_chars FROM {documents} WHERE source = 'src3'
     UNION ALL
-    SELECT concat('page-', CAST(page_id AS VARCHAR(20)), '.html'), CAST(length(html) AS BIGINT) FROM {pages}""")
+    SELECT concat('page-', CAST(page_id AS STRING), '.html'), CAST(length(html) AS BIGINT) FROM {pages}""")
 role("st_pages", r"""
     SELECT page_id, url,
            replace(replace(replace(replace(html, 'href="/', 'href="${asset_path}'),
@@ -218,12 +267,12 @@ role("st_pages", r"""
     FROM {pages}""")
 role("st_reports", r"""
     SELECT page_id AS id,
-           CASE WHEN url LIKE 'https:%' THEN replace(url, '/', '\') ELSE url END AS report_path
+           CASE WHEN url LIKE 'https:%' THEN replace(url, '/', chr(92)) ELSE url END AS report_path
     FROM {pages}""")
 role("log_lines", """
     SELECT event_id AS line_no,
            CASE WHEN event_type = 'signup' AND value < 5 THEN concat('broken ', props)
-           ELSE concat('{"transaction":{"request":{"uri":"', u.url, '"},"messages":[{"message":"', event_type,
-             '","details":{"ruleId":"', CAST(user_id AS VARCHAR(20)), '","match":"Matched (Value: ', CAST(event_id AS VARCHAR(20)),
+           ELSE concat('{"transaction":{"request":{"uri":"', coalesce(u.url, ''), '"},"messages":[{"message":"', event_type,
+             '","details":{"ruleId":"', CAST(user_id AS STRING), '","match":"Matched (Value: ', CAST(event_id AS STRING),
              ' secret"}},{"message":"second","details":{"match":"plain"}}]}}') END AS value
     FROM {events} LEFT JOIN (SELECT page_id, url FROM {pages}) u ON u.page_id = user_id""")
