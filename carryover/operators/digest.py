@@ -29,67 +29,79 @@ def rendering_class(dtype: S.DataType) -> str:
     return "bytes" if isinstance(dtype, S.BinaryType) else "text"
 
 
-def rendered(value: Column, dtype: S.DataType, scale: int | None = None) -> Column:
-    """Text form of a value. Fractions need a declared decimal scale; nested types are refused."""
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def rendered(name: str, dtype: S.DataType, scale: int | None = None) -> str:
+    """SQL for the text form of a column. Fractions need a declared decimal scale; nested types are refused."""
+    c = quoted(name)
     if isinstance(dtype, (S.FloatType, S.DoubleType)):
         if scale is None:
             raise Unrenderable("a floating-point column needs a declared decimal scale")
-        return value.cast(f"decimal(38,{scale})").cast("string")
-    if isinstance(dtype, S.TimestampNTZType):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    if isinstance(dtype, S.TimestampType):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return f"string(try_cast({c} AS decimal(38,{scale})))"
+    if isinstance(dtype, (S.TimestampNTZType, S.TimestampType)):
+        return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     if isinstance(dtype, S.DateType):
-        return F.date_format(value, "yyyy-MM-dd")
+        return f"date_format({c}, 'yyyy-MM-dd')"
     if isinstance(dtype, S.BooleanType):
-        return value.cast("int").cast("string")
+        return f"string(int({c}))"
+    if isinstance(dtype, S.BinaryType):
+        return f"hex({c})"
     if isinstance(dtype, (S.IntegralType, S.DecimalType, S.StringType)):
-        return value.cast("string")
+        return f"string({c})"
     raise Unrenderable(f"no rendering for {dtype.simpleString()}")
 
 
-def piece(value: Column, dtype: S.DataType, large: bool, scale: int | None = None) -> Column:
-    """One column's contribution. A large value is hashed on its own first.
-
-    Binary is never read as text: bounded values as hex digits, large ones as the
-    hash of their bytes.
-    """
-    if isinstance(dtype, S.BinaryType):
-        body = (F.concat(F.octet_length(value).cast("string"), F.lit(":"), F.sha2(value, 256)) if large
-                else F.concat(F.char_length(F.hex(value)).cast("string"), F.lit(":"), F.hex(value)))
-    else:
-        text = rendered(value, dtype, scale)
-        body = F.concat(F.char_length(text).cast("string"), F.lit(":"), F.sha2(text, 256) if large else text)
-    return F.when(value.isNull(), F.lit(NULL_MARK)).otherwise(body)
-
-
-def row_hash(df: DataFrame, columns: Sequence[str], large: Sequence[str] = (),
-             scales: Mapping[str, int] | None = None) -> Column:
-    """SHA-256 of a row over ``columns`` in the order given.
+def row_hashes(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), large: Sequence[str] = (),
+               scales: Mapping[str, int] | None = None) -> DataFrame:
+    """(keep..., _h): SHA-256 of each row over ``columns`` in the order given.
 
-    ``concat`` (not ``concat_ws``): a piece that could not be rendered makes the
-    whole row unhashed, which the digest counts.
+    A large value is hashed on its own first (binary as its raw bytes). Two projections,
+    so each value is rendered once and the generated code stays small. ``concat`` (not
+    ``concat_ws``): a value that could not be rendered leaves the whole row unhashed,
+    which the digest counts.
     """
     if not columns:
         raise ValueError("a row hash needs at least one column")
     scales = scales or {}
-    parts: list[Column] = []
+    schema = df.schema
+    kept = [quoted(k) for k in keep]
+    texts, parts = list(kept), []
     for i, name in enumerate(columns):
-        if i:
-            parts.append(F.lit(SEPARATOR))
-        parts.append(piece(F.col(name), df.schema[name].dataType, name in large, scales.get(name)))
-    return F.sha2(F.concat(*parts), 256)
-
-
-def lanes(row: str = "_h") -> list[Column]:
-    """rows, total, parity, unhashed over a column of row hashes."""
-    h = F.col(row)
-    first = F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)")
-    second = F.conv(F.substring(h, 17, 16), 16, -10).cast("bigint")
-    return [F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(first), F.lit(0).cast("decimal(30,0)")).cast("string").alias("total"),
-            F.coalesce(F.bit_xor(second), F.lit(0).cast("bigint")).alias("parity"),
-            F.count_if(h.isNull()).alias("unhashed")]
+        dtype, t = schema[name].dataType, f"_t{i}"
+        raw = name in large and isinstance(dtype, S.BinaryType)
+        texts.append(f"{quoted(name) if raw else rendered(name, dtype, scales.get(name))} AS {t}")
+        absent = f"{t} IS NULL"
+        if isinstance(dtype, (S.FloatType, S.DoubleType)):
+            # only here can a stored value fail to render
+            texts.append(f"{quoted(name)} IS NULL AS _n{i}")
+            absent = f"_n{i}"
+        length = f"octet_length({t})" if raw else f"char_length({t})"
+        shown = f"sha2({t}, 256)" if name in large else t
+        parts.append(f"CASE WHEN {absent} THEN '{NULL_MARK}' ELSE concat({length}, ':', {shown}) END")
+    joined = f", '{SEPARATOR}', ".join(parts)
+    return df.selectExpr(*texts).selectExpr(*kept, f"sha2(concat({joined}), 256) AS _h")
+
+
+# Widths of the three addends the 64-bit sum is kept in; none of them overflows below 2**41 rows.
+_LOW, _MIDDLE = 21, 42
+
+
+def lanes(hashed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., rows, total, parity, unhashed) of row hashes."""
+    kept = [quoted(k) for k in keys]
+    halves = hashed.selectExpr(*kept, "bigint(conv(substring(_h, 1, 16), 16, -10)) AS _a",
+                               "bigint(conv(substring(_h, 17, 16), 16, -10)) AS _b")
+    mask = (1 << _LOW) - 1
+    counted = halves.groupBy(*keys).agg(*map(F.expr, (
+        "count(1) AS rows", f"sum(shiftrightunsigned(_a, {_MIDDLE})) AS _hi",
+        f"sum(shiftrightunsigned(_a, {_LOW}) & {mask}L) AS _mid", f"sum(_a & {mask}L) AS _lo",
+        "bit_xor(_b) AS _xor", "count(_a) AS _hashed")))
+    total = " + ".join(f"cast(coalesce({name}, 0) AS decimal(20,0)) * {1 << shift}BD"
+                       for name, shift in (("_hi", _MIDDLE), ("_mid", _LOW), ("_lo", 0)))
+    return counted.selectExpr(*kept, "rows", f"string(cast({total} AS decimal(38,0))) AS total",
+                              "coalesce(_xor, 0L) AS parity", "rows - _hashed AS unhashed")
 
 
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None, *, where: Column | None = None,
@@ -100,13 +112,13 @@ def table_digest(df: DataFrame, columns: Sequence[str] | None = None, *, where:
     if where is not None:
         df = df.where(where)
     columns = list(columns or df.columns)
-    return df.select(row_hash(df, columns, large, scales).alias("_h")).agg(*lanes())
+    return lanes(row_hashes(df, columns, large=large, scales=scales))
 
 
 def grouped_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, large: Sequence[str] = (),
                    scales: Mapping[str, int] | None = None) -> DataFrame:
     """A digest per key, still combined map-side (a hot key costs nothing extra)."""
-    return (df.select(*keys, row_hash(df, columns, large, scales).alias("_h")).groupBy(*keys).agg(*lanes()))
+    return lanes(row_hashes(df, columns, keys, large, scales), keys)
 
 
 def digest_document(tables: Mapping[str, DataFrame], *, large: Mapping[str, Sequence[str]] | None = None,

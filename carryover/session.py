@@ -15,6 +15,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # plans here are wide and built by code: do not record a call site per expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

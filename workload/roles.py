@@ -31,9 +31,19 @@ def _named(sql: str, names: dict[str, str]) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: names.get(m.group(1), m.group(0)), sql)
 
 
+# analysed plans by application, data folder and name (plans only, no data)
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A base table or a role as a lazy DataFrame."""
-    path = sf.rstrip("/")
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key not in _PLANS:
+        _PLANS[key] = _frame(spark, *key[1:])
+    return _PLANS[key]
+
+
+def _frame(spark: SparkSession, path: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{path}/{name}.parquet")
     views = {}
