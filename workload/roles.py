@@ -177,10 +177,10 @@ role("st_settings", """
 # --- free text with markers, tokens and names
 role("st_templates", """
     SELECT doc_id AS id,
-           CASE WHEN lang = 'en' THEN concat('Signed ${old.sign} on ${DATE}: ', text)
-                WHEN lang = 'fr' THEN concat(text, ' ${old.by} ${new.sign}')
-                WHEN lang = 'de' THEN concat('${nowhere.known} ', text)
-                ELSE concat(text, ' ${old.sign') END AS body
+           CASE WHEN lang = 'en' THEN concat('Signed $' || '{old.sign} on $' || '{DATE}: ', text)
+                WHEN lang = 'fr' THEN concat(text, ' $' || '{old.by} $' || '{new.sign}')
+                WHEN lang = 'de' THEN concat('$' || '{nowhere.known} ', text)
+                ELSE concat(text, ' $' || '{old.sign') END AS body
     FROM {documents}""")
 
 # --- access matrices: priorities hold (part type, brand) grants through orders
@@ -271,9 +271,9 @@ role("attachment_files", """
     SELECT concat('page-', CAST(page_id AS STRING), '.html'), CAST(length(html) AS BIGINT) FROM {pages}""")
 role("st_pages", r"""
     SELECT page_id, url,
-           replace(replace(replace(replace(html, 'href="/', 'href="${asset_path}'),
-             'track(', 'load("${asset_path}script.png");track('), '<!-- ad', '<!-- <img src="${asset_path}comment.png"> ad'),
-             'p{margin:0}', 'p{background:url( ${asset_path}bg.png )}') AS html
+           replace(replace(replace(replace(html, 'href="/', 'href="$' || '{asset_path}'),
+             'track(', 'load("$' || '{asset_path}script.png");track('), '<!-- ad', '<!-- <img src="$' || '{asset_path}comment.png"> ad'),
+             'p{margin:0}', 'p{background:url( $' || '{asset_path}bg.png )}') AS html
     FROM {pages}""")
 role("st_reports", r"""
     SELECT page_id AS id,
