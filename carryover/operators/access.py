@@ -120,12 +120,16 @@ def matrix_diff(source: DataFrame, seed: DataFrame, target: DataFrame, *, source
     cells = (side(source, "_s").join(side(seed, "_d"), ["grp", "object"], "full_outer")
              .join(side(target, "_t"), ["grp", "object"], "full_outer").join(left_out, ["grp", "object"], "left"))
 
-    def flag(names: DataFrame, label: str) -> DataFrame:
-        return names.select("grp").distinct().withColumn(label, F.lit(True))
-
+    # one row per group with everything known about it, so the cells are looked up once
+    known = None
     for names, label in ((source_groups, "_in_source"), (target_groups, "_in_target"), (stock, "_stock"),
                          (custom, "_custom")):
-        cells = lookup(cells, flag(names, label), [("grp", "grp")], scatter=["object"])
+        row = names.select("grp", F.lit(label).alias("_label"))
+        known = row if known is None else known.unionByName(row)
+    marks = known.groupBy("grp").agg(*[F.max(F.when(F.col("_label") == m, True)).alias(m)
+                                       for m in ("_in_source", "_in_target", "_stock", "_custom")])
+    groups = source.select("grp").unionByName(seed.select("grp")).unionByName(target.select("grp"))
+    cells = lookup(cells, marks, [("grp", "grp")], scatter=["object"], counted=groups)
     in_s, in_d, in_t = F.col("_s").isNotNull(), F.col("_d").isNotNull(), F.col("_t").isNotNull()
     changes = F.array_compact(F.array(
         F.when(in_s & in_d & ~F.col("_s").eqNullSafe(F.col("_d")), "overridden"),

@@ -9,6 +9,7 @@ from urllib.parse import unquote_plus
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from carryover.functions.text import basename
 from carryover.operators.skew import lookup
@@ -68,7 +69,7 @@ def static_html(html: Column) -> Column:
     return F.regexp_replace(no_comments, f"(?is)({opening}).*?(</script\\s*>|\\z)", "$1$2")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_reference(raw: pd.Series) -> pd.Series:
     """Entity-decode, drop the fragment and further parameters, then form-decode."""
     return raw.map(lambda v: None if v is None else

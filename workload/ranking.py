@@ -127,14 +127,14 @@ def _(spark, sf):
 
 
 CLASSIFIED = """
-    at AS (SELECT l.*, s.code AS seed_code, s.label AS seed_label FROM {live_codes} l JOIN {seed_codes} s USING (id)),
+    hits AS (SELECT l.*, s.code AS seed_code, s.label AS seed_label FROM {live_codes} l JOIN {seed_codes} s USING (id)),
     alive AS (SELECT lower(rtrim(code, ' ')) AS c FROM {live_codes} WHERE id NOT IN (SELECT id FROM {seed_codes})
         UNION SELECT lower(rtrim(code, ' ')) FROM {seed_codes}),
-    lost AS (SELECT id FROM at WHERE code <> seed_code AND lower(rtrim(code, ' ')) NOT IN (SELECT c FROM alive)),
+    lost AS (SELECT id FROM hits WHERE code <> seed_code AND lower(rtrim(code, ' ')) NOT IN (SELECT c FROM alive)),
     homes AS (SELECT id, (SELECT max(id) FROM (SELECT id FROM {live_codes} UNION ALL SELECT id FROM {seed_codes}))
         + row_number() OVER (ORDER BY id) AS new_key FROM lost),
     plan AS (SELECT id, code, seed_code, CASE WHEN code = seed_code THEN 'same' WHEN new_key IS NOT NULL THEN 'rehome' ELSE 'replace' END AS action,
-        new_key FROM at LEFT JOIN homes USING (id))"""
+        new_key FROM hits LEFT JOIN homes USING (id))"""
 
 
 @query("seed_collision_classify", f"WITH {CLASSIFIED} SELECT * FROM plan")
