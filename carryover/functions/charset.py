@@ -38,9 +38,14 @@ EXACT_RULES = (
 
 def _hop(value: Column) -> Column:
     """The value after one step back, NULL where that step is not lossless."""
-    fits = F.when(~F.regexp_like(value, F.lit(_FOREIGN)), value)
+    # plain ASCII is settled by its length alone, before any pattern is tried
+    fits = F.when(_not_ascii(value), F.when(~F.regexp_like(value, F.lit(_FOREIGN)), value))
     as_bytes = F.encode(F.translate(fits, CP1252_CHARS, C1_CHARS), "ISO-8859-1")
-    return F.when(F.octet_length(value) != F.char_length(value), F.try_validate_utf8(as_bytes.cast("string")))
+    return F.try_validate_utf8(as_bytes.cast("string"))
+
+
+def _not_ascii(value: Column) -> Column:
+    return F.octet_length(value) != F.char_length(value)
 
 
 def is_double_encoded(value: Column) -> Column:
@@ -53,7 +58,7 @@ def repair(value: Column) -> Column:
 
 
 def has_marker(value: Column) -> Column:
-    return F.coalesce(F.regexp_like(value, F.lit(MARKER)), F.lit(False))
+    return F.coalesce(_not_ascii(value) & F.regexp_like(value, F.lit(MARKER)), F.lit(False))
 
 
 def validated_repair(value: Column) -> Column:

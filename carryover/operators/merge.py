@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.operators.ordinals import with_group_ordinal, with_ordinal
+from carryover.operators.ordinals import cut_points, with_group_ordinal, with_ordinal
 from carryover.operators.skew import lookup, one_per_key
 from carryover.spec import REMAP_PREFIX, TableSpec, key_exprs, source_expr, written, written_columns
 
@@ -58,6 +58,7 @@ def idmap_changed(idmap: DataFrame) -> DataFrame:
 class Judged:
     """Source rows next to the key they store, with the merge's decision about each."""
 
+    source: DataFrame
     rows: DataFrame          # source columns, _k0.., _seeded, _excluded
     keys: list[str]
     spec: TableSpec
@@ -81,7 +82,7 @@ def judge(src: DataFrame, seed: DataFrame, spec: TableSpec, hot_rows: int | None
     rows = lookup(keyed, held, [(k, k) for k in keys], scatter=scatter, null_safe=True, hot_rows=hot_rows,
                   counted=keyed.select(*keys))
     rows = rows.withColumn("_seeded", F.coalesce("_held", F.lit(False))).drop("_held")
-    return Judged(rows, keys, spec)
+    return Judged(src, rows, keys, spec)
 
 
 def appended_rows(judged: Judged, seed: DataFrame, *, floor: Column | int | None = None,
@@ -97,7 +98,9 @@ def appended_rows(judged: Judged, seed: DataFrame, *, floor: Column | int | None
         return judged.appended.select(*written_columns(spec))
     stored = judged.appended.select(F.col(spec.source_of(pk)).alias("_old_id"),
                                     *[c for c, n in zip(written_columns(spec), _names(spec)) if n != pk])
-    numbered = with_ordinal(stored, "_old_id", "_ordinal", rows_per_range=rows_per_range)
+    # the source's own ids split the appended rows evenly enough, and cost one column to read
+    cuts = cut_points(judged.source, spec.source_of(pk), rows_per_range)
+    numbered = with_ordinal(stored, "_old_id", "_ordinal", cuts=cuts)
     base = seed.agg(F.coalesce(F.max(pk), F.lit(0)).alias("_base"))
     if floor is not None:
         base = base.select(F.greatest("_base", F.lit(floor)).alias("_base"))
@@ -197,7 +200,7 @@ def insert_if_absent(present: DataFrame, wanted: DataFrame, name: str, pk: str,
     """Rows of ``wanted`` whose folded name is absent, with fresh ids in the order given."""
     have = present.select(fold_name(F.col(name)).alias("_f")).distinct()
     lost = wanted.withColumn("_f", fold_name(F.col(name))).join(have, "_f", "left_anti").drop("_f")
-    numbered = with_ordinal(lost, order, "_ordinal")
+    numbered = with_ordinal(lost, order, "_ordinal", cuts=cut_points(wanted, order))
     base = present.agg(F.coalesce(F.max(pk), F.lit(0)).alias("_base")).withColumn("_one", F.lit(1))
     return (numbered.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
             .withColumn(pk, F.col("_base") + F.col("_ordinal")).drop("_base", "_ordinal", "_one"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.text import fold
-from carryover.operators.ordinals import with_ordinal
+from carryover.operators.ordinals import cut_points, with_ordinal
 from carryover.operators.skew import lookup
 from carryover.session import checkpoint_dir
 
@@ -233,7 +233,7 @@ def classify_seed_collisions(live: DataFrame, seed: DataFrame, key: str, code: s
     judged = lookup(diverging.withColumn("_fold", fold(F.col(code))), surviving, [("_fold", "_code")], scatter=[key])
     lost = judged.where(F.col("_lives").isNull()).select(key)
     top = (live.select(key).unionByName(seed.select(key)).agg(F.max(key).alias("_top")).withColumn("_one", F.lit(1)))
-    homes = (with_ordinal(lost, key, "_n", rows_per_range=rows_per_range).withColumn("_one", F.lit(1))
+    homes = (with_ordinal(lost, key, "_n", cuts=cut_points(live, key, rows_per_range)).withColumn("_one", F.lit(1))
              .join(F.broadcast(top), "_one").select(F.col(key).alias("_lk"), (F.col("_top") + F.col("_n")).alias("new_key")))
     placed = at.join(homes, F.col(key) == F.col("_lk"), "left")
     action = (F.when(F.col(code).eqNullSafe(F.col("seed_code")), "same")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only: nothing here sizes the cluster. The number of
 # shuffle partitions stays with whoever starts the session; adaptive execution
@@ -54,3 +55,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a result that several later steps read to the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, survives lost executors and stays columnar, so
+    later steps still read only the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carryover.operators import access as A
+from carryover.session import materialise
 from workload.registry import query
 from workload.roles import frame, frames
 
@@ -20,8 +21,19 @@ PAIRS = f"""
 FLOOR = 0.05
 
 
+_WRITTEN: dict = {}
+
+
+def matrix(spark, sf, name):
+    """An access matrix, written down once per run: every query here reads it several times."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialise(frame(spark, sf, name), name)
+    return _WRITTEN[key]
+
+
 def matrices(spark, sf):
-    staged, seed = frames(spark, sf, "staged_matrix", "seed_matrix")
+    staged, seed = (matrix(spark, sf, n) for n in ("staged_matrix", "seed_matrix"))
     return staged.where(A.is_group(F.col("grp"))), seed
 
 
@@ -38,7 +50,8 @@ def templates(spark, sf):
     SELECT DISTINCT object FROM {seed_matrix} WHERE lower(object) NOT IN (SELECT lower(object) FROM {staged_matrix})
         AND lower(object) NOT IN (SELECT lower('ERA.' || p_brand) FROM part WHERE p_brand LIKE 'Brand#1%')""")
 def eras(spark, sf):
-    staged, seed, part = frames(spark, sf, "staged_matrix", "seed_matrix", "part")
+    staged, seed = (matrix(spark, sf, n) for n in ("staged_matrix", "seed_matrix"))
+    part = frame(spark, sf, "part")
     catalogue = part.where("p_brand LIKE 'Brand#1%'").select(F.concat(F.lit("ERA."), F.col("p_brand")).alias("object"))
     return A.era_objects(seed, catalogue, staged)
 
@@ -49,10 +62,14 @@ CUSTOM = f"""
          AND lower(grp) NOT IN (SELECT lower(grp) FROM {{stock_groups}}) THEN 'custom' END AS state FROM {{target_groups}})"""
 
 
+def target_groups(spark, sf):
+    return matrix(spark, sf, "staged_matrix").select("grp").union(matrix(spark, sf, "seed_matrix").select("grp")).distinct()
+
+
 @query("custom_groups", f"WITH {CUSTOM} SELECT * FROM named WHERE state IS NOT NULL")
 def customs(spark, sf):
-    target, staged, stock = frames(spark, sf, "target_groups", "staged_matrix", "stock_groups")
-    return A.custom_groups(target, staged, stock)
+    staged, stock = matrix(spark, sf, "staged_matrix"), frame(spark, sf, "stock_groups")
+    return A.custom_groups(target_groups(spark, sf), staged, stock)
 
 
 BACKFILL = f"""{PAIRS}, chosen AS (SELECT s.g AS custom, CASE WHEN s.g = 'building 0' THEN 'machinery'
@@ -67,7 +84,7 @@ BACKFILL = f"""{PAIRS}, chosen AS (SELECT s.g AS custom, CASE WHEN s.g = 'buildi
 
 @query("grant_backfill", f"WITH {BACKFILL} SELECT * FROM added")
 def backfill(spark, sf):
-    staged, seed = frames(spark, sf, "staged_matrix", "seed_matrix")
+    staged, seed = (matrix(spark, sf, n) for n in ("staged_matrix", "seed_matrix"))
     return A.grant_backfill(staged, templates(spark, sf), seed, eras(spark, sf))
 
 
@@ -86,7 +103,8 @@ def backfill(spark, sf):
     UNION ALL SELECT grp, object, 'backfilled' FROM cells WHERE in_t AND sp IS NULL AND is_custom
     UNION ALL SELECT grp, object, 'stock-append' FROM cells WHERE sp IS NOT NULL AND dp IS NULL AND is_stock AND NOT excl""")
 def _(spark, sf):
-    staged, seed, groups = frames(spark, sf, "staged_matrix", "seed_matrix", "target_groups")
+    staged, seed = (matrix(spark, sf, n) for n in ("staged_matrix", "seed_matrix"))
+    groups = target_groups(spark, sf)
     custom = customs(spark, sf).where("state = 'custom'").select("grp")
     target = staged.unionByName(seed).unionByName(custom.select("grp", F.lit("new.object").alias("object"), F.lit("x").alias("privilege")))
     stock = spark.sql("SELECT explode(array('MACHINERY 1', 'FURNITURE 1')) AS grp")
@@ -109,7 +127,8 @@ def _(spark, sf):
     UNION ALL SELECT 'group granting nothing', 'advisory', (SELECT count(*) FROM groups WHERE grp NOT IN (SELECT grp FROM grants))
     UNION ALL SELECT 'comma in a group name', 'advisory', (SELECT count(*) FROM groups WHERE grp LIKE '%,%')""")
 def _(spark, sf):
-    orders, customers, grants = frames(spark, sf, "orders", "customer", "seed_matrix")
+    orders, customers = frames(spark, sf, "orders", "customer")
+    grants = matrix(spark, sf, "seed_matrix")
     grp = (F.when(F.col("o_orderstatus") == "F", F.lower("c_mktsegment")).when(F.col("o_totalprice") > 400000, "ghost, group")
            .otherwise(F.col("c_mktsegment")))
     members = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(

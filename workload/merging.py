@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from carryover.functions.text import fold
 from carryover.operators import archive as A
 from carryover.operators import merge as M
+from carryover.session import materialise
 from carryover.spec import TableSpec, ColumnInfo, with_archived
 from workload.registry import query
 from workload.roles import frame, frames
@@ -36,9 +37,15 @@ def merged(spark, sf):
     return src, seed, live, added, judged
 
 
+def written_merge(spark, sf):
+    """(source, seed, live, id map) with the merge written down first, as a run does it."""
+    src, seed, live, _, _ = merged(spark, sf)
+    live = materialise(live, "merged")
+    return src, seed, live, M.idmap_twins(src, live, ORDERS_MERGE)
+
+
 def idmap(spark, sf):
-    src, _, live, _, _ = merged(spark, sf)
-    return M.idmap_twins(src, live, ORDERS_MERGE)
+    return written_merge(spark, sf)[3]
 
 
 @query("merge_seed_wins", f"WITH {MERGED} SELECT * FROM live")

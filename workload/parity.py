@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from carryover.operators import merge as M
 from carryover.operators import parity as P
 from carryover.operators import ranking as R
+from carryover.session import materialise
 from workload import ranking as W
 from workload.digests import given
-from workload.merging import IDMAP, MERGED, SEED_TOTAL, merged
+from workload.merging import IDMAP, MERGED, SEED_TOTAL, merged, written_merge
 from workload.registry import query
 from workload.roles import frame, frames
 from workload.specs import LARGE, LINES_COPY, ORDERS_COPY, ORDERS_MERGE, SCALES
@@ -121,9 +122,8 @@ DAMAGED = FILLED + """,
         AND NOT EXISTS (SELECT 1 FROM {{st_orders}} s WHERE s.cust_no = h.cust_no AND s.priority IS NOT DISTINCT FROM h.priority
           AND NOT (s.total < 20000) AND s.legacy_status IS NOT DISTINCT FROM h.archived))""")
 def _(spark, sf):
-    src, seed, live, _, _ = merged(spark, sf)
-    idmap = M.idmap_twins(src, live, ORDERS_MERGE)
-    filled = M.archived_backfill(live, seed, src, ORDERS_MERGE, ["order_no"])
+    src, seed, live, idmap = written_merge(spark, sf)
+    filled = materialise(M.archived_backfill(live, seed, src, ORDERS_MERGE, ["order_no"]), "filled")
     return P.merge_parity(src, damaged(filled), seed, idmap, ORDERS_MERGE)
 
 
