@@ -23,7 +23,7 @@ def triage(lines: DataFrame, line: str = "value") -> DataFrame:
     each = parsed.where(F.col("_r.transaction").isNotNull()).select(
         *keep, F.col("_r.transaction.request.uri").alias("_uri"), F.explode("_r.transaction.messages").alias("_m"))
     match = F.regexp_replace(F.coalesce("_m.details.match", F.lit("")), r"\(Value: .*$", REDACTED)
-    uri = F.substring_index(F.coalesce(F.nullif(F.col("_uri"), F.lit("")), F.lit("?")), "?", 1)
+    uri = F.substring_index(F.coalesce("_uri", F.lit("")), "?", 1)
     return each.select(*keep, F.coalesce("_m.details.ruleId", F.lit("?")).alias("rule_id"),
                        F.substring(match, 1, MATCH_CHARS).alias("match"), uri.alias("uri"),
                        F.coalesce("_m.message", F.lit("")).alias("message"))

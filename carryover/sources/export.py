@@ -47,7 +47,8 @@ def export_csv(df: DataFrame, path: str, order: Sequence[str]) -> int:
     back = df.sparkSession.read.schema(schema + ", `_corrupt` string").csv(
         path, header=True, multiLine=True, escape='"', nullValue="", columnNameOfCorruptRecord="_corrupt",
         mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    whole, broken = back.agg(F.count(F.lit(1)), F.count("_corrupt")).first()
+    # every column is read: a row is only checked for its width when it is parsed whole
+    whole, broken, *_ = back.agg(F.count(F.lit(1)), F.count("_corrupt"), *[F.count(c) for c in ordered.columns]).first()
     if broken:
         raise ValueError(f"{broken} exported rows do not have the table's width")
     return whole

@@ -195,13 +195,11 @@ def _(spark, sf):
     parsed AS (SELECT line_no, value::JSON AS j FROM ok)
     SELECT line_no, CAST(j->>'$.transaction.messages[0].details.ruleId' AS VARCHAR) AS rule_id,
            'Matched (value redacted)' AS match,
-           CASE WHEN j->>'$.transaction.request.uri' = '' THEN '?'
-                ELSE split_part(j->>'$.transaction.request.uri', '?', 1) END AS uri,
+           split_part(j->>'$.transaction.request.uri', '?', 1) AS uri,
            j->>'$.transaction.messages[0].message' AS message FROM parsed
     UNION ALL
     SELECT line_no, '?', 'plain',
-           CASE WHEN j->>'$.transaction.request.uri' = '' THEN '?'
-                ELSE split_part(j->>'$.transaction.request.uri', '?', 1) END, 'second' FROM parsed""")
+           split_part(j->>'$.transaction.request.uri', '?', 1), 'second' FROM parsed""")
 def _(spark, sf):
     return audit_log.triage(frame(spark, sf, "log_lines"))
 
