@@ -28,3 +28,12 @@ def count_frame(df: DataFrame, name: str = "rows") -> DataFrame:
 def capped_keys(df: DataFrame, keys: Sequence[str], limit: int = 50) -> DataFrame:
     """The first keys behind a count, in key order. The cap is the report's own."""
     return df.select(*keys).orderBy(*keys).limit(limit)
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames side by side, as scalar subqueries: no join is planned."""
+    out = first
+    for i, other in enumerate(others):
+        row = other.select(F.struct(*other.columns).alias(f"_row{i}")).scalar()
+        out = out.withColumn(f"_s{i}", row).select(*out.columns, f"_s{i}.*")
+    return out

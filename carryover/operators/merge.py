@@ -101,12 +101,10 @@ def appended_rows(judged: Judged, seed: DataFrame, *, floor: Column | int | None
     # the source's own ids split the appended rows evenly enough, and cost one column to read
     cuts = cut_points(judged.source, spec.source_of(pk), rows_per_range)
     numbered = with_ordinal(stored, "_old_id", "_ordinal", cuts=cuts)
-    base = seed.agg(F.coalesce(F.max(pk), F.lit(0)).alias("_base"))
+    base = seed.agg(F.coalesce(F.max(pk), F.lit(0))).scalar()
     if floor is not None:
-        base = base.select(F.greatest("_base", F.lit(floor)).alias("_base"))
-    # one row, joined to every row
-    return (numbered.withColumn("_one", F.lit(1)).join(F.broadcast(base.withColumn("_one", F.lit(1))), "_one")
-            .withColumn(pk, F.col("_base") + F.col("_ordinal")).drop("_base", "_ordinal", "_one"))
+        base = F.greatest(base, F.lit(floor) if isinstance(floor, int) else floor)
+    return numbered.withColumn(pk, base + F.col("_ordinal")).drop("_ordinal")
 
 
 def _names(spec: TableSpec) -> list[str]:
@@ -201,18 +199,16 @@ def insert_if_absent(present: DataFrame, wanted: DataFrame, name: str, pk: str,
     have = present.select(fold_name(F.col(name)).alias("_f")).distinct()
     lost = wanted.withColumn("_f", fold_name(F.col(name))).join(have, "_f", "left_anti").drop("_f")
     numbered = with_ordinal(lost, order, "_ordinal", cuts=cut_points(wanted, order))
-    base = present.agg(F.coalesce(F.max(pk), F.lit(0)).alias("_base")).withColumn("_one", F.lit(1))
-    return (numbered.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
-            .withColumn(pk, F.col("_base") + F.col("_ordinal")).drop("_base", "_ordinal", "_one"))
+    base = present.agg(F.coalesce(F.max(pk), F.lit(0))).scalar()
+    return numbered.withColumn(pk, base + F.col("_ordinal")).drop("_ordinal")
 
 
 def default_link(entities: DataFrame, links: DataFrame, parents: DataFrame, entity: str, parent: str,
                  enabled: Column) -> DataFrame:
     """(entity, parent) for entities without a link: the first enabled parent, one row."""
-    first = parents.where(enabled).agg(F.min(parent).alias(parent)).where(F.col(parent).isNotNull())
+    first = parents.where(enabled).agg(F.min(parent)).scalar()
     unlinked = entities.select(entity).join(links.select(entity).distinct(), entity, "left_anti")
-    return (unlinked.withColumn("_one", F.lit(1))
-            .join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one").select(entity, parent))
+    return unlinked.select(entity, first.alias(parent)).where(F.col(parent).isNotNull())
 
 
 def synthesise_membership(entities: DataFrame, members: DataFrame, activity: DataFrame, roles: DataFrame, *,
@@ -234,9 +230,8 @@ def synthesise_membership(entities: DataFrame, members: DataFrame, activity: Dat
                     how="inner")
     best = one_per_key(ranked, [entity], F.struct((F.col("role_name") == preferred).alias("p"), F.col("grants"),
                                                   (-F.col("role_id")).alias("i")), ["role_id"])
-    least = roles.agg(F.min_by("role_id", F.struct("grants", "role_id")).alias("_least")).withColumn("_one", F.lit(1))
-    chosen = (parents.join(best, entity, "left").withColumn("_one", F.lit(1))
-              .join(F.broadcast(least), "_one"))
+    least = roles.agg(F.min_by("role_id", F.struct("grants", "role_id"))).scalar()
+    chosen = parents.join(best, entity, "left").withColumn("_least", least)
     return chosen.select(entity, parent, F.coalesce("role_id", "_least").alias("role_id"),
                          F.when(F.col("role_id").isNull(), "least privileged").otherwise("own role").alias("source"))
 

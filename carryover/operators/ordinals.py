@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 
 from carryover.operators.skew import HOT_ROWS, hot_keys, key_hash
 
-ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 2048
+# A range is one window group: small enough for a task's memory, and no ranges at all
+# for a table that fits one. At most MAX_RANGES numbers reach the driver.
+ROWS_PER_RANGE = 500_000
+MAX_RANGES = 4096
 
 
 def cut_points(df: DataFrame, column: str, rows_per_range: int | None = None) -> list[float]:
     """Quantiles of ``column`` (at most ``MAX_RANGES`` numbers) that split the rows evenly."""
     rows_per_range = rows_per_range or ROWS_PER_RANGE
-    fractions = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    rows, cuts = df.agg(F.count(column), F.percentile_approx(F.col(column).cast("double"), fractions, 20000)).first()
+    fractions = ", ".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES))
+    rows, cuts = df.agg(F.count(column), F.expr(
+        f"percentile_approx(double(`{column}`), array({fractions}), 50000)")).first()
     ranges = min(MAX_RANGES, -(-rows // rows_per_range)) if rows else 1
     if ranges <= 1:
         return []

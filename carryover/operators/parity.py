@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.operators.counting import capped_keys, labelled_counts
+from carryover.operators.counting import beside, capped_keys, labelled_counts
 from carryover.operators.digest import digest_compare, digest_document, table_digest
 from carryover.operators.skew import lookup
 from carryover.spec import ColumnInfo, TableClass, TableSpec, compared, key_exprs, written
@@ -118,13 +118,13 @@ def multiset_parity(src: DataFrame, tgt: DataFrame, spec: TableSpec, *, scales:
     lanes = ["rows", "total", "parity", "unhashed"]
     e = table_digest(src.select(*normalised(spec, "source")), scales=scales, large=large)
     a = table_digest(tgt.select(*normalised(spec, "target")), scales=scales, large=large)
-    e = e.select(*[F.col(c).alias(f"expected_{c}") for c in lanes], F.lit(1).alias("_one"))
-    a = a.select(*[F.col(c).alias(f"actual_{c}") for c in lanes], F.lit(1).alias("_one"))
+    e = e.select(*[F.col(c).alias(f"expected_{c}") for c in lanes])
+    a = a.select(*[F.col(c).alias(f"actual_{c}") for c in lanes])
     unhashed = (F.col("expected_unhashed") > 0) | (F.col("actual_unhashed") > 0)
     content = (F.col("expected_total") != F.col("actual_total")) | (F.col("expected_parity") != F.col("actual_parity"))
     status = (F.when(unhashed, "unverified").when(F.col("expected_rows") != F.col("actual_rows"), "rows differ")
               .when(content, "content differs").otherwise("verified"))
-    return e.join(a, "_one").select(F.lit(spec.name).alias("table_name"), status.alias("status"),
+    return beside(e, a).select(F.lit(spec.name).alias("table_name"), status.alias("status"),
                                     "expected_rows", "actual_rows")
 
 
@@ -150,15 +150,15 @@ def copy_row_parity(src: DataFrame, tgt: DataFrame, name: str, key: Sequence[str
     rows, which must equal the target rows without a source twin and stay within
     ``limit``.
     """
-    n = src.agg(F.count(F.lit(1)).alias("source_rows")).withColumn("_one", F.lit(1))
+    n = src.agg(F.count(F.lit(1)).alias("source_rows"))
     own = F.lit(False) if admin is None else admin
     m = tgt.agg(F.count(F.lit(1)).alias("target_rows"), F.count_if(F.coalesce(own, F.lit(False))).alias("admin_rows"))
-    out = n.join(m.withColumn("_one", F.lit(1)), "_one")
+    out = beside(n, m)
     if recorded is None:
         out = out.withColumn("twinless", F.lit(0).cast("bigint"))
     else:
         twinless = tgt.where(~F.coalesce(own, F.lit(False))).join(src.select(*key), list(key), "left_anti")
-        out = out.join(twinless.agg(F.count(F.lit(1)).alias("twinless")).withColumn("_one", F.lit(1)), "_one")
+        out = beside(out, twinless.agg(F.count(F.lit(1)).alias("twinless")))
     ledger = F.lit(recorded or 0)
     expected = F.col("source_rows") + F.col("admin_rows") + ledger
     bad = F.col("target_rows") != expected
@@ -183,9 +183,8 @@ def merge_row_parity(src: DataFrame, tgt: DataFrame, spec: TableSpec, pruned: Co
     keys = [f"_k{i}" for i in range(len(spec.merge_keys))]
     lost = lookup(keyed, held, [(k, k) for k in keys], scatter=scatter, how="left_anti", null_safe=True,
                   hot_rows=hot_rows, counted=keyed.select(*keys))
-    sizes = (src.agg(F.count(F.lit(1)).alias("source_rows")).withColumn("_one", F.lit(1))
-             .join(tgt.agg(F.count(F.lit(1)).alias("target_rows")).withColumn("_one", F.lit(1)), "_one")
-             .join(lost.agg(F.count(F.lit(1)).alias("_lost")).withColumn("_one", F.lit(1)), "_one"))
+    sizes = beside(src.agg(F.count(F.lit(1)).alias("source_rows")), tgt.agg(F.count(F.lit(1)).alias("target_rows")),
+                   lost.agg(F.count(F.lit(1)).alias("_lost")))
     return sizes.select(F.lit(spec.name).alias("table_name"), F.lit("merge").alias("class"), "source_rows", "target_rows",
                         (F.col("target_rows") + F.col("_lost")).alias("expected_rows"),
                         F.when(F.col("_lost") > 0, "fail").otherwise("pass").alias("state"))
@@ -307,7 +306,7 @@ def archived_column_parity(src: DataFrame, live: DataFrame, preseed: DataFrame |
     else:
         counted = rows.agg(*[F.count(s).alias(f"n_{t}") for t, s in spec.archived.items()],
                            *[F.lit(0).cast("bigint").alias(f"x_{t}") for t in spec.archived])
-    joined = counted.withColumn("_one", F.lit(1)).join(stored.withColumn("_one", F.lit(1)), "_one")
+    joined = beside(counted, stored)
     entries = [F.struct(F.lit(t).alias("column_name"), F.col(f"n_{t}").alias("source_values"),
                         F.col(f"x_{t}").alias("twin_surplus"), F.col(t).alias("live_values"),
                         F.when(F.col(f"n_{t}") - F.col(f"x_{t}") == F.col(t), "pass").otherwise("fail").alias("state"))
@@ -390,9 +389,9 @@ def raw_field_parity(src: DataFrame, tgt: DataFrame, key: str, columns: Sequence
 def release_gate(parity: DataFrame, recheck: DataFrame) -> DataFrame:
     """May staging be dropped: every archive home verified and every mapping claim at zero."""
     homes = parity.agg(F.count_if(F.col("status") != "verified").alias("homes_not_verified"),
-                       F.count(F.lit(1)).alias("homes")).withColumn("_one", F.lit(1))
-    claims = recheck.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("mapping_violations")).withColumn("_one", F.lit(1))
-    row = homes.join(claims, "_one")
+                       F.count(F.lit(1)).alias("homes"))
+    claims = recheck.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("mapping_violations"))
+    row = beside(homes, claims)
     return row.select("homes", "homes_not_verified", "mapping_violations",
                       ((F.col("homes") > 0) & (F.col("homes_not_verified") == 0)
                        & (F.col("mapping_violations") == 0)).alias("may_release"))

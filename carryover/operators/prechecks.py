@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.transforms import NUMERIC, TEXTUAL
-from carryover.operators.counting import labelled_counts
+from carryover.operators.counting import beside, labelled_counts
 from carryover.operators.skew import lookup
 from carryover.spec import TableSpec, compared, source_expr
 
@@ -148,9 +148,7 @@ def sentinel_reference(child: DataFrame, column: str, parent: DataFrame, parent_
     real = child.where(F.col(column) != sentinel)
     invalid = fk_violations(real, parent, [(column, parent_key)], scatter, hot_rows).agg(
         F.count(F.lit(1)).alias("invalid"))
-    # three one-row frames side by side
-    tagged = [f.withColumn("_one", F.lit(1)) for f in (clash, simple, invalid)]
-    return tagged[0].join(tagged[1], "_one").join(tagged[2], "_one").drop("_one")
+    return beside(clash, simple, invalid)
 
 
 def unknown_objects(profile: DataFrame, mapped: DataFrame, *, prefix: str = "import_archived_", limit: int = 64,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.text import fold
+from carryover.operators.counting import beside
 from carryover.operators.ordinals import cut_points, with_ordinal
 from carryover.operators.skew import lookup
 from carryover.session import checkpoint_dir
@@ -71,7 +72,7 @@ def live_key_coverage(source: DataFrame, helper: DataFrame, *, pk: str, key: Seq
         complete = complete & F.col(k).isNotNull()
     repeated = (helper.where(complete).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
                 .agg(F.count_if(F.col("_n") > 1).alias("duplicate_live_keys")))
-    return (counts.withColumn("_one", F.lit(1)).join(repeated.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+    return beside(counts, repeated)
 
 
 def dedup_tag(pk: str, year: Column | None) -> Column:
@@ -183,8 +184,7 @@ def mapping_recheck(names: DataFrame, mapping: DataFrame, prefix: str, suffix: s
                 .agg(F.count(F.lit(1)).alias("collision")))
     repeats = (mapping.where(F.col("new_name").isNotNull()).groupBy(fold(F.col("new_name")).alias("_f"))
                .agg(F.count(F.lit(1)).alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("not_unique")))
-    side = [f.withColumn("_one", F.lit(1)) for f in (counted, collides, repeats)]
-    row = side[0].join(side[1], "_one").join(side[2], "_one").drop("_one")
+    row = beside(counted, collides, repeats)
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("claim"), F.col(c).alias("rows")) for c in row.columns])))
 
 
@@ -232,9 +232,9 @@ def classify_seed_collisions(live: DataFrame, seed: DataFrame, key: str, code: s
                  .select(fold(F.col(code)).alias("_code")).distinct().withColumn("_lives", F.lit(True)))
     judged = lookup(diverging.withColumn("_fold", fold(F.col(code))), surviving, [("_fold", "_code")], scatter=[key])
     lost = judged.where(F.col("_lives").isNull()).select(key)
-    top = (live.select(key).unionByName(seed.select(key)).agg(F.max(key).alias("_top")).withColumn("_one", F.lit(1)))
-    homes = (with_ordinal(lost, key, "_n", cuts=cut_points(live, key, rows_per_range)).withColumn("_one", F.lit(1))
-             .join(F.broadcast(top), "_one").select(F.col(key).alias("_lk"), (F.col("_top") + F.col("_n")).alias("new_key")))
+    top = live.select(key).unionByName(seed.select(key)).agg(F.max(key)).scalar()
+    homes = (with_ordinal(lost, key, "_n", cuts=cut_points(live, key, rows_per_range))
+             .select(F.col(key).alias("_lk"), (top + F.col("_n")).alias("new_key")))
     placed = at.join(homes, F.col(key) == F.col("_lk"), "left")
     action = (F.when(F.col(code).eqNullSafe(F.col("seed_code")), "same")
               .when(F.col("new_key").isNotNull(), "rehome").otherwise("replace"))

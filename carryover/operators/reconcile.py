@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from carryover.functions.text import basename
+from carryover.operators.counting import beside
 from carryover.operators.skew import lookup
 
 
@@ -57,9 +58,9 @@ def orphan_files(inventory: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 
 def orphan_report(orphans: DataFrame, limit: int = 50) -> DataFrame:
     """The exact total next to the first names: the total is not capped."""
-    total = orphans.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    first = orphans.orderBy("file_name").limit(limit).withColumn("_one", F.lit(1))
-    return total.join(first, "_one", "left").select("total", "file_name")
+    total = orphans.agg(F.count(F.lit(1)).alias("total"))
+    first = orphans.orderBy("file_name").limit(limit).agg(F.sort_array(F.collect_list("file_name")).alias("_first"))
+    return beside(total, first).select("total", F.explode_outer("_first").alias("file_name"))
 
 
 def static_html(html: Column) -> Column:
@@ -91,7 +92,9 @@ def html_asset_refs(pages: DataFrame, pk: str, html: str, token: str) -> DataFra
     value = F.coalesce(*[F.nullif(F.regexp_extract(one, f"^(?:{pattern})$", g), F.lit("")) for g in range(1, 6)])
     # entities and percent signs are decoded in batches, on the references only
     found = pages.select(pk, F.explode(F.array_distinct(hits)).alias("_hit")).select(pk, value.alias("_raw"))
-    decoded = found.where(F.col("_raw").isNotNull()).distinct().select(pk, decode_reference("_raw").alias("ref"))
+    # (marked nondeterministic so that the filter below does not evaluate it a second time)
+    decode = decode_reference.asNondeterministic()
+    decoded = found.where(F.col("_raw").isNotNull()).distinct().select(pk, decode("_raw").alias("ref"))
     return decoded.where(F.col("ref") != "").distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carryover.operators import reconcile as R
+from carryover.session import materialise
 from workload.digests import given
 from workload.registry import query
 from workload.roles import BASE, frame, frames
@@ -60,7 +61,7 @@ def refs(spark, sf):
 def _(spark, sf):
     assets = frame(spark, sf, "documents").select(F.col("lang").alias("asset")).unionByName(
         spark.sql("SELECT explode(array('The', 'bg.png')) AS asset"))
-    return R.asset_state(refs(spark, sf), assets)
+    return R.asset_state(materialise(refs(spark, sf), "references"), assets)
 
 
 @query("cross_source_claims", rf"""

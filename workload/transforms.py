@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carryover.functions import transforms as T
+from carryover.operators.counting import beside
 from carryover.spec import ColumnInfo, TableSpec
 from workload.registry import query
 from workload.roles import frame
@@ -165,7 +166,7 @@ def _(spark, sf):
                    F.count_if(F.col("person") != 1).alias("not_default"))
     name = F.replace("p_name", F.lit(" "), F.when(F.col("p_size") > 25, "").otherwise(" "))
     names = frame(spark, sf, "part").agg(F.count_if(T.bad_name(name)).alias("bad_names"))
-    return counts.withColumn("_one", F.lit(1)).join(names.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return beside(counts, names)
 
 
 NAMES = ["The", "und", "la", "los", "nowhere_table"]
