@@ -30,10 +30,13 @@ def capped_keys(df: DataFrame, keys: Sequence[str], limit: int = 50) -> DataFram
     return df.select(*keys).orderBy(*keys).limit(limit)
 
 
-def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """One-row frames side by side, as scalar subqueries: no join is planned."""
-    out = first
-    for i, other in enumerate(others):
-        row = other.select(F.struct(*other.columns).alias(f"_row{i}")).scalar()
-        out = out.withColumn(f"_s{i}", row).select(*out.columns, f"_s{i}.*")
-    return out
+def beside(*frames: DataFrame) -> DataFrame:
+    """One-row frames side by side, without a join.
+
+    The rows are stacked and folded into one, so the frames' jobs run at the same time
+    and no condition-free join is planned. Column names must differ.
+    """
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carryover.session import materialise
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -53,6 +55,12 @@ def _frame(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.sql(_named(ROLES[name], views))
 
 
+def write_down(spark: SparkSession, sf: str, *names: str) -> None:
+    """Turn roles into written tables for the rest of the run, as a staging area would hold them."""
+    for name in names:
+        _PLANS[(spark.sparkContext.applicationId, sf.rstrip("/"), name)] = materialise(frame(spark, sf, name), name)
+
+
 def frames(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
     return [frame(spark, sf, n) for n in names]
 
