@@ -57,7 +57,7 @@ def _(spark, sf):
     SELECT o_orderkey AS orderno, o_custkey AS custno,
            CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'U' END AS status,
            CAST(o_totalprice AS DECIMAL(12,2)) AS total, o_orderpriority AS priority, 'placed_on: skipped' AS notes
-    FROM orders""")
+    FROM orders""", text=["total"])
 def _(spark, sf):
     # a snapshot of an older patch level: another spelling, one column absent
     snapshot = frame(spark, sf, "orders").drop("o_orderdate").withColumnRenamed("o_totalprice", "O_TotalPrice")
@@ -66,7 +66,7 @@ def _(spark, sf):
     return project_mapped(snapshot, spec).withColumn("notes", F.lit(said))
 
 
-@query("project_mapped", "SELECT * FROM {tgt_orders}")
+@query("project_mapped", "SELECT * FROM {tgt_orders}", text=["total", "placed_on"])
 def _(spark, sf):
     return project_mapped(frame(spark, sf, "orders"), ORDERS_COPY)
 

@@ -48,7 +48,7 @@ def idmap(spark, sf):
     return written_merge(spark, sf)[3]
 
 
-@query("merge_seed_wins", f"WITH {MERGED} SELECT * FROM live")
+@query("merge_seed_wins", f"WITH {MERGED} SELECT * FROM live", text=["total"], micros=["placed_at"])
 def _(spark, sf):
     return merged(spark, sf)[2]
 
@@ -208,7 +208,7 @@ def _(spark, sf):
     SELECT c_custkey, CASE WHEN c.name IS NULL AND c.bal IS NULL AND s.name IS NOT NULL THEN s.name ELSE c.name END AS name,
            CAST(CASE WHEN c.name IS NULL AND c.bal IS NULL AND s.name IS NOT NULL THEN s.bal ELSE c.bal END AS DECIMAL(12,2)) AS bal,
            c.name IS NULL AND c.bal IS NULL AND s.name IS NOT NULL AS restored
-    FROM c LEFT JOIN single s ON s.s_nationkey = c.c_nationkey""")
+    FROM c LEFT JOIN single s ON s.s_nationkey = c.c_nationkey""", text=["bal"])
 def _(spark, sf):
     c, s = frames(spark, sf, "customer", "supplier")
     rows = c.select("c_custkey", F.col("c_nationkey").alias("nation"), F.when(F.col("c_acctbal") <= 3000, F.col("c_name")).alias("name"),
@@ -257,7 +257,7 @@ def _(spark, sf):
 
 @query("unknown_shadow", """
     SELECT order_no, placed_at, legacy_status FROM (SELECT order_no, CASE WHEN legacy_status = 'O' THEN placed_at END AS placed_at, legacy_status
-      FROM {st_orders}) WHERE placed_at IS NOT NULL OR legacy_status IS NOT NULL""")
+      FROM {st_orders}) WHERE placed_at IS NOT NULL OR legacy_status IS NOT NULL""", micros=["placed_at"])
 def _(spark, sf):
     spec = TableSpec("orders", columns={"order_no": ColumnInfo("bigint"), "cust_no": ColumnInfo("bigint"),
                                         "priority": ColumnInfo("varchar"), "total": ColumnInfo("decimal", precision=12, scale=2)},
@@ -268,7 +268,7 @@ def _(spark, sf):
 
 @query("archived_column_plan", """
     SELECT o_orderkey, o_custkey, o_orderdate AS import_archived_o_orderdate, o_orderpriority AS import_archived_o_orderpriority,
-           o_orderstatus AS import_archived_o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS import_archived_o_totalprice FROM orders""")
+           o_orderstatus AS import_archived_o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS import_archived_o_totalprice FROM orders""", text=["import_archived_o_totalprice"], micros=["import_archived_o_orderdate"])
 def _(spark, sf):
     src = frame(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)"))
     return M.project_mapped(src, with_archived(ARCHIVED, src))

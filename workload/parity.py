@@ -63,7 +63,7 @@ SIDES = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedp
 
 @query("multiset_offenders", f"""
     SELECT {SIDES}, 'source only' AS side, count(*) AS copies FROM (SELECT * FROM {{tgt_lineitem}} EXCEPT ALL SELECT * FROM {{bad_lineitem}}) GROUP BY ALL
-    UNION ALL SELECT {SIDES}, 'target only', count(*) FROM (SELECT * FROM {{bad_lineitem}} EXCEPT ALL SELECT * FROM {{tgt_lineitem}}) GROUP BY ALL""")
+    UNION ALL SELECT {SIDES}, 'target only', count(*) FROM (SELECT * FROM {{bad_lineitem}} EXCEPT ALL SELECT * FROM {{tgt_lineitem}}) GROUP BY ALL""", text=["l_quantity", "l_extendedprice"], micros=["l_shipdate"])
 def _(spark, sf):
     src, bad = frames(spark, sf, "lineitem", "bad_lineitem")
     return P.multiset_offenders(src, bad, LINES_COPY)

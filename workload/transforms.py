@@ -15,7 +15,7 @@ DATE_TEXT = """CASE WHEN o_orderstatus = 'P' THEN '0000-00-00' WHEN o_orderprior
 
 
 @query("zero_date_null", f"""
-    SELECT o_orderkey, TRY_CAST(nullif(nullif({DATE_TEXT}, '0000-00-00'), '0000-00-00 00:00:00') AS DATE) AS placed_on FROM orders""")
+    SELECT o_orderkey, TRY_CAST(nullif(nullif({DATE_TEXT}, '0000-00-00'), '0000-00-00 00:00:00') AS DATE) AS placed_on FROM orders""", text=["placed_on"])
 def _(spark, sf):
     text = frame(spark, sf, "orders").select("o_orderkey", F.expr(DATE_TEXT).alias("t"))
     return text.select("o_orderkey", T.zero_date_null(F.col("t")).try_cast("date").alias("placed_on"))
@@ -39,7 +39,7 @@ def _(spark, sf):
 @query("not_null_fallback", """
     SELECT id, coalesce(person, 0) AS person, coalesce(kind, '') AS kind, coalesce(optout, 0) AS optout,
            coalesce(edited, TIMESTAMP '0001-01-01 00:00:00') AS edited,
-           coalesce(CAST(edited AS DATE), DATE '0001-01-01') AS edited_on FROM {st_decisions}""")
+           coalesce(CAST(edited AS DATE), DATE '0001-01-01') AS edited_on FROM {st_decisions}""", text=["edited_on"], micros=["edited"])
 def _(spark, sf):
     def strict(kind):
         return ColumnInfo(kind, nullable=False)
