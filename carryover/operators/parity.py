@@ -81,12 +81,17 @@ def copy_value_parity(src: DataFrame, tgt: DataFrame, spec: TableSpec,
     if reason:
         return labelled_counts(src, ["table_name", "column_name", "state"],
                                [((spec.name, "(row)", f"not checked: {reason}"), F.lit(True))])
-    pairs = paired(src, tgt, spec, overrides)
     found = F.col("_found").isNotNull()
-    checks = [((spec.name, c), found & mismatch(spec, c)) for c in spec.carried]
-    checks.append(((spec.name, "(row)"), found & any_mismatch(spec, spec.carried)))
-    checks.append(((spec.name, "(missing)"), ~found))
-    counts = labelled_counts(pairs, ["table_name", "column_name"], checks)
+    names = spec.carried
+    # each comparison is made once; the row-level count reuses the columns' flags
+    flags = paired(src, tgt, spec, overrides).select(
+        found.alias("_found"), *[(found & mismatch(spec, c)).alias(f"_m{i}") for i, c in enumerate(names)])
+    differs = F.lit(False)
+    for i in range(len(names)):
+        differs = differs | F.col(f"_m{i}")
+    checks = [((spec.name, c), F.col(f"_m{i}")) for i, c in enumerate(names)]
+    checks += [((spec.name, "(row)"), differs), ((spec.name, "(missing)"), ~F.col("_found"))]
+    counts = labelled_counts(flags, ["table_name", "column_name"], checks)
     return counts.select("table_name", "column_name",
                          F.when(F.col("rows") == 0, "pass").otherwise("fail").alias("state"), "rows")
 

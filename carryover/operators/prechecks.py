@@ -103,13 +103,15 @@ def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, o
             checks.append((name, "capacity", out_of_capacity(value, info)))
         if info.type in ("date", "datetime", "timestamp"):
             checks.append((name, "temporal", temporal_loss(value, info, digits.get(name, 0))))
-    tests = [F.coalesce(t, F.lit(False)) for _, _, t in checks]
-    aggregates = [a for i, t in enumerate(tests) for a in (
-        F.count_if(t).alias(f"_n{i}"), F.min(F.when(t, F.col(key))).alias(f"_f{i}"))]
+    # each predicate is evaluated once, then counted and located from its flag
+    flags = df.select(F.col(key).alias("_key"), *[F.coalesce(t, F.lit(False)).alias(f"_b{i}")
+                                                  for i, (_, _, t) in enumerate(checks)])
+    aggregates = [a for i in range(len(checks)) for a in (
+        F.count_if(f"_b{i}").alias(f"_n{i}"), F.min(F.when(F.col(f"_b{i}"), F.col("_key"))).alias(f"_f{i}"))]
     rows = [F.struct(F.lit(spec.name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(k).alias("check_name"),
                      F.col(f"_n{i}").alias("rows"), F.col(f"_f{i}").alias("first_id"))
             for i, (c, k, _) in enumerate(checks)]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return flags.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def fk_violations(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]], scatter: Sequence[str],
