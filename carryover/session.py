@@ -16,15 +16,17 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # plans here are wide and built by code: do not record a call site per expression
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Options that only a builder may set. Plans here are wide and built by code: do not
+# record a call site per expression.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -33,7 +35,7 @@ def build(app: str = "carryover", master: str | None = None, **conf: str) -> Spa
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME, **conf}.items():
+    for key, value in {**RUNTIME, **STATIC, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
