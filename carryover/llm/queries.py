@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.jaccard_join import jaccard_groups
+from carryover.llm.mixing import mix_sources, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +39,8 @@ def _(spark, sf):
 @query("op3_jaccard_join")
 def _(spark, sf):
     return jaccard_groups(table(spark, sf, "documents"), shingle=4, percent=85)
+
+
+@query("op4_source_mixing")
+def _(spark, sf):
+    return mix_sources(table(spark, sf, "documents"), word_count(F.col("text")), weights=(5, 2, 1), limit=3.0)
