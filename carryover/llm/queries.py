@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carryover.llm.decontamination import contamination
 from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.jaccard_join import jaccard_groups
 from carryover.llm.mixing import mix_sources, word_count
@@ -44,3 +45,24 @@ def _(spark, sf):
 @query("op4_source_mixing")
 def _(spark, sf):
     return mix_sources(table(spark, sf, "documents"), word_count(F.col("text")), weights=(5, 2, 1), limit=3.0)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPLIT = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op8_decontamination", f"""
+    WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents), b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+           FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) t(i) WHERE len(w) > 0),
+    lengths AS (SELECT DISTINCT l FROM bw),
+    dw AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS win FROM (SELECT * FROM d, lengths), unnest(range(1, len(w) - l + 2)) t(i)),
+    occ AS (SELECT DISTINCT doc_id, i, l, item_id FROM dw JOIN bw USING (l, win)),
+    hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM occ, unnest(range(0, l)) t(j) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def _(spark, sf):
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
