@@ -11,6 +11,7 @@ from carryover.llm.decontamination import contamination
 from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.jaccard_join import jaccard_groups
 from carryover.llm.mixing import mix_sources, word_count
+from carryover.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_token_counts")
+def _(spark, sf):
+    return token_counts(table(spark, sf, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
+
+
 @query("op2_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
         sha256(coalesce(text, '')) AS text_sha256
