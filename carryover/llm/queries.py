@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from carryover.llm.decontamination import contamination
 from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.jaccard_join import jaccard_groups
+from carryover.llm.language_id import fold, language_id
 from carryover.llm.mixing import mix_sources, word_count
 from carryover.llm.token_counts import token_counts
 
@@ -72,3 +73,9 @@ _SPLIT = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
 def _(spark, sf):
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op10_language_id")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language_id(docs, docs.where(fold("doc_id", 5) != 0), held_out=fold("doc_id", 5) == 0)
