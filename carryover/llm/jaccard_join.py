@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from carryover.llm import grams
 from carryover.llm.batches import small_batches
+from carryover.llm.exchange import groups, range_edges, rows
 from carryover.llm.graph import components
 from carryover.session import materialise
 
@@ -59,10 +60,6 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
 def _cut(shingle: int, ranges: int, hot_from: int, chunk_size: int):
     def chunk_rows(chunk: int, ids: list, hashes: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         g, text = grams.ngrams(hashes, offsets, shingle, whole_when_short=True)
@@ -90,8 +87,7 @@ def _cut(shingle: int, ranges: int, hot_from: int, chunk_size: int):
         if hot.any():
             out.append((chunk % ranges, chunk, _HOT, grams.pack_sorted(keys[hot]), counts[hot].astype(np.uint32).tobytes(),
                         docs[np.repeat(hot, counts)].tobytes(), b""))
-        edges = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.float64) * (2.0 ** 48 / ranges)).astype(np.uint64))
-        edges = np.concatenate(([0], edges, [len(keys)]))
+        edges = range_edges(keys, 48, ranges)
         listed = np.concatenate(([0], np.cumsum(np.where(hot, 0, counts))))
         docs = docs[~np.repeat(hot, counts)]
         for r in np.flatnonzero(edges[1:] > edges[:-1]):
@@ -108,9 +104,9 @@ def _cut(shingle: int, ranges: int, hot_from: int, chunk_size: int):
             nonlocal serial, held, size, ids
             hashes = np.concatenate([h for h, _ in held])
             lengths = np.concatenate([np.diff(w) for _, w in held])
-            rows = chunk_rows(task * 1_000_000 + serial, ids, hashes, np.concatenate(([0], np.cumsum(lengths))))
+            made = chunk_rows(task * 1_000_000 + serial, ids, hashes, np.concatenate(([0], np.cumsum(lengths))))
             serial, held, size, ids = serial + 1, [], 0, []
-            return _rows(rows, _ROWS)
+            return rows(made, _ROWS)
 
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
@@ -126,21 +122,6 @@ def _cut(shingle: int, ranges: int, hot_from: int, chunk_size: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Consecutive rows with the same values in ``columns``."""
-    key, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            now = tuple(row[c] for c in columns)
-            if now != key:
-                if held:
-                    yield key, held
-                key, held = now, []
-            held.append(row)
-    if held:
-        yield key, held
-
-
 def _codes(frequency: np.ndarray) -> np.ndarray:
     """Document frequency as one byte: exact below 128, then eighths of a doubling."""
     rough = 128 + np.floor(8 * (np.log2(np.maximum(frequency, 1)) - 7))
@@ -149,9 +130,9 @@ def _codes(frequency: np.ndarray) -> np.ndarray:
 
 def _count(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ["deal"]):
-            out = [tuple(r.values()) for r in rows if r["kind"] != _ASK]
-            asks = [r for r in rows if r["kind"] == _ASK]
+        for _, found in groups(batches, ["deal"]):
+            out = [tuple(r.values()) for r in found if r["kind"] != _ASK]
+            asks = [r for r in found if r["kind"] == _ASK]
             keys = [grams.unpack_sorted(r["keys"]) for r in asks]
             if keys:
                 counts = [np.frombuffer(r["counts"], np.uint32) for r in asks]
@@ -168,26 +149,26 @@ def _count(hot: int):
                         out.append((r["deal"], r["chunk"], _ASK, grams.pack_sorted(k[keep]), c[keep].tobytes(), docs.tobytes(),
                                     _codes(df[keep]).tobytes()))
             if out:
-                yield _rows(out, _ROWS)
+                yield rows(out, _ROWS)
 
     return run
 
 
 def _gather(percent: int, hot_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ["chunk"]):
-            meta = next(r for r in rows if r["kind"] == _META)
+        for _, found in groups(batches, ["chunk"]):
+            meta = next(r for r in found if r["kind"] == _META)
             rid, doc_id = np.frombuffer(meta["keys"], np.int64), np.frombuffer(meta["docs"], np.int64)
             has_id = np.frombuffer(meta["counts"], np.uint8).astype(bool)
             n, s1, s2 = np.frombuffer(meta["codes"], np.int64).reshape(3, -1)
             hot = {}
-            for r in rows:
+            for r in found:
                 if r["kind"] == _HOT:
                     counts = np.frombuffer(r["counts"], np.uint32)
                     lists = np.split(np.frombuffer(r["docs"], np.uint16), np.cumsum(counts)[:-1])
                     hot = dict(zip(grams.unpack_sorted(r["keys"]).tolist(), lists))
             parts = []
-            for r in rows:
+            for r in found:
                 if r["kind"] == _ASK:
                     k, c = grams.unpack_sorted(r["keys"]), np.frombuffer(r["counts"], np.uint32)
                     code = np.frombuffer(r["codes"], np.uint8)
@@ -240,7 +221,7 @@ def _entries(percent: int):
                 left = np.bincount(part, minlength=PARTS) - np.cumsum(np.eye(PARTS, dtype=np.int32)[part[:take]], axis=0)
                 out += [(k, row["rid"], row["n"], row["own"] + i, left[i].tolist()) for i, k in enumerate(keys[:take].tolist())]
             if out:
-                yield _rows(out, pa.schema(fields))
+                yield rows(out, pa.schema(fields))
 
     return run
 
@@ -267,7 +248,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * common >= percent * (row["n_a"] + row["n_b"] - common):
                     good.append((row["a"], row["b"]))
             if good:
-                yield _rows(good, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                yield rows(good, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -275,25 +256,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(percent: int):
     """Verify the classes of one cell (two blocks of a bucket, or one with itself) at once."""
-    def cell(rows: list[dict]) -> list[tuple]:
-        sets = [np.frombuffer(r["shared"], np.int64) for r in rows]
-        sizes, n = np.array([len(s) for s in sets]), np.array([r["n"] for r in rows])
+    def cell(found: list[dict]) -> list[tuple]:
+        sets = [np.frombuffer(r["shared"], np.int64) for r in found]
+        sizes, n = np.array([len(s) for s in sets]), np.array([r["n"] for r in found])
         flat = np.concatenate(sets)
         _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-        line = np.repeat(np.arange(len(rows)), sizes)
+        line = np.repeat(np.arange(len(found)), sizes)
         use = often[column] > 1
         _, column = np.unique(column[use], return_inverse=True)
         line = line[use]
-        common = np.zeros((len(rows), len(rows)), np.float32)
+        common = np.zeros((len(found), len(found)), np.float32)
         width = 1 << 13
         for start in range(0, int(column.max()) + 1 if len(column) else 0, width):  # bounded scratch space
             here = (column >= start) & (column < start + width)
-            dense = np.zeros((len(rows), width), np.float32)
+            dense = np.zeros((len(found), width), np.float32)
             dense[line[here], column[here] - start] = 1
             common += dense @ dense.T
-        side, group = np.array([r["side"] for r in rows]), [r["label"] for r in rows]
+        side, group = np.array([r["side"] for r in found]), [r["label"] for r in found]
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-        cross = (side[:, None] != side[None, :]) | (rows[0]["i"] == rows[0]["j"])
+        cross = (side[:, None] != side[None, :]) | (found[0]["i"] == found[0]["j"])
         root: dict[int, int] = {}
 
         def find(x):
@@ -306,14 +287,14 @@ def _blocks(percent: int):
             x, y = find(group[a]), find(group[b])
             if x != y:
                 root[x] = y
-                out.append((rows[a]["rid"], rows[b]["rid"]))
+                out.append((found[a]["rid"], found[b]["rid"]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ["key", "i", "j"]):
-            out = cell(rows) if len(rows) > 1 else []
+        for _, found in groups(batches, ["key", "i", "j"]):
+            out = cell(found) if len(found) > 1 else []
             if out:
-                yield _rows(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                yield rows(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 

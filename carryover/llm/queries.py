@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from carryover.llm.decontamination import contamination
 from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.jaccard_join import jaccard_groups
+from carryover.llm.kneser_ney import kneser_ney_scores
 from carryover.llm.language_id import fold, language_id
 from carryover.llm.mixing import mix_sources, word_count
 from carryover.llm.token_counts import token_counts
@@ -79,3 +80,8 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return language_id(docs, docs.where(fold("doc_id", 5) != 0), held_out=fold("doc_id", 5) == 0)
+
+
+@query("op9_lm_scoring")
+def _(spark, sf):
+    return kneser_ney_scores(table(spark, sf, "documents"), held_out=fold("doc_id", 7) == 2, order=3)
