@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carryover.llm.decontamination import contamination
 from carryover.llm.exact_dedup import exact_dedup
+from carryover.llm.html_extraction import extract_text
 from carryover.llm.jaccard_join import jaccard_groups
 from carryover.llm.kneser_ney import kneser_ney_scores
 from carryover.llm.language_id import fold, language_id
@@ -85,3 +86,8 @@ def _(spark, sf):
 @query("op9_lm_scoring")
 def _(spark, sf):
     return kneser_ney_scores(table(spark, sf, "documents"), held_out=fold("doc_id", 7) == 2, order=3)
+
+
+@query("op7_html_extraction")
+def _(spark, sf):
+    return extract_text(table(spark, sf, "pages"))
