@@ -34,7 +34,14 @@ def _space_separated() -> tuple[np.ndarray, np.ndarray]:
     return inside, mix(lowered * _STEP + np.uint64(1))
 
 
-INSIDE, VALUE = _space_separated()
+SPACED = _space_separated()
+
+
+def alphanumeric() -> tuple[np.ndarray, np.ndarray]:
+    """The same for words of ASCII letters and digits and of bytes above ASCII."""
+    inside = np.zeros(256, bool)
+    inside[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+    return inside, SPACED[1]
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +73,16 @@ def _tables(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def _hash_segment(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hash_segment(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
     up, down = _tables(max(SEGMENT, len(data)) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(VALUE[data] * up[:len(data)], out=sums[1:])
+    np.cumsum(value[data] * up[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray] = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word, word offsets per text). Words never cross texts."""
+    word_byte, value = kind
     hashes, starts_all = [], []
     begin, total = 0, len(data)
     cuts = np.zeros(total + 1, bool)
@@ -83,21 +91,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         end = min(total, begin + SEGMENT)
         if end < total:  # end the segment where no word is cut
             back = end
-            while back > begin and INSIDE[data[back - 1]] and not cuts[back]:
+            while back > begin and word_byte[data[back - 1]] and not cuts[back]:
                 back -= 1
             if back > begin:
                 end = back
             else:
-                while end < total and INSIDE[data[end]] and not cuts[end]:
+                while end < total and word_byte[data[end]] and not cuts[end]:
                     end += 1
         part = data[begin:end]
-        inside = INSIDE[part]
+        inside = word_byte[part]
         fresh = inside.copy()
         fresh[1:] &= ~inside[:-1] | cuts[begin + 1:end]
         starts = np.flatnonzero(fresh)
         closing = inside.copy()
         closing[:-1] &= ~inside[1:] | cuts[begin + 1:end]
-        hashes.append(_hash_segment(part, starts, np.flatnonzero(closing) + 1))
+        hashes.append(_hash_segment(part, starts, np.flatnonzero(closing) + 1, value))
         starts_all.append(starts + begin)
         begin = end
     if not hashes:

@@ -13,6 +13,7 @@ from carryover.llm.html_extraction import extract_text
 from carryover.llm.jaccard_join import jaccard_groups
 from carryover.llm.kneser_ney import kneser_ney_scores
 from carryover.llm.language_id import fold, language_id
+from carryover.llm.license_scan import license_scan
 from carryover.llm.mixing import mix_sources, word_count
 from carryover.llm.token_counts import token_counts
 
@@ -91,3 +92,8 @@ def _(spark, sf):
 @query("op7_html_extraction")
 def _(spark, sf):
     return extract_text(table(spark, sf, "pages"))
+
+
+@query("op5_license_scans")
+def _(spark, sf):
+    return license_scan(table(spark, sf, "documents"))
