@@ -15,6 +15,7 @@ from carryover.llm.kneser_ney import kneser_ney_scores
 from carryover.llm.language_id import fold, language_id
 from carryover.llm.license_scan import license_scan
 from carryover.llm.mixing import mix_sources, word_count
+from carryover.llm.quality import quality_scores
 from carryover.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,9 @@ def _(spark, sf):
 @query("op5_license_scans")
 def _(spark, sf):
     return license_scan(table(spark, sf, "documents"))
+
+
+@query("op6_quality_classifier")
+def _(spark, sf):
+    found = quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), ["quality", "toxic"], F.col("source"), F.col("lang"))
+    return found.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
