@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carryover.llm.grams import binary_parts
 
@@ -166,12 +167,15 @@ def fit(learn: DataFrame, *, sample: int = 600, clusters: int = 4, rounds: int =
     return [r.lang for r in fitted], centroids, np.array([r.floor * slack for r in fitted]), idf
 
 
-def _predict(langs: list[str], centroids: np.ndarray, floors: np.ndarray, idf: np.ndarray):
+_ADDED = ("_lang_pred", "_score", "_rejected")
+
+
+def _predict(at: int, langs: list[str], centroids: np.ndarray, floors: np.ndarray, idf: np.ndarray):
     across = np.ascontiguousarray(centroids.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = binary_parts(batch.column(2))
+            data, offsets = binary_parts(batch.column(at))
             ascii_letter = np.concatenate(([0], np.cumsum((CLASS[data] > 0) & (CLASS[data] < 27))))
             letters = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
             for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
@@ -185,15 +189,22 @@ def _predict(langs: list[str], centroids: np.ndarray, floors: np.ndarray, idf: n
                     score += np.clip(cosine[np.arange(len(top)), top], 0, 1).tolist()
             ok = letters if langs else np.zeros(len(letters), bool)
             near = [bool(o and s > 0 and s >= floors[b]) for o, b, s in zip(ok, best, score)] if langs else [False] * len(letters)
+            names = [*batch.schema.names, *_ADDED]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array([langs[b] if o else "und" for o, b in zip(ok, best)] if langs else ["und"] * len(letters), pa.string()),
+                [*batch.columns, pa.array([langs[b] if o else "und" for o, b in zip(ok, best)] if langs else ["und"] * len(letters), pa.string()),
                  pa.array([float(s) if o else 0.0 for o, s in zip(ok, score)] if langs else [0.0] * len(letters), pa.float64()),
-                 pa.array([not n for n in near], pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                 pa.array([not n for n in near], pa.bool_())], names=names)
 
     return run
 
 
+def annotated(docs: DataFrame, learn: DataFrame, text_col: str = "text", **fitting) -> DataFrame:
+    """``docs`` with _lang_pred, _score and _rejected behind its own columns, see :func:`language_id`."""
+    model = fit(learn.select(F.col("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL"), **fitting)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(_ADDED, (T.StringType(), T.DoubleType(), T.BooleanType())))])
+    return docs.mapInArrow(_predict(docs.columns.index(text_col), *model), schema)
+
+
 def language_id(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, held_out: Column | None = None,
                 **fitting) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs``.
@@ -207,10 +218,10 @@ def language_id(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_
     * Every row gives a row; null and repeated ids are passed on. Texts are read whole.
     * Ties between centroids go to the language that is first in order. Other columns are not looked at.
     """
-    model = fit(learn.select(F.col("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL"), **fitting)
     flag = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), flag.alias("held_out"), F.col(text_col).alias("text"))
-            .mapInArrow(_predict(*model), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), flag.alias("held_out"), F.col(text_col).alias("text"))
+    return annotated(source, learn, **fitting).select(
+        "doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
 def fold(id_col: str, folds: int) -> Column:

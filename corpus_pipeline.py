@@ -1,3 +1,76 @@
-STAGES = []
+"""From raw documents to a training mix: five stages, each on all its predecessor kept.
+
+Decisions are taken back to the documents by doc_id. Rows that share a doc_id stay when the
+operator keeps any of them; a row without a doc_id cannot be named by a decision of
+near-duplicate search or decontamination and stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carryover.llm.decontamination import contamination
+from carryover.llm.exact_dedup import exact_dedup
+from carryover.llm.jaccard_join import jaccard_groups
+from carryover.llm.language_id import annotated, fold
+from carryover.llm.mixing import mix_sources, word_count
+from carryover.session import materialise
+
+
+def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``docs`` without the ids that no row of ``decisions`` (doc_id, stays) keeps."""
+    gone = decisions.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("NOT stays").select("doc_id")
+    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+
+
+def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents that it rejects (no letter, or far from every language) go."""
+    named = annotated(docs, docs.where(F.coalesce(fold("doc_id", 5) != 0, F.lit(False))))
+    return named.where("NOT _rejected").select(docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the row with the largest doc_id stays, once."""
+    found = materialise(exact_dedup(docs), "dedup")
+    left = _without(docs, found.select("doc_id", F.col("kept").alias("stays")))
+    # a doc_id with several rows may still repeat a text
+    again = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+    again = again.withColumnRenamed("doc_id", "again_id")
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    once = left.join(again, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return left.join(again, same, "left_anti").unionByName(once)
+
+
+def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (five words, 0.8): the smallest doc_id of each group stays."""
+    groups = jaccard_groups(docs, shingle=5, percent=80)
+    return _without(docs, groups.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with a window of a benchmark item go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("doc_id IS NOT NULL").select("doc_id", (~F.col("contaminated")).alias("stays")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: how many words and copies of each document the mix takes."""
+    return mix_sources(docs, word_count(F.col("text")), weights=(5, 2, 1), limit=3.0)
+
+
+STAGES = [("language_id", recognised), ("exact_dedup", deduplicated), ("jaccard_join", distinct_enough),
+          ("decontamination", decontaminated), ("source_mixing", mixed)]
+
+# Language ID and the join over whole sets have no SQL form.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return docs
