@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 # Column families and the Spark type that holds them.
 SPARK_TYPES = {
-    "tinyint": "tinyint", "smallint": "smallint", "int": "int", "bigint": "bigint",
+    "tinyint": "tinyint", "smallint": "smallint", "mediumint": "int", "int": "int", "bigint": "bigint",
+    "tinyint unsigned": "smallint", "smallint unsigned": "int", "mediumint unsigned": "int", "int unsigned": "bigint",
     "bigint unsigned": "decimal(20,0)", "float": "float", "double": "double", "bit": "boolean",
     "year": "int", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp",
     "char": "string", "varchar": "string", "text": "string", "enum": "string", "set": "string",
     "json": "string", "time": "string", "binary": "binary", "blob": "binary",
 }
-NUMERIC = {"tinyint", "smallint", "int", "bigint", "bigint unsigned", "decimal", "float", "double"}
+INTEGERS = {"tinyint", "smallint", "mediumint", "int", "bigint"}
+NUMERIC = INTEGERS | {f"{t} unsigned" for t in INTEGERS} | {"decimal", "float", "double"}
 TEMPORAL = {"date", "datetime", "timestamp"}
 TEXTUAL = {"char", "varchar", "text", "enum", "set", "json"}
 
@@ -159,11 +161,14 @@ def context_rewrite(path: Column, marker: str, root: str) -> Column:
     climbs out gives NULL, as does a path without the marker and a context.
     """
     root = root.rstrip("/")
-    pattern = f"^(.*?{marker})/([^/]+)(/.*)?$"
-    moved = resolve_segments(F.concat(F.lit(root + "/"), F.regexp_extract(path, pattern, 3)))
+    # what follows the first occurrence of the marker: a context, then the tail
+    start = F.locate(marker + "/", path)
+    parts = F.split(F.substring(path, start + len(marker) + 1, F.char_length(path)), "/")
+    marked = (start > 0) & (F.get(parts, F.lit(0)) != "")
+    moved = resolve_segments(F.concat(F.lit(root + "/"), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/")))
     inside = (moved == root) | moved.startswith(root + "/")
     slash = F.when(path.endswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(F.regexp_like(path, F.lit(pattern)) & inside, F.concat(moved, slash))
+    return F.when(marked & inside, F.concat(moved, slash))
 
 
 def prefix_rule(key: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> Column:

@@ -20,19 +20,28 @@ from carryover.spec import REMAP_PREFIX, TableSpec, key_exprs, source_expr, writ
 
 def with_idmaps(src: DataFrame, spec: TableSpec, idmaps: Mapping[str, DataFrame], scatter: Sequence[str],
                 hot_rows: int | None = None) -> DataFrame:
-    """Join each parent's id map; the written expressions read ``_remap_<column>``."""
+    """Join each parent's id map; the written expressions read ``_remap_<column>``.
+
+    Every parent needs a map: for a table whose ids do not change that is
+    :func:`identity_map`. Without one, references would silently become NULL.
+    """
     out = src
     for column, parent in spec.fk_remap.items():
         source = spec.source_of(column)
         if parent not in idmaps:
-            out = out.withColumn(REMAP_PREFIX + column, F.lit(None).cast("bigint"))
-            continue
+            raise KeyError(f"{spec.name}.{column}: no id map for {parent}")
         mapped = idmaps[parent].select("old_id", F.col("new_id").alias(REMAP_PREFIX + column))
         out = lookup(out, mapped, [(source, "old_id")], scatter=scatter, hot_rows=hot_rows,
                      counted=src.select(source))
     return out
 
 
+def identity_map(parent: DataFrame, spec: TableSpec) -> DataFrame:
+    """The id map of a table that keeps its ids: every stored key maps to itself."""
+    key = spec.source_of(spec.key[0])
+    return parent.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("old_id"), F.col(key).cast("bigint").alias("new_id")).distinct()
+
+
 def project_mapped(src: DataFrame, spec: TableSpec, idmaps: Mapping[str, DataFrame] | None = None,
                    scatter: Sequence[str] | None = None) -> DataFrame:
     """Source rows as the target stores them."""

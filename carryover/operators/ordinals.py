@@ -1,14 +1,17 @@
 """Dense ordinals over a whole table or within a key, without a one-task sort.
 
-Rows are cut into ranges of the ordering column at approximate quantiles. Each
-range is numbered on its own and shifted by the number of rows in the ranges
-below it. The range is a pure function of the row's value, so a recomputed task
-gives the same numbers and nothing has to be pinned in a cache.
+Rows are cut into ranges of the ordering column: at approximate quantiles, and each part
+between two quantiles evenly into as many pieces as the row count asks for, so a range
+stays near ``rows_per_range`` rows however large the table. Each range is numbered on its own
+and shifted by the number of rows in the ranges below it. The range is a pure function
+of the row's value, so a recomputed task gives the same numbers and nothing has to be
+pinned in a cache.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,47 +19,59 @@ from pyspark.sql import functions as F
 
 from carryover.operators.skew import HOT_ROWS, hot_keys, key_hash
 
-# A range is one window group: small enough for a task's memory, and no ranges at all
-# for a table that fits one. At most MAX_RANGES numbers reach the driver.
+# A range is one window group, small enough for a task's memory.
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 4096
+# Quantiles that reach the driver; between two of them ranges are cut evenly.
+QUANTILES = 1024
 
 
-def cut_points(df: DataFrame, column: str, rows_per_range: int | None = None) -> list[float]:
-    """Quantiles of ``column`` (at most ``MAX_RANGES`` numbers) that split the rows evenly."""
-    rows_per_range = rows_per_range or ROWS_PER_RANGE
-    fractions = ", ".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES))
-    rows, cuts = df.agg(F.count(column), F.expr(
-        f"percentile_approx(double(`{column}`), array({fractions}), 50000)")).first()
-    ranges = min(MAX_RANGES, -(-rows // rows_per_range)) if rows else 1
-    if ranges <= 1:
-        return []
-    step = MAX_RANGES / ranges
-    return sorted({cuts[min(len(cuts) - 1, int(i * step))] for i in range(1, ranges)})
+@dataclass(frozen=True)
+class Cuts:
+    """Edges from the smallest to the largest value, and the pieces between two of them."""
 
+    edges: tuple[float, ...]
+    pieces: int
 
-def with_range(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_range") -> DataFrame:
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    numbered = Bucketizer(splits=splits, inputCol="_cut", outputCol="_bucket").transform(
-        df.withColumn("_cut", F.col(column).cast("double")))
-    return numbered.withColumn(name, F.col("_bucket").cast("int")).drop("_cut", "_bucket")
+
+def cut_points(df: DataFrame, column: str, rows_per_range: int | None = None) -> Cuts:
+    """Where ranges of about ``rows_per_range`` rows begin."""
+    fractions = ", ".join(f"{i / QUANTILES}D" for i in range(QUANTILES + 1))
+    rows, found = df.agg(F.count(column), F.expr(f"percentile_approx(double(`{column}`), array({fractions}), 10000)")).first()
+    ranges = -(-rows // (rows_per_range or ROWS_PER_RANGE)) if rows else 1
+    parts = min(QUANTILES, ranges)
+    step = QUANTILES / parts
+    edges = sorted({found[min(QUANTILES, round(i * step))] for i in range(parts + 1)}) if rows else []
+    return Cuts(tuple(edges), -(-ranges // parts))
+
+
+def with_range(df: DataFrame, column: str, cuts: Cuts, name: str = "_range") -> DataFrame:
+    """Add the number of the range ``column`` lies in; rows outside the edges belong to the outer ranges."""
+    if len(cuts.edges) < 2:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    inner = cuts.edges[1:-1]
+    value = F.col(column).cast("double")
+    if inner:
+        bucketed = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_cut", outputCol="_bucket").transform(df.withColumn("_cut", value))
+    else:
+        bucketed = df.withColumn("_bucket", F.lit(0.0))
+    part = F.col("_bucket").cast("int")
+    edge = F.array(*[F.lit(e) for e in cuts.edges])
+    low, high = F.get(edge, part), F.get(edge, part + 1)
+    piece = F.least(F.lit(cuts.pieces - 1), F.greatest(F.lit(0), F.floor((value - low) / (high - low) * cuts.pieces)))
+    return bucketed.withColumn(name, part.cast("bigint") * cuts.pieces + piece).drop("_cut", "_bucket")
 
 
 def with_ordinal(df: DataFrame, order: str, name: str = "ordinal", *, rows_per_range: int | None = None,
-                 cuts: Sequence[float] | None = None) -> DataFrame:
+                 cuts: Cuts | None = None) -> DataFrame:
     """Add 1, 2, 3 ... in the order of the unique numeric column ``order``."""
     if cuts is None:
         cuts = cut_points(df, order, rows_per_range)
     ranged = with_range(df, order, cuts)
     local = F.row_number().over(Window.partitionBy("_range").orderBy(order)).cast("bigint")
-    if not cuts:
-        return ranged.withColumn(name, local).drop("_range")
-    # one row per range, at most MAX_RANGES of them
+    # one row per range
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     below = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_below"))
-    return (ranged.withColumn("_local", local).join(F.broadcast(below), "_range")
+    return (ranged.withColumn("_local", local).join(below, "_range")
             .withColumn(name, F.col("_local") + F.col("_below")).drop("_range", "_local", "_below"))
 
 
@@ -68,15 +83,13 @@ def with_group_ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str
     NULL key parts count as equal, as they do in a group-by.
     """
     hot_rows = hot_rows or HOT_ROWS
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    hot = hot_keys(df, keys, hot_rows)
     cuts = cut_points(df, order, rows_per_range or hot_rows)
     tagged = df.withColumn("_kh", key_hash(keys)).join(hot, "_kh", "left")
     tagged = with_range(tagged, order, cuts)
     tagged = tagged.withColumn("_range", F.when(F.col("_spread").isNull(), 0).otherwise(F.col("_range")))
     local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)).cast("bigint")
-    if not cuts:
-        return tagged.withColumn(name, local).drop("_kh", "_spread", "_range")
-    # sizes of hot (key, range) cells: at most HOT_KEYS keys times MAX_RANGES ranges
+    # sizes of the (key, range) cells of hot keys
     cells = (tagged.where(F.col("_spread").isNotNull()).groupBy(*keys, "_range")
              .agg(F.count(F.lit(1)).alias("_n")))
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range"))

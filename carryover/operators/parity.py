@@ -213,22 +213,47 @@ def seed_changes(live: DataFrame, preseed: DataFrame, key: Sequence[str], column
         *[F.col(f"p_{k}").alias(k) for k in key])
 
 
-def appended_mismatches(src: DataFrame, live: DataFrame, preseed: DataFrame, idmap: DataFrame, spec: TableSpec
-                        ) -> DataFrame:
-    """Appended rows whose live row does not hold the value the merge wrote, paired through the id map.
+def placed_rows(src: DataFrame, live: DataFrame, preseed: DataFrame, idmap: DataFrame | None, spec: TableSpec) -> DataFrame:
+    """Rows a merge had to append, as written (``e_``), next to what is stored (``d_``, ``_found``).
 
-    The surrogate itself is not compared: the merge did not carry it.
+    Rows that the id map leads to a seed row are none of them. A table without a
+    surrogate keeps its key; there the rows are those whose key the seed did not hold.
     """
     pk = spec.surrogate_pk
     columns = [c for c in spec.carried if c != pk]
     rows = src
     if spec.merge_exclude:
         rows = rows.where(~F.coalesce(spec.merge_exclude(), F.lit(False)))
+    if pk is None:
+        held = preseed.select(*key_exprs(spec, stored=True)).distinct()
+        names = [f"_k{i}" for i in range(len(spec.merge_keys))]
+        rows = lookup(rows.select("*", *key_exprs(spec, stored=False)), held, [(k, k) for k in names],
+                      scatter=[spec.source_of(k) for k in spec.key], how="left_anti", null_safe=True)
+        joined = paired(rows, live, spec)
+        return joined.withColumn("_old", F.col(f"e_{spec.key[0]}"))
     expected = rows.select(F.col(spec.source_of(pk)).alias("_old"), *[written(spec, c).alias(f"e_{c}") for c in columns])
-    placed = expected.join(idmap.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new")), "_old")
-    added = live.join(preseed.select(pk), pk, "left_anti").select(
-        F.col(pk).alias("_new"), *[F.col(c).alias(f"d_{c}") for c in columns])
-    return placed.join(added, "_new").where(any_mismatch(spec, columns)).select(F.col("_old").alias("old_id"))
+    led = expected.join(idmap.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new")), "_old", "left")
+    # surplus twins of a seed row leave here, so no target id is left with more than one row
+    added = led.join(preseed.select(F.col(pk).alias("_new")), "_new", "left_anti")
+    stored = live.select(F.col(pk).alias("_new"), *[F.col(c).alias(f"d_{c}") for c in columns], F.lit(True).alias("_found"))
+    return added.join(stored, "_new", "left")
+
+
+def appended_mismatches(src: DataFrame, live: DataFrame, preseed: DataFrame, idmap: DataFrame | None, spec: TableSpec
+                        ) -> DataFrame:
+    """Appended rows whose live row does not hold the value the merge wrote, paired through the id map.
+
+    The surrogate itself is not compared: the merge did not carry it. Rows that are not
+    there at all are :func:`appended_missing`.
+    """
+    columns = [c for c in spec.carried if c != spec.surrogate_pk]
+    return (placed_rows(src, live, preseed, idmap, spec).where(F.col("_found").isNotNull() & any_mismatch(spec, columns))
+            .select(F.col("_old").alias("old_id")))
+
+
+def appended_missing(src: DataFrame, live: DataFrame, preseed: DataFrame, idmap: DataFrame | None, spec: TableSpec) -> DataFrame:
+    """Rows the merge had to append that the live table does not hold."""
+    return placed_rows(src, live, preseed, idmap, spec).where(F.col("_found").isNull()).select(F.col("_old").alias("old_id"))
 
 
 def backfill_mismatches(src: DataFrame, live: DataFrame, preseed: DataFrame, spec: TableSpec,

@@ -19,10 +19,11 @@ from carryover.spec import TableSpec, compared, source_expr
 
 # The numeric literal grammar a text value must follow to be stored as a number.
 NUMERIC_LITERAL = r"^\s*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?\s*$"
-# Inclusive integer ranges, signed.
-INTEGER_RANGE = {"tinyint": (-128, 127), "smallint": (-32768, 32767), "int": (-2147483648, 2147483647),
-                 "bigint": (-9223372036854775808, 9223372036854775807),
-                 "bigint unsigned": (0, 18446744073709551615)}
+# Inclusive integer ranges.
+INTEGER_RANGE = {"tinyint": (-128, 127), "smallint": (-32768, 32767), "mediumint": (-8388608, 8388607),
+                 "int": (-2147483648, 2147483647), "bigint": (-9223372036854775808, 9223372036854775807),
+                 "tinyint unsigned": (0, 255), "smallint unsigned": (0, 65535), "mediumint unsigned": (0, 16777215),
+                 "int unsigned": (0, 4294967295), "bigint unsigned": (0, 18446744073709551615)}
 FLOAT_MAX = 3.4028234663852886e38
 # What a TIMESTAMP column can hold, in UTC.
 TIMESTAMP_RANGE = ("1970-01-01 00:00:01", "2038-01-19 03:14:07.999999")
@@ -50,31 +51,61 @@ def not_a_number(value: Column) -> Column:
     return (F.trim(value) != "") & ~F.regexp_like(value, F.lit(NUMERIC_LITERAL))
 
 
+def _decimal_parts(value: Column) -> tuple[Column, Column, Column]:
+    """(significant digits, digits behind the point, is negative) of a number's own decimal text.
+
+    Digits carry no zeros at either end, so 1500 is ("15", -2). Nothing is rounded, whatever
+    the number's size or scale.
+    """
+    text = F.lower(F.trim(value.cast("string")))
+    fraction = F.regexp_extract(text, "^[-+]?[0-9]*[.]([0-9]*)", 1)
+    every = F.concat(F.regexp_extract(text, "^[-+]?([0-9]*)", 1), fraction)
+    exponent = F.coalesce(F.regexp_extract(text, "e([-+]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    kept = F.rtrim(every, F.lit("0"))
+    digits = F.ltrim(kept, F.lit("0"))
+    behind = F.char_length(fraction) - exponent - F.char_length(every) + F.char_length(kept)
+    return digits, F.when(digits == "", 0).otherwise(behind), text.startswith("-") & (digits != "")
+
+
 def out_of_capacity(value: Column, info) -> Column:
-    """Outside the target's range, scale or float precision. Never raises on overflow."""
-    wide = value.try_cast("decimal(38,10)")
+    """Outside the target's range or scale, or not exactly what a float or double would hold. Never raises."""
+    digits, behind, negative = _decimal_parts(value)
+    ahead = F.char_length(digits) - behind
+    lossy = ~F.regexp_like(F.trim(value.cast("string")), F.lit(NUMERIC_LITERAL))
     if info.type in INTEGER_RANGE:
+        def beyond(limit: int) -> Column:
+            bound = str(abs(limit))
+            longer = ahead > len(bound)
+            return longer | ((ahead == len(bound)) & (F.rpad(digits, len(bound), "0") > bound)) if limit else digits != ""
+
         low, high = INTEGER_RANGE[info.type]
-        lossy = wide.isNull() | (wide < F.lit(low).cast("decimal(38,10)")) | (wide > F.lit(str(high)).cast("decimal(38,10)"))
-        return value.isNotNull() & (lossy | (wide != F.bround(wide, 0)))
-    if info.type == "decimal":
-        limit = "9" * (info.precision - info.scale) + ("." + "9" * info.scale if info.scale else "")
-        bound = F.lit(limit or "0").cast("decimal(38,10)")
-        return value.isNotNull() & (wide.isNull() | (F.abs(wide) > bound) | (wide != F.bround(wide, info.scale)))
-    number = value.try_cast("double")
-    if info.type == "float":
-        exact = number.cast("float").cast("double").try_cast("decimal(38,10)")
-        return value.isNotNull() & (number.isNull() | (F.abs(number) > FLOAT_MAX) | ~exact.eqNullSafe(wide))
-    return value.isNotNull() & number.isNull()
+        lossy = lossy | (behind > 0) | F.when(negative, beyond(low)).otherwise(beyond(high))
+    elif info.type == "decimal":
+        lossy = lossy | (behind > info.scale) | (ahead > info.precision - info.scale)
+    else:
+        number = value.try_cast("double")
+        held = number.cast("float").cast("double") if info.type == "float" else number
+        same = [a.eqNullSafe(b) for a, b in zip(_decimal_parts(held), (digits, behind, negative))]
+        lossy = lossy | number.isNull() | ~(same[0] & same[1] & same[2])
+        if info.type == "float":
+            lossy = lossy | (F.abs(number) > FLOAT_MAX)
+    return value.isNotNull() & lossy
 
 
 def temporal_loss(value: Column, info, digits: int = 0) -> Column:
-    """Fraction or time of day the narrower type would drop, or a moment TIMESTAMP cannot hold."""
+    """Fraction or time of day the narrower type would drop, or a moment TIMESTAMP cannot hold.
+
+    ``digits`` is the target's number of fraction digits, 0 to 6.
+    """
+    if digits not in range(7):
+        raise ValueError(f"{digits} fraction digits: a moment has 0 to 6")
+    if info.type == "time":
+        fraction = F.rtrim(F.regexp_extract(value.cast("string"), "[.]([0-9]*)", 1), F.lit("0"))
+        return value.isNotNull() & (F.char_length(fraction) > digits)
     moment = value.cast("timestamp_ntz")
     if info.type == "date":
         return value.isNotNull() & (moment != F.date_trunc("DAY", moment).cast("timestamp_ntz"))
-    unit = {0: "SECOND", 3: "MILLISECOND"}.get(digits)
-    lost = F.lit(False) if unit is None else moment != F.date_trunc(unit, moment).cast("timestamp_ntz")
+    lost = F.pmod(F.unix_micros(moment.cast("timestamp")), F.lit(10 ** (6 - digits))) != 0
     if info.type == "timestamp":
         low, high = (F.lit(t).cast("timestamp_ntz") for t in TIMESTAMP_RANGE)
         lost = lost | (moment < low) | (moment > high)
@@ -101,7 +132,7 @@ def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, o
             if declared is not None and declared.type in TEXTUAL and name not in spec.value_exprs:
                 checks.append((name, "not_a_number", not_a_number(value)))
             checks.append((name, "capacity", out_of_capacity(value, info)))
-        if info.type in ("date", "datetime", "timestamp"):
+        if info.type in ("date", "datetime", "timestamp", "time"):
             checks.append((name, "temporal", temporal_loss(value, info, digits.get(name, 0))))
     # each predicate is evaluated once, then counted and located from its flag
     flags = df.select(F.col(key).alias("_key"), *[F.coalesce(t, F.lit(False)).alias(f"_b{i}")

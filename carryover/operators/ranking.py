@@ -208,11 +208,11 @@ def retained_generations(names: DataFrame, inventory: DataFrame, *, latest: bool
               .select(F.col("original_name").alias("_name"), "_tables", "_refs", "_latest", "_rivals"))
     full = lookup(backed, judged, [("original_name", "_name")], scatter=["source_table", "row_id"], hot_rows=hot_rows,
                   counted=names.select("original_name"))
-    older = "older generation archived by selection policy" if latest else "shared by several generations"
-    status = (F.when(F.col("_there").isNull(), "file unavailable in backup")
-              .when(F.col("_tables") > 1, "shared between generation tables")
+    older = "older" if latest else "several-rows"
+    status = (F.when(F.col("_there").isNull(), "no-file")
+              .when(F.col("_tables") > 1, "several-tables")
               .when((F.col("_refs") > 1) & ((F.col("row_id") != F.col("_latest")) | F.lit(not latest)), older)
-              .when(F.col("_rivals") > 1, "conflicts with another surviving filename").otherwise("retained"))
+              .when(F.col("_rivals") > 1, "name-clash").otherwise("retained"))
     return full.select("source_table", "row_id", "original_name", status.alias("status"))
 
 
@@ -248,11 +248,12 @@ def apply_seed_collisions(live: DataFrame, seed: DataFrame, plan: DataFrame, bac
     A colliding row moves or goes only where the backup holds exactly the same bytes.
     """
     columns = live.columns
-    whole = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
-    saved = backup.select(F.col(key).alias("_bk"), whole.alias("_saved"))
+    saved = backup.select(F.col(key).alias("_bk"), *[F.col(c).alias(f"_s_{c}") for c in columns])
     placed = live.join(plan.select(F.col(key).alias("_pk"), "action", "new_key"), F.col(key) == F.col("_pk"), "left")
-    checked = placed.join(saved, F.col(key) == F.col("_bk"), "left").withColumn("_now", whole)
-    safe = F.col("_saved").eqNullSafe(F.col("_now"))
+    checked = placed.join(saved, F.col(key) == F.col("_bk"), "left")
+    safe = F.col("_bk").isNotNull()
+    for c in columns:
+        safe = safe & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
     untouched = checked.where(F.col("action").isNull()).select(*columns)
     moved = checked.where((F.col("action") == "rehome") & safe).select(
         *[F.col("new_key").cast(dict(live.dtypes)[key]).alias(key) if c == key else F.col(c) for c in columns])

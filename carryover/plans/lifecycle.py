@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carryover.functions.charset import charset_census
 from carryover.operators import findings as K
 from carryover.operators import merge as M
 from carryover.operators import parity as P
-from carryover.operators.prechecks import precheck
+from carryover.operators.archive import dropped_shadow, homes_of, preserve_table, unknown_columns, unknown_shadow
+from carryover.operators.prechecks import dropped_value_scan, fk_violations, precheck, unique_conflicts
 from carryover.session import tune
-from carryover.spec import TableClass, TableSpec, effective_spec
+from carryover.spec import TableClass, TableSpec, effective_spec, written
 
 
 class Refused(RuntimeError):
@@ -51,27 +55,84 @@ class Migration:
     def _read(self, role: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self._path(role, table))
 
+    def _renumbered(self, table: str) -> bool:
+        spec = self._specs.get(table)
+        return spec is not None and spec.cls is TableClass.MERGE and spec.surrogate_pk is not None
+
+    def _maps(self, spec: TableSpec, own: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The id map of every parent: what its merge wrote, or the identity of a table that keeps its ids."""
+        maps = {}
+        for parent in spec.fk_remap.values():
+            if parent == spec.name and self._renumbered(parent):
+                maps[parent] = own if own is not None else self._read("idmap", parent)
+            elif self._renumbered(parent):
+                maps[parent] = self._read("idmap", parent)
+            elif parent in self._specs:
+                maps[parent] = M.identity_map(self.staging[parent], self._specs[parent])
+        return maps
+
+    def _sources(self, spec: TableSpec, own: DataFrame | None = None) -> DataFrame:
+        """The staged rows next to the new ids of what they refer to."""
+        src = self.staging[spec.name]
+        if not spec.fk_remap:
+            return src
+        return M.with_idmaps(src, spec, self._maps(spec, own), [spec.source_of(k) for k in spec.key])
+
     def ordered(self) -> list[TableSpec]:
-        """Parents before children, as the remaps need; the declared order breaks ties."""
+        """Renumbered parents before their children; the declared order breaks ties.
+
+        A table may refer to itself. Tables that renumber each other in a circle are refused.
+        """
         placed: list[TableSpec] = []
         waiting = list(self._specs.values())
         while waiting:
-            names = {s.name for s in waiting}
-            ready = [s for s in waiting if not (set(s.fk_remap.values()) - {s.name}) & names] or waiting[:1]
+            names = {s.name for s in waiting if self._renumbered(s.name)}
+            ready = [s for s in waiting if not (set(s.fk_remap.values()) - {s.name}) & names]
+            if not ready:
+                raise Refused(f"circular references: {', '.join(sorted(s.name for s in waiting))}")
             placed += ready
             waiting = [s for s in waiting if s not in ready]
         return placed
 
     def preflight(self) -> tuple[DataFrame, DataFrame]:
-        """(findings, verdict) over every staged table; reads only."""
+        """(findings, verdict) over every staged table; reads only.
+
+        Values the target cannot hold, keys that repeat, references without a parent,
+        text in a wrong charset and values without a home, each with the sign-off that
+        settles it where there is one.
+        """
         checks = []
         for spec in self._specs.values():
+            df = self.staging[spec.name]
             key = spec.source_of((spec.key or tuple(spec.columns))[0])
-            found = precheck(self.staging[spec.name], spec, key)
-            checks.append(found.where(F.col("rows") > 0).select(
+            name = lambda column: (F.lit(spec.name).alias("table_name"), column.cast("string").alias("column_name"))  # noqa: E731, B023
+            found = precheck(df, spec, key)
+            checks.append(found.select(
                 F.concat(F.lit("value-"), F.col("check_name")).alias("finding_id"), F.lit(K.BLOCKER).alias("severity"),
                 "table_name", "column_name", "rows", F.lit(None).cast("string").alias("accept")))
-        found = K.findings(checks)
+            if len(spec.key) == 1 and spec.cls is TableClass.COPY and spec.key[0] in spec.columns:
+                twice = unique_conflicts(df, key, spec.columns[spec.key[0]]).agg(F.coalesce(F.sum("extras"), F.lit(0)).alias("rows"))
+                checks.append(K.finding(twice, "key-repeats", K.BLOCKER, spec.name, spec.key[0]))
+            for column, parent in spec.fk_remap.items():
+                if parent in self._specs and len(self._specs[parent].key) == 1:
+                    own = self._specs[parent]
+                    lost = fk_violations(df, self.staging[parent], [(spec.source_of(column), own.source_of(own.key[0]))], [key])
+                    # a reference that may be NULL becomes NULL, which is said; any other stays raw, which needs a sign-off
+                    free = spec.columns[column].nullable
+                    checks.append(K.finding(lost.agg(F.count(F.lit(1)).alias("rows")), "reference-without-parent",
+                                            K.ADVISORY if free else K.BLOCKER, spec.name, column, None if free else "keep-raw-references"))
+            if spec.charset_scan:
+                # a column that the mapping repairs was signed off with the mapping
+                scanned = [spec.source_of(c) for c in spec.charset_scan if c not in spec.repaired]
+                if scanned:
+                    checks.append(charset_census(df, scanned, spec.name).select(
+                        F.concat(F.lit("charset-"), F.col("lane")).alias("finding_id"), F.lit(K.BLOCKER).alias("severity"),
+                        "table_name", "column_name", "rows", "accept"))
+            if spec.dropped:
+                checks.append(dropped_value_scan(df, spec).select(
+                    F.lit("value-without-home").alias("finding_id"), F.lit(K.ADVISORY).alias("severity"), *name(F.col("column_name")), "rows",
+                    F.lit(None).cast("string").alias("accept")))
+        found = K.findings(checks).where(F.col("rows").isNull() | (F.col("rows") > 0))
         return found, K.preflight_verdict(found, self.accepted)
 
     def apply(self) -> None:
@@ -79,22 +140,30 @@ class Migration:
         verdict = self.preflight()[1].first()
         if verdict.exit_code:
             raise Refused(verdict.verdict)
-        idmaps: dict[str, DataFrame] = {}
         for spec in self.ordered():
             src = self.staging[spec.name]
-            needed = {p: idmaps[p] for p in spec.fk_remap.values() if p in idmaps}
-            if spec.fk_remap:
-                src = M.with_idmaps(src, spec, needed, [spec.source_of(k) for k in spec.key])
+            preserve_table(src, spec.cls, {home: self._path(f"kept/{home}", spec.name) for home in homes_of(spec.cls)})
+            if spec.dropped:
+                dropped_shadow(src, spec).write.mode("overwrite").parquet(self._path("dropped", spec.name))
+            if unknown_columns(spec, src):
+                unknown_shadow(src, spec).write.mode("overwrite").parquet(self._path("unknown", spec.name))
             if spec.cls is TableClass.MERGE:
-                self._merge(spec, src)
-                idmaps[spec.name] = self._read("idmap", spec.name)
-            else:
-                src.select(*M.written_columns(spec)).write.mode("overwrite").parquet(self._path("live", spec.name))
+                self._merge(spec)
+            elif spec.cls is TableClass.COPY:
+                self._sources(spec).select(*M.written_columns(spec)).write.mode("overwrite").parquet(self._path("live", spec.name))
 
-    def _merge(self, spec: TableSpec, src: DataFrame) -> None:
+    def _merge(self, spec: TableSpec) -> None:
         # the snapshot is written first and read back: every later step sees the same seed
         self.seed[spec.name].write.mode("overwrite").parquet(self._path("preseed", spec.name))
-        seed = self._read("preseed", spec.name)
+        seed, src = self._read("preseed", spec.name), self.staging[spec.name]
+        refers_to_itself = spec.name in spec.fk_remap.values() and self._renumbered(spec.name)
+        if refers_to_itself:
+            # new ids do not depend on the references, so a first pass without them gives the id map
+            nothing = self.spark.createDataFrame([], "old_id bigint, new_id bigint")
+            live, _, _ = M.merge_seed_wins(self._sources(spec, nothing), seed, spec)
+            live.write.mode("overwrite").parquet(self._path("numbered", spec.name))
+            M.idmap_twins(self._sources(spec, nothing), self._read("numbered", spec.name), spec).write.mode("overwrite").parquet(self._path("idmap", spec.name))
+        src = self._sources(spec)
         live, _, judged = M.merge_seed_wins(src, seed, spec)
         live.write.mode("overwrite").parquet(self._path("merged", spec.name))
         M.merge_overridden(judged).write.mode("overwrite").parquet(self._path("overridden", spec.name))
@@ -103,7 +172,7 @@ class Migration:
             key = [spec.surrogate_pk] if spec.surrogate_pk else list(spec.key)
             written = M.archived_backfill(written, seed, src, spec, key)
         written.write.mode("overwrite").parquet(self._path("live", spec.name))
-        if spec.surrogate_pk:
+        if spec.surrogate_pk and not refers_to_itself:
             (M.idmap_twins(src, self._read("live", spec.name), spec).write.mode("overwrite")
              .parquet(self._path("idmap", spec.name)))
 
@@ -111,28 +180,66 @@ class Migration:
         """(table_name, item, rows): values that did not arrive, by table and claim."""
         out = None
         for spec in self._specs.values():
-            src, live = self.staging[spec.name], self._read("live", spec.name)
-            if spec.fk_remap:
-                maps = {p: self._read("idmap", p) for p in spec.fk_remap.values() if p in self._specs
-                        and self._specs[p].cls is TableClass.MERGE}
-                src = M.with_idmaps(src, spec, maps, [spec.source_of(k) for k in spec.key])
-            if spec.cls is TableClass.MERGE:
-                rows = P.merge_parity(src, live, self._read("preseed", spec.name), self._read("idmap", spec.name), spec)
-                rows = rows.select(F.lit(spec.name).alias("table_name"), F.col("claim").alias("item"), "rows")
-            elif P.unpairable_reason(spec):
-                rows = P.multiset_parity(src, live, spec).select(
-                    "table_name", F.lit("content").alias("item"), F.when(F.col("status") == "verified", 0).otherwise(1)
-                    .cast("bigint").alias("rows"))
+            if spec.cls not in (TableClass.COPY, TableClass.MERGE):
+                kept = {home: {spec.name: self._read(f"kept/{home}", spec.name)} for home in homes_of(spec.cls)}
+                rows = self._preserved(spec, kept)
             else:
-                rows = P.copy_value_parity(src, live, spec).select("table_name", F.col("column_name").alias("item"), "rows")
-            out = rows if out is None else out.unionByName(rows)
+                rows = self._arrived(spec)
+            if rows is not None:
+                out = rows if out is None else out.unionByName(rows)
         return out
 
+    def _preserved(self, spec: TableSpec, kept: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame | None:
+        if not kept:
+            return None
+        return P.preserved_parity({spec.name: self.staging[spec.name]}, kept).select(
+            "table_name", F.concat(F.col("home"), F.lit(" home")).alias("item"),
+            F.when(F.col("status") == "verified", 0).otherwise(1).cast("bigint").alias("rows"))
+
+    def _arrived(self, spec: TableSpec) -> DataFrame:
+        src, live = self._sources(spec), self._read("live", spec.name)
+        counted = lambda df, item: df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(spec.name).alias("table_name"), F.lit(item).alias("item"), "rows")
+        if spec.cls is TableClass.MERGE:
+            preseed = self._read("preseed", spec.name)
+            idmap = self._read("idmap", spec.name) if spec.surrogate_pk else None
+            rows = P.merge_parity(src, live, preseed, idmap, spec).select(F.lit(spec.name).alias("table_name"), F.col("claim").alias("item"), "rows")
+            rows = rows.unionByName(counted(P.appended_missing(src, live, preseed, idmap, spec), "appended and there"))
+        elif P.unpairable_reason(spec):
+            rows = P.multiset_parity(src, live, spec).select(
+                "table_name", F.lit("content").alias("item"), F.when(F.col("status") == "verified", 0).otherwise(1)
+                .cast("bigint").alias("rows"))
+        else:
+            rows = P.copy_value_parity(src, live, spec).select("table_name", F.col("column_name").alias("item"), "rows")
+            extra = live.select(*[F.col(k).alias(f"l_{k}") for k in spec.key]).join(
+                src.select(*[written(spec, k).alias(f"s_{k}") for k in spec.key]),
+                reduce(and_, [F.col(f"l_{k}").eqNullSafe(F.col(f"s_{k}")) for k in spec.key]), "left_anti")
+            rows = rows.unionByName(counted(extra, "(surplus)"))
+            for column, parent in spec.fk_remap.items():
+                if parent in self._specs and len(self._specs[parent].key) == 1:
+                    # against the raw source: a reference that has a parent must not be stored as NULL
+                    own = self._specs[parent]
+                    known = self.staging[parent].select(F.col(own.source_of(own.key[0])).alias("_p")).distinct()
+                    raw = self.staging[spec.name]
+                    held = raw.join(known, F.col(spec.source_of(column)) == F.col("_p"), "left_semi").select(
+                        *[written(spec, k).alias(f"s_{k}") for k in spec.key if k not in spec.fk_remap])
+                    if held.columns:
+                        empty = live.where(F.col(column).isNull()).join(
+                            held, reduce(and_, [F.col(c[2:]).eqNullSafe(F.col(c)) for c in held.columns]), "left_semi")
+                        rows = rows.unionByName(counted(empty, f"{column}: lost references"))
+        return rows
+
     def report(self, verified: DataFrame) -> DataFrame:
         """The long report: what arrived, where else it went, what was not checked, findings, verdict."""
         found, verdict = self.preflight()
         arrived = elsewhere = None
         for spec in self._specs.values():
+            if spec.cls not in (TableClass.COPY, TableClass.MERGE):
+                for home in homes_of(spec.cls):
+                    row = self._read(f"kept/{home}", spec.name).agg(F.count(F.lit(1)).alias("rows")).select(
+                        F.lit(f"{spec.name}: {home} rows").alias("item"), "rows")
+                    elsewhere = row if elsewhere is None else elsewhere.unionByName(row)
+                continue
             row = self._read("live", spec.name).agg(F.count(F.lit(1)).alias("rows")).select(
                 F.lit(f"{spec.name}: live rows").alias("item"), "rows")
             arrived = row if arrived is None else arrived.unionByName(row)

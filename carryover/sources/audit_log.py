@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 RECORD = """transaction struct<request: struct<uri: string>,
   messages: array<struct<message: string, details: struct<ruleId: string, match: string>>>>"""
-# What replaces a matched value, and how much of a match is shown.
+# Fixed value: what replaces a matched value.
 REDACTED = "(value redacted)"
-MATCH_CHARS = 160
 
 
-def triage(lines: DataFrame, line: str = "value") -> DataFrame:
+def triage(lines: DataFrame, line: str = "value", *, match_chars: int | None = None) -> DataFrame:
     """(rule_id, match, uri, message): one row per message of each well-formed line.
 
     Malformed lines are dropped, the query string is cut off the URI and the matched
-    value is redacted. Stateless, so the same function serves a stream.
+    value is redacted. ``match_chars`` shortens what is shown of a match, for a terminal.
+    Stateless, so the same function serves a stream.
     """
     keep = [c for c in lines.columns if c != line]
     parsed = lines.select(*keep, F.from_json(line, RECORD, {"mode": "PERMISSIVE"}).alias("_r"))
     each = parsed.where(F.col("_r.transaction").isNotNull()).select(
         *keep, F.col("_r.transaction.request.uri").alias("_uri"), F.explode("_r.transaction.messages").alias("_m"))
     match = F.regexp_replace(F.coalesce("_m.details.match", F.lit("")), r"\(Value: .*$", REDACTED)
+    if match_chars is not None:
+        match = F.substring(match, 1, match_chars)
     uri = F.substring_index(F.coalesce("_uri", F.lit("")), "?", 1)
     return each.select(*keep, F.coalesce("_m.details.ruleId", F.lit("?")).alias("rule_id"),
-                       F.substring(match, 1, MATCH_CHARS).alias("match"), uri.alias("uri"),
+                       match.alias("match"), uri.alias("uri"),
                        F.coalesce("_m.message", F.lit("")).alias("message"))
 
 

@@ -73,7 +73,8 @@ def test_remap_of_unknown_id(spark):
     strict = replace(CHILD, columns={**CHILD.columns, "parent_id": ColumnInfo("bigint", nullable=False)})
     out = project_mapped(staging(spark)["child"], strict, {"parent": idmap})
     assert [r.parent_id for r in out.orderBy("id").collect()] == [100, 2, 99, 3]
-    assert "_remap_parent_id" in with_idmaps(staging(spark)["child"], CHILD, {}, ["id"]).columns
+    with pytest.raises(KeyError):  # a missing map must not turn references into NULL
+        with_idmaps(staging(spark)["child"], CHILD, {}, ["id"])
 
 
 def test_context_rewrite(spark):
@@ -96,3 +97,72 @@ def test_html_references(spark):
     for r in R.html_asset_refs(df, "i", "h", "${t}").collect():
         got.setdefault(r.i, []).append(r.ref)
     assert got == {i: refs for i, (_, refs) in enumerate(HTML) if refs}
+
+
+def damaged(spark, path, change):
+    """Replace a written table by a changed one."""
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(path + "_changed")
+    spark.read.parquet(path + "_changed").write.mode("overwrite").parquet(path)
+
+
+def wrong(m):
+    return {(r.table_name, r["item"]): r["rows"] for r in m.verify().where("rows > 0").collect()}
+
+
+def test_reference_to_a_copied_parent_arrives(spark, tmp_path):
+    parent = TableSpec("p", columns={"id": ColumnInfo("bigint")}, key=("id",))
+    child = TableSpec("c", columns={"id": ColumnInfo("bigint"), "pid": ColumnInfo("bigint"), "up": ColumnInfo("bigint")}, key=("id",),
+                      fk_remap={"pid": "p", "up": "c"})
+    given = {"p": spark.createDataFrame([(7,), (8,)], "id bigint"),
+             "c": spark.createDataFrame([(1, 7, None), (2, 9, 1), (3, None, 99)], "id bigint, pid bigint, up bigint")}
+    m = Migration(spark, given, {}, [child, parent], str(tmp_path))
+    found = {(r.finding_id, r.column_name): r["rows"] for r in m.preflight()[0].collect()}
+    assert found == {("reference-without-parent", "pid"): 1, ("reference-without-parent", "up"): 1}
+    m.apply()
+    rows = {r.id: (r.pid, r.up) for r in spark.read.parquet(f"{tmp_path}/live/c").collect()}
+    assert rows == {1: (7, None), 2: (None, 1), 3: (None, None)} and wrong(m) == {}
+    damaged(spark, f"{tmp_path}/live/c", lambda df: df.withColumn("pid", F.lit(None).cast("bigint")))
+    assert wrong(m)["c", "pid: lost references"] == 1
+    damaged(spark, f"{tmp_path}/live/c", lambda df: df.union(df.limit(1).withColumn("id", F.lit(77).cast("bigint"))))
+    assert wrong(m)["c", "(surplus)"] == 1
+
+
+def test_merge_that_refers_to_itself_and_circles(spark, tmp_path):
+    tree = TableSpec("t", TableClass.MERGE, columns={"id": ColumnInfo("bigint"), "code": ColumnInfo("varchar", length=5), "up": ColumnInfo("bigint")},
+                     key=("id",), merge_keys=("code",), surrogate_pk="id", fk_remap={"up": "t"})
+    schema = "id bigint, code string, up bigint"
+    given = {"t": spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 2), (4, "x", 3)], schema)}
+    m = Migration(spark, given, {"t": spark.createDataFrame([(50, "a", None)], schema)}, [tree], str(tmp_path))
+    m.apply()
+    rows = {r.code: (r.id, r.up) for r in spark.read.parquet(f"{tmp_path}/live/t").collect()}
+    assert rows == {"a": (50, None), "b": (51, 50), "c": (52, 51), "x": (53, 52)} and wrong(m) == {}
+    damaged(spark, f"{tmp_path}/live/t", lambda df: df.where("code <> 'c'"))
+    assert wrong(m) == {("t", "appended and there"): 1}
+    other = replace(tree, name="u", fk_remap={"up": "t"})
+    circle = Migration(spark, {**given, "u": given["t"]}, {}, [replace(tree, fk_remap={"up": "u"}), other], str(tmp_path / "circle"))
+    with pytest.raises(Refused):
+        circle.ordered()
+
+
+def test_merge_without_surrogate_and_archive_homes(spark, tmp_path):
+    names = TableSpec("n", TableClass.MERGE, columns={"code": ColumnInfo("varchar", length=5), "v": ColumnInfo("int")}, key=("code",), merge_keys=("code",))
+    old, gone = TableSpec("old", TableClass.ARCHIVE, columns={"v": ColumnInfo("int")}), TableSpec("gone", TableClass.DROP, columns={"v": ColumnInfo("int")})
+    schema = "code string, v int"
+    given = {"n": spark.createDataFrame([("a", 1), ("b", 2)], schema), "old": spark.createDataFrame([(1,)], "v int"), "gone": spark.createDataFrame([(2,)], "v int")}
+    m = Migration(spark, given, {"n": spark.createDataFrame([("a", 9)], schema)}, [names, old, gone], str(tmp_path))
+    m.apply()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/live/n").collect())) == [("a", 9), ("b", 2)] and wrong(m) == {}
+    assert not (tmp_path / "live" / "old").exists() and not (tmp_path / "live" / "gone").exists()
+    assert spark.read.parquet(f"{tmp_path}/kept/archive/old").count() == 1
+    damaged(spark, f"{tmp_path}/live/n", lambda df: df.where("code <> 'b'"))
+    assert wrong(m) == {("n", "appended and there"): 1}
+
+
+def test_accepted_class_changes_the_verdict(spark, tmp_path):
+    spec = TableSpec("t", columns={"id": ColumnInfo("bigint"), "name": ColumnInfo("varchar", length=20)}, key=("id",), charset_scan=("name",))
+    given = {"t": spark.createDataFrame([(1, "caf\u00c3\u00a9"), (1, "x")], "id bigint, name string")}
+    m = Migration(spark, given, {}, [spec], str(tmp_path))
+    assert {r.finding_id for r in m.preflight()[0].collect()} == {"key-repeats", "charset-repairable"}
+    given = {"t": given["t"].where("name <> 'x'")}
+    assert Migration(spark, given, {}, [spec], str(tmp_path)).preflight()[1].first().verdict == "go-with-acknowledgements"
+    assert Migration(spark, given, {}, [spec], str(tmp_path), accepted=["charset-repair"]).preflight()[1].first().verdict == "go"

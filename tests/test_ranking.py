@@ -71,3 +71,12 @@ def test_seed_collision(spark):
     after, held = R.apply_seed_collisions(live, seed, R.classify_seed_collisions(live, seed, "id", "code"), live, "id")
     assert {(r.id, r.code) for r in after.collect()} == {(1, "Y19"), (2, "A01"), (3, "A02"), (4, "Y20"), (12, "A03"), (9, "keep"), (13, "LOST")}
     assert held.count() == 0
+
+
+def test_seed_collision_guard_sees_microseconds(spark):
+    live = spark.sql("SELECT 1 AS id, 'LOST' AS code, TIMESTAMP_NTZ '2020-01-01 00:00:00.123456' AS at")
+    seed = spark.sql("SELECT 1 AS id, 'A01' AS code, TIMESTAMP_NTZ '2020-01-01' AS at")
+    plan = R.classify_seed_collisions(live, seed, "id", "code")
+    backup = live.withColumn("at", F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00.123457'"))
+    assert R.apply_seed_collisions(live, seed, plan, backup, "id")[1].count() == 1
+    assert R.apply_seed_collisions(live, seed, plan, live, "id")[1].count() == 0

@@ -40,6 +40,26 @@ def test_hot_key_is_spread_over_slots(spark):
     assert len(hot) == 2 and max(r._spread for r in hot) == 7
 
 
+def test_every_hot_key_is_spread(spark):
+    many = spark.range(60_000).select((F.col("id") % 6000).alias("k"), "id")
+    assert skew.hot_keys(many, ["k"], 5).count() == 6000
+
+
+def test_ranges_follow_the_row_count(spark):
+    df = spark.range(20_000).select((F.col("id") * F.col("id")).alias("pk")).repartition(7)
+    cuts = O.cut_points(df, "pk", 4)
+    ranged = O.with_range(df, "pk", cuts)
+    assert (len(cuts.edges) - 1) * cuts.pieces >= 4500 and ranged.select("_range").distinct().count() > 4096
+    got = O.with_ordinal(df, "pk", rows_per_range=4)
+    assert [r.ordinal for r in got.orderBy("pk").collect()] == list(range(1, 20_001))
+
+
+def test_plain_lookup_matches_the_spread_one(spark):
+    right = spark.range(200).select(F.col("id").alias("kk"), (F.col("id") * 2).alias("v"))
+    plain, spread = (skew.lookup(skewed(spark), right, [("k", "kk")], scatter=["pk"], hot_rows=n) for n in (None, 300))
+    assert rows(plain) == rows(spread)
+
+
 def test_ordinal_is_dense_over_many_ranges(spark):
     got = O.with_ordinal(skewed(spark), "pk", rows_per_range=500)
     assert [r.ordinal for r in got.orderBy("pk").collect()] == list(range(1, 6001))

@@ -30,6 +30,31 @@ def test_windows_resume_after_a_lost_confirmation(spark, tmp_path):
 def test_window_span_is_refused():
     with pytest.raises(windows.TooManyWindows):
         windows.check_span(0, 50_000 * 200_001)
+    assert windows.check_span(0, 50_000 * 200_001, max_windows=10**6) > 200_000
+
+
+def test_window_numbers_are_exact_above_2_to_53(spark):
+    low = -(2**62)
+    df = spark.createDataFrame([(low,), (low + 49_999,), (low + 50_000,), (2**62 + 7,)], "id bigint").select("id", windows.window_id(F.col("id"), 0).alias("w"))
+    assert {r.id: r.w for r in df.collect()} == {k: k // 50_000 for k in (low, low + 49_999, low + 50_000, 2**62 + 7)}
+
+
+def test_window_with_other_values_is_not_confirmed(spark, tmp_path, monkeypatch):
+    src = spark.range(0, 300).withColumn("v", F.col("id") * 2)
+    ledger = windows.WindowLedger(spark, str(tmp_path / "ledger"), "d")
+    plain = windows.grouped_digest
+    seen = []
+
+    def other_on_disk(df, *args, **kwargs):  # the second digest is the one of the stored rows
+        seen.append(df)
+        return plain(df if len(seen) % 2 else df.withColumn("v", F.when(F.col("id") == 150, -1).otherwise(F.col("v")).cast("bigint")), *args, **kwargs)
+
+    monkeypatch.setattr(windows, "grouped_digest", other_on_disk)
+    with pytest.raises(windows.Unconfirmed):
+        windows.copy_windows(src, "id", str(tmp_path / "copy"), "t", ledger, size=100)
+    assert sorted(r.window for r in ledger.confirmed().collect()) == [0, 2]
+    monkeypatch.setattr(windows, "grouped_digest", plain)
+    assert windows.copy_windows(src, "id", str(tmp_path / "copy"), "t", ledger, size=100) == 1
 
 
 def test_csv_files_keep_null_empty_binary_and_quotes(spark, tmp_path):

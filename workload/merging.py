@@ -71,8 +71,8 @@ def _(spark, sf):
 
 
 @query("fk_remap", f"""
-    WITH {IDMAP} SELECT l_orderkey AS old_ref, l_linenumber, m.new_id AS nullable_ref, coalesce(m.new_id, l_orderkey) AS strict_ref,
-        l_partkey, l_suppkey FROM lineitem LEFT JOIN idmap m ON m.old_id = l_orderkey""")
+    WITH {IDMAP} SELECT l_orderkey AS old_ref, l_linenumber, l_partkey, l_suppkey, m.new_id AS nullable_ref,
+        coalesce(m.new_id, l_orderkey) AS strict_ref FROM lineitem LEFT JOIN idmap m ON m.old_id = l_orderkey""")
 def _(spark, sf):
     lines = frame(spark, sf, "lineitem").select(F.col("l_orderkey").alias("old_ref"), "l_linenumber", "l_partkey", "l_suppkey",
                                                 F.col("l_orderkey").alias("nullable_ref"))

@@ -101,7 +101,7 @@ def _(spark, sf):
 
 
 def _retained(latest: bool) -> str:
-    older = "older generation archived by selection policy" if latest else "shared by several generations"
+    older = "older" if latest else "several-rows"
     return f"""
     WITH {NAMES}, f AS (SELECT DISTINCT name FROM {{disk_files}}),
     b AS (SELECT n.*, f.name IS NOT NULL AS there FROM names n LEFT JOIN f ON f.name = n.original_name),
@@ -109,10 +109,10 @@ def _retained(latest: bool) -> str:
         min(folded) AS folded FROM b WHERE there GROUP BY 1),
     u AS (SELECT * FROM g WHERE tables = 1 AND (refs = 1 OR {str(latest).lower()})),
     v AS (SELECT t, folded, count(*) AS rivals FROM u GROUP BY 1, 2)
-    SELECT b.source_table, b.row_id, b.original_name, CASE WHEN NOT there THEN 'file unavailable in backup'
-      WHEN g.tables > 1 THEN 'shared between generation tables'
+    SELECT b.source_table, b.row_id, b.original_name, CASE WHEN NOT there THEN 'no-file'
+      WHEN g.tables > 1 THEN 'several-tables'
       WHEN g.refs > 1 AND ({str(not latest).lower()} OR b.row_id <> g.latest) THEN '{older}'
-      WHEN v.rivals > 1 THEN 'conflicts with another surviving filename' ELSE 'retained' END AS status
+      WHEN v.rivals > 1 THEN 'name-clash' ELSE 'retained' END AS status
     FROM b LEFT JOIN g USING (original_name) LEFT JOIN v ON v.t = g.t AND v.folded = g.folded"""
 
 
