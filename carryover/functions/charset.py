@@ -108,20 +108,18 @@ def charset_census(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Rows per column in each lane: repairable, multi, partial, bad.
 
     ``repairable`` needs one sign-off (repair them); the other three need another
-    (keep them as they are).
+    (keep them as they are). All columns are read in one scan.
     """
-    out = None
-    for column in columns:
-        lanes = with_hops(df.select(column), column)
-        counts = labelled_counts(lanes, ["table_name", "column_name", "lane", "accept"], [
-            ((table, column, "repairable", "charset-repair"),
-             F.col("_double") & ~F.col("_multi") & ~F.col("_partial")),
-            ((table, column, "multi", "keep-unrepairable-text"), F.col("_multi")),
-            ((table, column, "partial", "keep-unrepairable-text"), F.col("_partial")),
-            ((table, column, "bad", "keep-unrepairable-text"), F.col("_bad")),
-        ])
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    lanes, checks = df.select(*dict.fromkeys(columns)), []
+    for i, column in enumerate(columns):
+        flags = {"_double": f"_double{i}", "_multi": f"_multi{i}", "_partial": f"_partial{i}", "_bad": f"_bad{i}"}
+        lanes = with_hops(lanes, column).drop("_h1", "_h2").withColumnsRenamed(flags)
+        double, multi, partial, bad = (F.col(flag) for flag in flags.values())
+        checks += [((table, column, "repairable", "charset-repair"), double & ~multi & ~partial),
+                   ((table, column, "multi", "keep-unrepairable-text"), multi),
+                   ((table, column, "partial", "keep-unrepairable-text"), partial),
+                   ((table, column, "bad", "keep-unrepairable-text"), bad)]
+    return labelled_counts(lanes, ["table_name", "column_name", "lane", "accept"], checks)
 
 
 def exact_span_counts(df: DataFrame, column: str) -> DataFrame:

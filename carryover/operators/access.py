@@ -31,19 +31,14 @@ def pairs(matrix: DataFrame) -> DataFrame:
 def jaccard_scores(custom: DataFrame, stock: DataFrame) -> DataFrame:
     """(custom, template, shared, score) for pairs of groups that share anything.
 
-    The pair join is aggregated at once to counts per pair of groups. An object granted
-    to every group would meet every template, so stock grants are first folded into one
-    row per (object, privilege) holding its groups: the catalogue of templates is what
-    bounds that list, not the data.
+    A pair meets once per (object, privilege) both hold, and the meetings are counted
+    map-side: no list of groups is ever gathered and nothing but counts is shuffled.
     """
     c, s = pairs(custom), pairs(stock)
     c_size = c.groupBy("grp").agg(F.count(F.lit(1)).alias("_c"))
     s_size = s.groupBy("grp").agg(F.count(F.lit(1)).alias("_s"))
-    holders = s.groupBy("object", "privilege").agg(F.collect_set("grp").alias("_templates"))
-    met = lookup(c.withColumn("_p", F.to_json(F.struct("object", "privilege"))),
-                 holders.select(F.to_json(F.struct("object", "privilege")).alias("_q"), "_templates"),
-                 [("_p", "_q")], scatter=["grp"], how="inner")
-    shared = (met.select(F.col("grp").alias("custom"), F.explode("_templates").alias("template"))
+    shared = (c.select(F.col("grp").alias("custom"), "object", "privilege")
+              .join(s.select(F.col("grp").alias("template"), "object", "privilege"), ["object", "privilege"])
               .groupBy("custom", "template").agg(F.count(F.lit(1)).alias("shared")))
     sized = (shared.join(c_size.withColumnRenamed("grp", "custom"), "custom")
              .join(s_size.withColumnRenamed("grp", "template"), "template"))

@@ -7,7 +7,9 @@ joins on keys.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +69,41 @@ def _decimal_parts(value: Column) -> tuple[Column, Column, Column]:
     return digits, F.when(digits == "", 0).otherwise(behind), text.startswith("-") & (digits != "")
 
 
-def out_of_capacity(value: Column, info) -> Column:
-    """Outside the target's range or scale, or not exactly what a float or double would hold. Never raises."""
+# Digits before and behind the point of the source types that are compared as they are.
+EXACT_SOURCES = {"tinyint": (3, 0), "smallint": (5, 0), "int": (10, 0), "bigint": (19, 0)}
+
+
+def _native_capacity(value: Column, info, dtype: str | None) -> Column | None:
+    """The same answer by plain arithmetic where the source's own type leaves room for it."""
+    found = re.fullmatch(r"decimal\((\d+),(\d+)\)", dtype or "")
+    if found:
+        before, behind = int(found[1]) - int(found[2]), int(found[2])
+    elif dtype in EXACT_SOURCES:
+        before, behind = EXACT_SOURCES[dtype]
+    else:
+        return None
+    if info.type in INTEGER_RANGE and max(before, 20) + behind <= 38:
+        low, high = (F.lit(Decimal(bound)) for bound in INTEGER_RANGE[info.type])
+        lossy = (value < low) | (value > high)
+        return lossy | (value != F.bround(value, 0)) if behind else lossy
+    if info.type == "decimal" and max(before, info.precision - info.scale + 1) + behind <= 38:
+        bound = Decimal(10 ** (info.precision - info.scale))
+        lossy = (value >= F.lit(bound)) | (value <= F.lit(-bound))
+        return lossy | (value != F.bround(value, info.scale)) if behind > info.scale else lossy
+    if info.type in ("float", "double") and before + behind <= 15:  # every such number is one double
+        number = value.cast("double")
+        return (number.cast("float").cast("double") != number) if info.type == "float" else F.lit(False)
+    return None
+
+
+def out_of_capacity(value: Column, info, dtype: str | None = None) -> Column:
+    """Outside the target's range or scale, or not exactly what a float or double would hold. Never raises.
+
+    ``dtype`` is the Spark type of ``value``; without it the number's text is compared.
+    """
+    native = _native_capacity(value, info, dtype)
+    if native is not None:
+        return value.isNotNull() & native
     digits, behind, negative = _decimal_parts(value)
     ahead = F.char_length(digits) - behind
     lossy = ~F.regexp_like(F.trim(value.cast("string")), F.lit(NUMERIC_LITERAL))
@@ -120,6 +155,8 @@ def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, o
     that reads through an id map is measured on the mapped value once its map is joined.
     """
     source, digits = source or {}, fraction_digits or {}
+    read = [c for c, i in spec.columns.items() if i.type in NUMERIC and not (c in spec.fk_remap and f"_remap_{c}" not in df.columns)]
+    types = dict(df.select(*[source_expr(spec, c).alias(c) for c in read]).dtypes) if read else {}
     checks: list[tuple[str, str, Column]] = []
     for name, info in spec.columns.items():
         if name in spec.fk_remap and f"_remap_{name}" not in df.columns:
@@ -131,7 +168,7 @@ def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, o
         if info.type in NUMERIC:
             if declared is not None and declared.type in TEXTUAL and name not in spec.value_exprs:
                 checks.append((name, "not_a_number", not_a_number(value)))
-            checks.append((name, "capacity", out_of_capacity(value, info)))
+            checks.append((name, "capacity", out_of_capacity(value, info, types[name])))
         if info.type in ("date", "datetime", "timestamp", "time"):
             checks.append((name, "temporal", temporal_loss(value, info, digits.get(name, 0))))
     # each predicate is evaluated once, then counted and located from its flag

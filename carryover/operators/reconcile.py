@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from html import unescape
-from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,10 +70,15 @@ def static_html(html: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def decode_reference(raw: pd.Series) -> pd.Series:
-    """Entity-decode, drop the fragment and further parameters, then form-decode."""
-    return raw.map(lambda v: None if v is None else
-                   unquote_plus(unescape(v).split("#", 1)[0].split("&", 1)[0]))
+def with_other_entities(values: pd.Series) -> pd.Series:
+    """For values that hold character references besides an ampersand's; NULL stays NULL."""
+    held = values.dropna()
+    return held.map(unescape).reindex(values.index)
+
+
+def reference_name(raw: Column) -> Column:
+    """The file a reference names: its address without fragment and parameters, form-decoded."""
+    return F.try_url_decode(F.regexp_extract(raw, "^[^#&]*", 0))
 
 
 def html_asset_refs(pages: DataFrame, pk: str, html: str, token: str) -> DataFrame:
@@ -90,11 +94,15 @@ def html_asset_refs(pages: DataFrame, pk: str, html: str, token: str) -> DataFra
     hits = F.regexp_extract_all(static_html(F.col(html)), F.lit(pattern), F.lit(0))
     one = F.col("_hit")
     value = F.coalesce(*[F.nullif(F.regexp_extract(one, f"^(?:{pattern})$", g), F.lit("")) for g in range(1, 6)])
-    # entities and percent signs are decoded in batches, on the references only
     found = pages.select(pk, F.explode(F.array_distinct(hits)).alias("_hit")).select(pk, value.alias("_raw"))
+    raw = F.col("_raw")
+    # an ampersand, bare or as its own entity, ends the name; only other entities need a look-up outside the JVM
+    other = F.regexp_like(raw, F.lit("&(?!amp;)[#a-zA-Z]"))
+    plain = F.replace(raw, F.lit("&amp;"), F.lit("&"))
     # (marked nondeterministic so that the filter below does not evaluate it a second time)
-    decode = decode_reference.asNondeterministic()
-    decoded = found.where(F.col("_raw").isNotNull()).distinct().select(pk, decode("_raw").alias("ref"))
+    looked_up = with_other_entities.asNondeterministic()(F.when(other, raw))
+    named = found.where(raw.isNotNull()).distinct().select(pk, F.coalesce(looked_up, plain).alias("_value"))
+    decoded = named.select(pk, F.coalesce(reference_name(F.col("_value")), F.regexp_extract("_value", "^[^#&]*", 0)).alias("ref"))
     return decoded.where(F.col("ref") != "").distinct()
 
 

@@ -55,3 +55,12 @@ def test_every_fraction(spark, digits):
 
 def test_every_integer_has_a_type():
     assert set(P.INTEGER_RANGE) <= set(SPARK_TYPES)
+
+
+@pytest.mark.parametrize("dtype", ["decimal(12,2)", "decimal(38,18)", "decimal(38,0)", "bigint", "int"])
+def test_arithmetic_and_text_agree(spark, dtype):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string").select(F.col("t").try_cast("decimal(38,18)").try_cast(dtype).alias("v")).where("v IS NOT NULL")
+    kinds = [*(ColumnInfo(t) for t in P.INTEGER_RANGE), ColumnInfo("decimal", precision=6, scale=1), ColumnInfo("decimal", precision=3, scale=3), ColumnInfo("decimal", precision=38, scale=0),
+             ColumnInfo("float"), ColumnInfo("double")]
+    row = df.agg(*[F.count_if(P.out_of_capacity(F.col("v"), k) != P.out_of_capacity(F.col("v"), k, dtype)).alias(f"d{i}") for i, k in enumerate(kinds)]).first()
+    assert set(row) == {0}

@@ -21,15 +21,9 @@ PAIRS = f"""
 FLOOR = 0.05
 
 
-_WRITTEN: dict = {}
-
-
 def matrix(spark, sf, name):
-    """An access matrix, written down once per run: every query here reads it several times."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = materialise(frame(spark, sf, name), name)
-    return _WRITTEN[key]
+    """An access matrix, written down because a query reads it several times."""
+    return materialise(frame(spark, sf, name), name)
 
 
 def matrices(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carryover.session import tune
-from workload.roles import with_roles
+from workload.roles import forget, with_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def query(name: str, sql: str | None, *, text: Sequence[str] = (), micros: Seque
     """
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            forget()  # nothing is handed from one query to the next
             out = fn(tune(spark), sf)
             shown = {**{c: F.col(c).cast("string") for c in text},
                      **{c: F.unix_micros(F.col(c).cast("timestamp")) for c in micros}}

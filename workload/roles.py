@@ -33,13 +33,23 @@ def _named(sql: str, names: dict[str, str]) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: names.get(m.group(1), m.group(0)), sql)
 
 
-# analysed plans by application, data folder and name (plans only, no data)
+# analysed plans of the query at hand by application, data folder and name (plans only, no data)
 _PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 
+# roles that the bench wrote down as tables before its clock starts
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def forget() -> None:
+    _PLANS.clear()
+
+
 def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A base table or a role as a lazy DataFrame."""
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key in _STAGED:
+        return _STAGED[key]
     if key not in _PLANS:
         _PLANS[key] = _frame(spark, *key[1:])
     return _PLANS[key]
@@ -58,7 +68,7 @@ def _frame(spark: SparkSession, path: str, name: str) -> DataFrame:
 def write_down(spark: SparkSession, sf: str, *names: str) -> None:
     """Turn roles into written tables for the rest of the run, as a staging area would hold them."""
     for name in names:
-        _PLANS[(spark.sparkContext.applicationId, sf.rstrip("/"), name)] = materialise(frame(spark, sf, name), name)
+        _STAGED[(spark.sparkContext.applicationId, sf.rstrip("/"), name)] = materialise(frame(spark, sf, name), name)
 
 
 def frames(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
