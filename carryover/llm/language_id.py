@@ -97,7 +97,7 @@ def _scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, rows = np.zeros(DIMENSIONS, np.int64), 0
-    for batch in batches:
+    for batch in small(batches):
         for _, counts in counted(*binary_parts(batch.column(0))):
             seen += (counts > 0).sum(axis=0)
         rows += batch.num_rows
@@ -170,11 +170,17 @@ def fit(learn: DataFrame, *, sample: int = 600, clusters: int = 4, rounds: int =
 _ADDED = ("_lang_pred", "_score", "_rejected")
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _predict(at: int, langs: list[str], centroids: np.ndarray, floors: np.ndarray, idf: np.ndarray):
     across = np.ascontiguousarray(centroids.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = binary_parts(batch.column(at))
             ascii_letter = np.concatenate(([0], np.cumsum((CLASS[data] > 0) & (CLASS[data] < 27))))
             letters = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
