@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,20 @@ RUNTIME = {
 STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import this package wherever the driver was started.
+
+    Other machines need it installed or sent along with the job.
+    """
+    root, settings = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in settings.get("PYTHONPATH", "").split(os.pathsep):
+        settings["PYTHONPATH"] = os.pathsep.join(filter(None, (root, settings.get("PYTHONPATH"))))
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
+    reachable(spark)
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
