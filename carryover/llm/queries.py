@@ -17,6 +17,7 @@ from carryover.llm.license_scan import license_scan
 from carryover.llm.mixing import mix_sources, word_count
 from carryover.llm.quality import quality_scores
 from carryover.llm.token_counts import token_counts
+from carryover.session import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf: fn(reachable(spark), sf)
         if sql is not None:
             ORACLES[name] = sql
         return fn

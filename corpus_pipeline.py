@@ -15,7 +15,7 @@ from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.jaccard_join import jaccard_groups
 from carryover.llm.language_id import annotated, fold
 from carryover.llm.mixing import mix_sources, word_count
-from carryover.session import materialise
+from carryover.session import materialise, reachable
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return docs
