@@ -343,8 +343,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     sets = shingle_sets(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), shingle, percent)
     able = sets.where(F.col("shared").isNotNull())
-    classes = able.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"))
-    reps = materialise(able.join(classes.select("rep"), F.col("rid") == F.col("rep"), "left_semi").select("rid", "n", "own", "shared"), "classes")
+    # written down, so that joins with it deal both sides anew and a large class can be split
+    classes = materialise(able.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep")), "classes")
+    reps = materialise(able.join(classes.select("rep"), F.col("rid") == F.col("rep"), "left_semi").select("rid", "n", "own", "shared"), "representatives")
     with small_batches(docs.sparkSession):
         links = _links(reps, percent)
     labels = components(links).withColumnRenamed("node", "rep")
