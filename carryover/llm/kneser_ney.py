@@ -6,8 +6,8 @@ brings them (``np.frombuffer``) and look n-grams up by binary search. No shard i
 into a file of one machine, and no worker holds more than the shard in hand, so the
 model may be as large as the corpus asks for.
 
-1. ``_chunks`` cuts the texts into chunks of about ``CHUNK_TOKENS`` tokens: a sorted array of the
-   distinct word hashes and the text as places in it. The chunks are written once.
+1. ``_chunks`` cuts the texts into chunks of about ``CHUNK_TOKENS`` tokens: the distinct
+   word hashes by frequency and the text as places in that list. The chunks are written once.
 2. From the highest order down, every chunk sends its distinct n-grams with what it knows
    of them, dealt by hash range as sorted gaps. A range merges what the chunks sent into
    its sorted arrays and answers every chunk. Each n-gram names one chunk its owner:
@@ -22,7 +22,6 @@ words), so two n-grams share an entry once in about 10^14 pairs.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.llm import grams
-from carryover.llm.batches import small_batches
-from carryover.llm.exchange import groups, pack_columns, pack_keys, range_edges, rows, unpack_columns, unpack_keys
+from carryover.llm.batches import release, small_batches
+from carryover.llm.exchange import groups, pack_columns, pack_keys, pack_places, range_edges, rows, unpack_columns, unpack_keys, unpack_places
 from carryover.session import materialise
 
 CHUNK_TOKENS = 1_000_000
@@ -61,10 +60,14 @@ def _chunks(chunk_tokens: int):
             lengths = np.concatenate([n for _, n, *_ in held])
             ids = [i for *_, x, _ in held for i in x]
             train = np.concatenate([t for *_, t in held])
-            vocabulary, place = np.unique(hashes, return_inverse=True)
+            vocabulary, place, often = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small places
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            vocabulary, place = vocabulary[order], rank[place]
             numbers = pack_columns([lengths, train.astype(np.int64), np.array([i is not None for i in ids], np.int64)])
             ids = np.array([i or 0 for i in ids], np.int64)
-            tokens = zlib.compress(place.astype(np.uint32).tobytes(), 1)
+            tokens = pack_places(place)
             sizes = np.array([len(vocabulary), len(ids), len(tokens)], np.int64)
             row = (0, task * 1_000_000 + serial, _STATE, sizes.tobytes() + vocabulary.tobytes() + ids.tobytes() + tokens, numbers)
             serial, held, size = serial + 1, [], 0
@@ -99,7 +102,7 @@ class _Chunk:
         words, docs, packed = np.frombuffer(row["keys"], np.int64, 3)
         self.vocabulary = np.frombuffer(row["keys"], np.uint64, words, 24)
         self.ids = np.frombuffer(row["keys"], np.int64, docs, 24 + 8 * words)
-        place = np.frombuffer(zlib.decompress(row["keys"][24 + 8 * (words + docs):]), np.uint32)
+        place = unpack_places(row["keys"][24 + 8 * (words + docs):])
         self.lengths, train, self.has_id = unpack_columns(row["numbers"])
         self.train = train.astype(bool)
         self.words = self.vocabulary[place]
@@ -155,7 +158,8 @@ def _ask_lower(order: int, ranges: int):
         for (chunk,), found in groups(batches, ["chunk"]):
             c = _Chunk(next(r for r in found if r["kind"] == _STATE))
             long, at_long = c.distinct(order + 1)
-            total, *_, own = _answers(found, order + 1)
+            marked = _answers(found, order + 1)[0]
+            total, own = marked >> 1, marked & 1
             keys, place = c.distinct(order)
             spot = np.zeros(len(long), np.int64)
             spot[at_long[c.predicted]] = np.flatnonzero(c.predicted)  # one position of each longer n-gram
@@ -164,7 +168,9 @@ def _ask_lower(order: int, ranges: int):
             use &= (own > 0) & (total > 0)
             spot, total = spot[use], total[use]
             suffix, history = place[spot], place[spot - 1]
-            columns = [np.bincount(suffix, minlength=len(keys)), np.bincount(history, weights=total, minlength=len(keys)).astype(np.int64),
+            # what a history is followed by: how many n-grams of 1, 2 and more, and the sum of the latter (mostly none)
+            much = np.where(total >= 3, total, 0)
+            columns = [np.bincount(suffix, minlength=len(keys)), np.bincount(history, weights=much, minlength=len(keys)).astype(np.int64),
                        *[np.bincount(history[total == k if k < 3 else total >= 3], minlength=len(keys)) for k in (1, 2, 3)]]
             if order == 1:
                 counted = c.predicted & c.train[c.doc]
@@ -182,17 +188,17 @@ def _merge(order: int):
             keys = [unpack_keys(r["keys"], _bits(order)) for r in found]
             shard, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             sent = [np.concatenate(c) for c in zip(*[unpack_columns(r["numbers"]) for r in found])]
-            totals = []
-            for c in sent:
-                t = np.zeros(len(shard), np.int64)
-                np.add.at(t, place, c)
-                totals.append(t)
+            totals = [np.bincount(place, weights=c, minlength=len(shard)).astype(np.int64) for c in sent]  # exact below 2^53
             own = np.zeros(len(place), np.int64)
             own[first] = 1
             at, out = 0, []
             for r, k in zip(found, keys):
                 mine = place[at:at + len(k)]
-                out.append((deal, r["chunk"], order, b"", pack_columns([*[t[mine] for t in totals], own[at:at + len(k)]])))
+                if order > 1:  # the owner's mark rides on the first number
+                    numbers = [2 * totals[0][mine] + own[at:at + len(k)], *[t[mine] for t in totals[1:]]]
+                else:
+                    numbers = [t[mine] for t in totals]
+                out.append((deal, r["chunk"], order, b"", pack_columns(numbers, 6)))
                 at += len(k)
             adjusted = totals[0]
             stat = [*[np.array([(adjusted == k).sum()]) for k in (1, 2, 3, 4)], np.array([adjusted.sum()]), np.array([(adjusted > 0).sum()])]
@@ -222,13 +228,14 @@ def _score(order: int, cuts: dict[int, tuple[float, float, float]], words: int,
                 _, place = c.distinct(k)
                 answer = _answers(found, k)
                 d = np.array([0.0, *cuts[k]])
-                count = answer[0][place[at]]
+                count = answer[0][place[at]] >> (k > 1)
                 gain = np.maximum(count - d[np.minimum(count, 3)], 0)
                 if k == 1:
                     seen, ones, twos, more = (np.full(len(at), float(x)) for x in root)
                     known = answer[5][place[at]]
                 else:
-                    seen, ones, twos, more = (x.astype(float) for x in context)
+                    much, ones, twos, more = (x.astype(float) for x in context)
+                    seen = ones + 2 * twos + much
                 left = cuts[k][0] * ones + cuts[k][1] * twos + cuts[k][2] * more
                 p = np.where(seen > 0, (gain + left * p) / np.where(seen > 0, seen, 1), p)
                 if k < order:  # this order's n-gram one position earlier is the history of the next
@@ -267,15 +274,20 @@ def kneser_ney_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with small_batches(spark):
         state = materialise(source.mapInArrow(_chunks(CHUNK_TOKENS), _ROWS_SQL), "chunks")
     answers, cuts = {}, {}
+
+    def count(k: int) -> None:
+        if k == order:
+            asked = state.mapInArrow(_ask_highest(k, ranges), _ROWS_SQL)
+        else:
+            both = state.union(answers[k + 1].where(F.col("kind") == k + 1))
+            asked = both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_ask_lower(k, ranges), _ROWS_SQL)
+        merged = asked.repartition("deal").sortWithinPartitions("deal").mapInArrow(_merge(k), _ROWS_SQL)
+        answers[k] = materialise(merged, f"answers{k}")
+
     with small_batches(spark, 8):
         for k in range(order, 0, -1):
-            if k == order:
-                asked = state.mapInArrow(_ask_highest(k, ranges), _ROWS_SQL)
-            else:
-                both = state.union(answers[k + 1].where(F.col("kind") == k + 1))
-                asked = both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_ask_lower(k, ranges), _ROWS_SQL)
-            merged = asked.repartition("deal").sortWithinPartitions("deal").mapInArrow(_merge(k), _ROWS_SQL)
-            answers[k] = materialise(merged, f"answers{k}")
+            count(k)
+            release(spark)
             # one row of a few numbers per range
             stats = answers[k].where(F.col("kind") == _STAT).select("numbers").collect()
             total = sum((np.frombuffer(r.numbers, np.int64) for r in stats), np.zeros(8 if k == 1 else 6, np.int64)).tolist()
