@@ -129,9 +129,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     """
     named = text_names(docs, id_col, F.col(text_col), block_bytes)
-    groups = named.groupBy("level", "name").agg(
+    # written down, so that the join below deals both sides anew and a large group can be split
+    groups = materialise(named.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("doc_id", "rid")).alias("best"))
+        F.max(F.struct("doc_id", "rid")).alias("best")), "groups")
     return (named.join(groups, ["level", "name"])
             .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"),
                     F.lower(F.hex("sha")).alias("text_sha256")))
