@@ -88,10 +88,10 @@ def _named(keyed: DataFrame) -> DataFrame:
             .select(*_KEPT, F.coalesce("canon", "name").alias("name")))
 
 
-def text_names(docs: DataFrame, id_col: str, text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def text_names(docs: DataFrame, id_col: str, text: Column, block_bytes: int = BLOCK_BYTES, row: Column | None = None) -> DataFrame:
     """(rid, doc_id, sha, level, name): rows have equal (level, name) exactly when their texts are equal."""
-    source = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).cast("binary").alias("bytes"))
-              .withColumn("rid", F.monotonically_increasing_id())
+    source = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).cast("binary").alias("bytes"),
+                          (F.monotonically_increasing_id() if row is None else row).alias("rid"))
               .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.length("bytes") / block_bytes)).cast("bigint")))
     first = F.col("pos") == 0
     keyed = (source.select("rid", "doc_id", "blocks", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("pos"))
@@ -118,7 +118,8 @@ def text_names(docs: DataFrame, id_col: str, text: Column, block_bytes: int = BL
     return out.select("rid", "doc_id", "sha", "level", "name")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, row_col: str | None = None,
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     Rows with equal texts form a group; the row with the largest doc_id is kept.
@@ -127,12 +128,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * Rows that repeat text and doc_id form one group and one of them is kept. A null doc_id
       is smaller than any other; a group of nothing else keeps one row under a null id.
     * An empty table gives an empty result. Other columns of ``docs`` are not looked at.
+    * ``row_col`` names a bigint that no two rows share; it is passed on behind the other columns.
     """
-    named = text_names(docs, id_col, F.col(text_col), block_bytes)
+    named = text_names(docs, id_col, F.col(text_col), block_bytes, None if row_col is None else F.col(row_col))
     # written down, so that the join below deals both sides anew and a large group can be split
     groups = materialise(named.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
         F.max(F.struct("doc_id", "rid")).alias("best")), "groups")
     return (named.join(groups, ["level", "name"])
             .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"),
-                    F.lower(F.hex("sha")).alias("text_sha256")))
+                    F.lower(F.hex("sha")).alias("text_sha256"), *([] if row_col is None else [F.col("rid").alias(row_col)])))

@@ -1,8 +1,8 @@
 """From raw documents to a training mix: five stages, each on all its predecessor kept.
 
-Decisions are taken back to the documents by doc_id. Rows that share a doc_id stay when the
-operator keeps any of them; a row without a doc_id cannot be named by a decision of
-near-duplicate search or decontamination and stays.
+Decisions are taken for rows and brought back to them by a row number, so that rows with a
+null or a repeated doc_id are judged like all others. The doc_id only says which row of a
+group stays.
 """
 
 from __future__ import annotations
@@ -18,10 +18,20 @@ from carryover.llm.mixing import mix_sources, word_count
 from carryover.session import materialise, reachable
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` without the ids that no row of ``decisions`` (doc_id, stays) keeps."""
-    gone = decisions.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("NOT stays").select("doc_id")
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, the number of a row by its file and its place there: every reading gives the same."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":  # not simply files that are read
+        docs = materialise(docs, "rows")
+    named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r[0] for r in named.select("_file").distinct().collect())  # one row per file
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number bigint")
+    return (named.join(F.broadcast(numbers), "_file")
+            .select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_place")).alias("_row")))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered ``docs`` without the rows of ``gone`` (_row)."""
+    return docs.join(materialise(gone, "gone"), "_row", "left_anti").drop("_row")
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,30 +41,27 @@ def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the row with the largest doc_id stays, once."""
-    found = materialise(exact_dedup(docs), "dedup")
-    left = _without(docs, found.select("doc_id", F.col("kept").alias("stays")))
-    # a doc_id with several rows may still repeat a text
-    again = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "again")
-    if not again.limit(1).count():
-        return left
-    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
-    again = again.withColumnRenamed("doc_id", "again_id")
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    once = left.join(again, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return left.join(again, same, "left_anti").unionByName(once)
+    """Exact dedup: of equal texts one row with the largest doc_id stays."""
+    rows = _numbered(docs)
+    found = exact_dedup(rows, row_col="_row")
+    return _without(rows, found.where("NOT kept").select("_row"))
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (five words, 0.8): the smallest doc_id of each group stays."""
-    groups = jaccard_groups(docs, shingle=5, percent=80)
-    return _without(docs, groups.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
+    """N-gram Jaccard join (five words, 0.8): one row with the smallest doc_id of each group stays."""
+    rows = _numbered(docs)
+    groups = jaccard_groups(rows, "_row", shingle=5, percent=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    named = materialise(groups.join(rows.select("_row", "doc_id"), "_row"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    kept = named.groupBy("group").agg(first.alias("first")).select("first._row")
+    return _without(rows, named.select("_row").join(kept, "_row", "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a window of a benchmark item go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("doc_id IS NOT NULL").select("doc_id", (~F.col("contaminated")).alias("stays")))
+    rows = _numbered(docs)
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row")
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias("_row")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,16 @@ def test_odd_documents(spark):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "decontamination", "source_mixing"]
+
+
+def test_rows_are_judged_whatever_their_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").select("text").first()[0]
+    base = " ".join(f"the word{i} of" for i in range(80))
+    near, other = base + " and more", " ".join(f"a thing{i} is" for i in range(80))
+    rows = [(1, base), (None, near), (5, near + " still"), (5, other), (None, other), (9, "A text that shares its id with a leak and is clean itself"), (9, item),
+            (None, "Here it is: " + item), (None, "A text without an id that resembles nothing else at all"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    for _, stage in P.STAGES[1:4]:
+        docs = P.materialise(stage(spark, docs, SF), "rows")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in docs.collect())
+    assert got == sorted([(1, base), (5, other), (9, rows[5][1]), (0, rows[8][1]), (0, "")])
