@@ -18,6 +18,8 @@ prefix shingles and verified exactly.
    ``BUCKET`` classes are cut into blocks that are verified block against block in
    memory and give back only the links that join components, so a large group of near
    copies never becomes a list of its pairs.
+5. Links never leave a component. ``_counts`` compares every two classes of a component once,
+   block against block, and adds up the links of each class, weighted by its rows.
 
 A frequency only orders shingles, so the 48 bits kept of a hash can cost time but no
 link: two different shingles of one pair agree in them once in about 10^14.
@@ -42,7 +44,8 @@ from carryover.session import materialise
 CHUNK_SHINGLES = 1_000_000
 HOT = 64            # from this many documents of one chunk on, a shingle's documents stay with the chunk
 BUCKET = 64         # classes per prefix shingle that are paired directly; larger buckets go in blocks
-BLOCK_SHINGLES = 60_000  # shingles in a block of a large bucket
+BLOCK_SHINGLES = 60_000  # shingles in a block of a large bucket or component
+BLOCK_CLASSES = 1000     # classes in a block of a large component
 RANGES_PER_SPLIT = 8
 PARTS = 8           # hash parts of the suffix filter
 
@@ -254,27 +257,33 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _linked(found: list[dict], percent: int) -> np.ndarray:
+    """Which classes of one cell (two blocks, or one with itself) are similar."""
+    sets = [np.frombuffer(r["shared"], np.int64) for r in found]
+    sizes, n = np.array([len(s) for s in sets]), np.array([r["n"] for r in found])
+    flat = np.concatenate(sets)
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    line = np.repeat(np.arange(len(found)), sizes)
+    use = often[column] > 1
+    _, column = np.unique(column[use], return_inverse=True)
+    line = line[use]
+    common = np.zeros((len(found), len(found)), np.float32)
+    width = 1 << 13
+    for start in range(0, int(column.max()) + 1 if len(column) else 0, width):  # bounded scratch space
+        here = (column >= start) & (column < start + width)
+        dense = np.zeros((len(found), width), np.float32)
+        dense[line[here], column[here] - start] = 1
+        common += dense @ dense.T
+    side = np.array([r["side"] for r in found])
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    cross = (side[:, None] != side[None, :]) | (found[0]["i"] == found[0]["j"])
+    return linked & cross
+
+
 def _blocks(percent: int):
-    """Verify the classes of one cell (two blocks of a bucket, or one with itself) at once."""
+    """Verify the classes of one cell of a bucket at once."""
     def cell(found: list[dict]) -> list[tuple]:
-        sets = [np.frombuffer(r["shared"], np.int64) for r in found]
-        sizes, n = np.array([len(s) for s in sets]), np.array([r["n"] for r in found])
-        flat = np.concatenate(sets)
-        _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-        line = np.repeat(np.arange(len(found)), sizes)
-        use = often[column] > 1
-        _, column = np.unique(column[use], return_inverse=True)
-        line = line[use]
-        common = np.zeros((len(found), len(found)), np.float32)
-        width = 1 << 13
-        for start in range(0, int(column.max()) + 1 if len(column) else 0, width):  # bounded scratch space
-            here = (column >= start) & (column < start + width)
-            dense = np.zeros((len(found), width), np.float32)
-            dense[line[here], column[here] - start] = 1
-            common += dense @ dense.T
-        side, group = np.array([r["side"] for r in found]), [r["label"] for r in found]
-        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-        cross = (side[:, None] != side[None, :]) | (found[0]["i"] == found[0]["j"])
+        group = [r["label"] for r in found]
         root: dict[int, int] = {}
 
         def find(x):
@@ -283,7 +292,7 @@ def _blocks(percent: int):
             return x
 
         out = []
-        for a, b in np.argwhere(np.triu(linked & cross, 1)).tolist():
+        for a, b in np.argwhere(np.triu(_linked(found, percent), 1)).tolist():
             x, y = find(group[a]), find(group[b])
             if x != y:
                 root[x] = y
@@ -327,8 +336,35 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     return first.union(materialise(_verify(direct, reps, percent).union(blocks), "links"))
 
 
+def _counts(reps: DataFrame, components_: DataFrame, percent: int) -> DataFrame:
+    """(rep, linked): rows of other classes that a class links with. ``components_`` has (rep, weight, label)."""
+    schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in groups(batches, ["label", "i", "j"]):
+            if len(found) > 1:
+                similar = _linked(found, percent)
+                np.fill_diagonal(similar, False)
+                total = similar @ np.array([r["weight"] for r in found], np.int64)
+                yield rows([(r["rid"], int(t)) for r, t in zip(found, total) if t], schema)
+
+    member = materialise(reps.join(components_.withColumnRenamed("rep", "rid"), "rid"), "linked")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int")
+    size = materialise(member.groupBy("label").agg(blocks.alias("blocks")), "sizes")
+    cells = (member.join(size, "label").withColumn("side", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("label", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rid", "n", "weight", "shared"))
+    return (cells.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, "rep bigint, linked bigint")
+            .groupBy("rep").agg(F.sum("linked").alias("linked")))
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id): the components of :func:`jaccard_join` without counting their links."""
+    return _joined(docs, id_col, text_col, shingle, percent, False)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``; ``n_links`` counts the other rows it links with.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of distinct
     ``shingle``-word shingles (a shorter text is one shingle). ``component_id`` is the
@@ -341,17 +377,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     * Long texts count in full.
     """
+    return _joined(docs, id_col, text_col, shingle, percent, True)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, counted: bool) -> DataFrame:
     sets = shingle_sets(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), shingle, percent)
     able = sets.where(F.col("shared").isNotNull())
     # written down, so that joins with it deal both sides anew and a large class can be split
-    classes = materialise(able.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep")), "classes")
+    classes = materialise(able.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
     reps = materialise(able.join(classes.select("rep"), F.col("rid") == F.col("rep"), "left_semi").select("rid", "n", "own", "shared"), "representatives")
     with small_batches(docs.sparkSession):
         links = _links(reps, percent)
     labels = components(links).withColumnRenamed("node", "rep")
     groups = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    member = materialise(able.select("rid", "doc_id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"]).select("rid", "doc_id", "label"), "members")
+    groups = groups.withColumn("n_links", F.col("weight") - 1)
+    if counted:
+        with small_batches(docs.sparkSession):
+            known = materialise(_counts(reps, labels.join(classes.select("rep", "weight"), "rep"), percent), "counts")
+        groups = groups.join(known, "rep", "left").withColumn("n_links", F.col("n_links") + F.coalesce("linked", F.lit(0)))
+    member = materialise(able.select("rid", "doc_id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"]).select("rid", "doc_id", "label", "n_links"), "members")
     lowest = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = member.join(lowest, "label").select("rid", "component_id")
+    found = member.join(lowest, "label").select("rid", "component_id", "n_links")
     return (sets.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(found, "rid", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                    *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else [])))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from carryover.llm.decontamination import contamination
 from carryover.llm.exact_dedup import exact_dedup
 from carryover.llm.html_extraction import extract_text
-from carryover.llm.jaccard_join import jaccard_groups
+from carryover.llm.jaccard_join import jaccard_join
 from carryover.llm.kneser_ney import kneser_ney_scores
 from carryover.llm.language_id import fold, language_id
 from carryover.llm.license_scan import license_scan
@@ -51,7 +51,7 @@ def _(spark, sf):
 
 @query("op3_jaccard_join")
 def _(spark, sf):
-    return jaccard_groups(table(spark, sf, "documents"), shingle=4, percent=85)
+    return jaccard_join(table(spark, sf, "documents"), shingle=4, percent=85).drop("n_links")
 
 
 @query("op4_source_mixing")

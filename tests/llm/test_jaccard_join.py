@@ -48,3 +48,19 @@ def test_empty_and_clashing_columns(spark):
     rows = [(1, "a b c d e f", 5, "x", 1, "y"), (2, "a b c d e f", 6, "x", 1, "y")]
     got = J.jaccard_groups(spark.createDataFrame(rows, empty.schema)).collect()
     assert sorted(map(tuple, got)) == [(1, 2, 1), (2, 2, 1)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_every_link_is_counted(spark, make, near_copies, small, monkeypatch):
+    if small:
+        for name, value in (("BUCKET", 4), ("BLOCK_SHINGLES", 900), ("BLOCK_CLASSES", 5)):
+            monkeypatch.setattr(J, name, value)
+    got = J.jaccard_join(make(near_copies), shingle=2, percent=60).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(near_copies, 2, 60)
+    sets = []
+    for _, text in near_copies:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i:i + 2]) for i in range(max(1, len(words) - 1))} if words else set())
+    alike = lambda a, b: 100 * len(a & b) >= 60 * len(a | b)
+    want = [sum(i != j and bool(a) and bool(b) and alike(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((doc, n) for (doc, _), n in zip(near_copies, want))
