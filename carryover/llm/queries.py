@@ -103,5 +103,6 @@ def _(spark, sf):
 
 @query("op6_quality_classifier")
 def _(spark, sf):
+    # documents carry no url: source stands for the host, lang for the path
     found = quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), ["quality", "toxic"], F.col("source"), F.col("lang"))
     return found.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
