@@ -34,6 +34,15 @@ def same_value(stored: Column, expected: Column, info: ColumnInfo | None) -> Col
     return same
 
 
+def expected_value(spec: TableSpec, column: str, overrides: Mapping[str, tuple[Column, Column]] | None = None) -> Column:
+    """The written value, after a documented change where there is one."""
+    value = written(spec, column)
+    if overrides and column in overrides:
+        condition, replacement = overrides[column]
+        value = F.when(condition, replacement).otherwise(value)
+    return value
+
+
 def paired(src: DataFrame, tgt: DataFrame, spec: TableSpec, overrides: Mapping[str, tuple[Column, Column]] | None = None
            ) -> DataFrame:
     """Source rows with the written value ``e_<column>`` next to the stored ``d_<column>``.
@@ -41,13 +50,7 @@ def paired(src: DataFrame, tgt: DataFrame, spec: TableSpec, overrides: Mapping[s
     ``overrides`` are documented changes made after the copy: column -> (condition,
     replacement), over source columns.
     """
-    expected = []
-    for c in spec.carried:
-        value = written(spec, c)
-        if overrides and c in overrides:
-            condition, replacement = overrides[c]
-            value = F.when(condition, replacement).otherwise(value)
-        expected.append(value.alias(f"e_{c}"))
+    expected = [expected_value(spec, c, overrides).alias(f"e_{c}") for c in spec.carried]
     left = src.select(*expected)
     right = tgt.select(*[F.col(c).alias(f"d_{c}") for c in spec.carried], F.lit(True).alias("_found"))
     pair = None
