@@ -104,22 +104,27 @@ def with_hops(df: DataFrame, column: str) -> DataFrame:
                          (~double & has_marker(F.col(column))).alias("_bad"))
 
 
+def census_lanes(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[tuple[str, str, str, Column]]]:
+    """``df`` with what the census needs, and (column, lane, accept, predicate) for each lane of each column."""
+    lanes, checks = df, []
+    for i, column in enumerate(dict.fromkeys(columns)):
+        flags = {"_double": f"_double{i}", "_multi": f"_multi{i}", "_partial": f"_partial{i}", "_bad": f"_bad{i}"}
+        lanes = with_hops(lanes, column).drop("_h1", "_h2").withColumnsRenamed(flags)
+        double, multi, partial, bad = (F.col(flag) for flag in flags.values())
+        checks += [(column, "repairable", "charset-repair", double & ~multi & ~partial), (column, "multi", "keep-unrepairable-text", multi),
+                   (column, "partial", "keep-unrepairable-text", partial), (column, "bad", "keep-unrepairable-text", bad)]
+    return lanes, checks
+
+
 def charset_census(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Rows per column in each lane: repairable, multi, partial, bad.
 
     ``repairable`` needs one sign-off (repair them); the other three need another
     (keep them as they are). All columns are read in one scan.
     """
-    lanes, checks = df.select(*dict.fromkeys(columns)), []
-    for i, column in enumerate(columns):
-        flags = {"_double": f"_double{i}", "_multi": f"_multi{i}", "_partial": f"_partial{i}", "_bad": f"_bad{i}"}
-        lanes = with_hops(lanes, column).drop("_h1", "_h2").withColumnsRenamed(flags)
-        double, multi, partial, bad = (F.col(flag) for flag in flags.values())
-        checks += [((table, column, "repairable", "charset-repair"), double & ~multi & ~partial),
-                   ((table, column, "multi", "keep-unrepairable-text"), multi),
-                   ((table, column, "partial", "keep-unrepairable-text"), partial),
-                   ((table, column, "bad", "keep-unrepairable-text"), bad)]
-    return labelled_counts(lanes, ["table_name", "column_name", "lane", "accept"], checks)
+    lanes, checks = census_lanes(df.select(*dict.fromkeys(columns)), columns)
+    return labelled_counts(lanes, ["table_name", "column_name", "lane", "accept"],
+                           [((table, column, lane, accept), test) for column, lane, accept, test in checks])
 
 
 def exact_span_counts(df: DataFrame, column: str) -> DataFrame:

@@ -70,8 +70,13 @@ def enum_fold(value: Column, info) -> Column:
     return F.when(value.isNull(), F.lit(None).cast("string")).otherwise(folded) if info.nullable else folded
 
 
+def null_zero(info) -> object | None:
+    """What a NULL is stored as, None where it stays NULL or only the user can say."""
+    return None if info.nullable and not info.primitive else type_zero(info)
+
+
 def not_null_fallback(value: Column, info) -> Column:
-    zero = None if info.nullable else type_zero(info)
+    zero = null_zero(info)
     if zero is None:
         return value
     return F.coalesce(value, F.lit(zero).cast(info.spark_type()))
@@ -107,7 +112,7 @@ def coercion_counts(df: DataFrame, spec) -> DataFrame:
             if not info.nullable:
                 outside = outside | raw.isNull()
             checks.append(((name, "enum_fallback"), outside))
-        elif not info.nullable and type_zero(info) is not None:
+        elif null_zero(info) is not None:
             checks.append(((name, "not_null_fallback"), raw.isNull()))
         if info.type in TEMPORAL and info.nullable:
             checks.append(((name, "zero_date"), raw.cast("string").isin(*ZERO_DATES)))

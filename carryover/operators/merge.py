@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carryover.functions.transforms import not_null_fallback
 from carryover.operators.ordinals import cut_points, with_group_ordinal, with_ordinal
 from carryover.operators.skew import lookup, one_per_key
-from carryover.spec import REMAP_PREFIX, TableSpec, key_exprs, source_expr, written, written_columns
+from carryover.spec import REMAP_PREFIX, ColumnInfo, TableSpec, key_exprs, source_expr, written, written_columns
 
 
 def with_idmaps(src: DataFrame, spec: TableSpec, idmaps: Mapping[str, DataFrame], scatter: Sequence[str],
@@ -50,12 +51,21 @@ def project_mapped(src: DataFrame, spec: TableSpec, idmaps: Mapping[str, DataFra
     return src.select(*written_columns(spec))
 
 
-def fk_remap(child: DataFrame, idmap: DataFrame, column: str, nullable: bool, scatter: Sequence[str],
+def fk_remap(child: DataFrame, idmap: DataFrame, column: str, info: ColumnInfo | bool, scatter: Sequence[str],
              hot_rows: int | None = None) -> DataFrame:
-    """Replace a reference by the parent's new id; unknown becomes NULL, or stays raw where NULL is not allowed."""
+    """Replace a reference by the parent's new id.
+
+    An unknown one becomes NULL, stays raw where NULL is not allowed, and becomes the type's zero
+    where the column may be NULL but its readers cannot hold one. ``info`` is the target
+    column, or only whether it may be NULL.
+    """
+    if isinstance(info, bool):
+        info = ColumnInfo("bigint", nullable=info)
     mapped = lookup(child, idmap.select("old_id", F.col("new_id").alias("_new")), [(column, "old_id")],
                     scatter=scatter, hot_rows=hot_rows, counted=child.select(column))
-    value = F.col("_new") if nullable else F.coalesce("_new", F.col(column))
+    value = F.col("_new") if info.nullable else F.coalesce("_new", F.col(column))
+    if info.primitive:
+        value = not_null_fallback(value, info)
     return mapped.withColumn(column, value).drop("_new")
 
 

@@ -73,14 +73,15 @@ def any_mismatch(spec: TableSpec, columns: Sequence[str]) -> Column:
 
 
 def copy_value_parity(src: DataFrame, tgt: DataFrame, spec: TableSpec,
-                      overrides: Mapping[str, tuple[Column, Column]] | None = None) -> DataFrame:
+                      overrides: Mapping[str, tuple[Column, Column]] | None = None, *, rewritten: str | None = None) -> DataFrame:
     """(table_name, column_name, state, rows) from one join and one aggregate.
 
     One line per column, ``(row)`` for rows with any difference and ``(missing)`` for
-    source rows without a twin. A table that cannot be paired is reported as not
-    checked, never as passed.
+    source rows without a twin. A table that cannot be paired, or that was ``rewritten`` on
+    purpose after the copy (by what is the text given), is reported as not checked with the
+    rows that stand unchecked, never as passed.
     """
-    reason = unpairable_reason(spec)
+    reason = f"rewritten on purpose ({rewritten})" if rewritten else unpairable_reason(spec)
     if reason:
         return labelled_counts(src, ["table_name", "column_name", "state"],
                                [((spec.name, "(row)", f"not checked: {reason}"), F.lit(True))])

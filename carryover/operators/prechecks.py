@@ -14,10 +14,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.functions.transforms import NUMERIC, TEXTUAL
+from carryover.functions.transforms import NUMERIC, TEXTUAL, null_zero
 from carryover.operators.counting import beside, labelled_counts
 from carryover.operators.skew import lookup
-from carryover.spec import TableSpec, compared, source_expr
+from carryover.spec import ColumnInfo, TableSpec, compared, source_expr
 
 # The numeric literal grammar a text value must follow to be stored as a number.
 NUMERIC_LITERAL = r"^\s*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?\s*$"
@@ -147,13 +147,9 @@ def temporal_loss(value: Column, info, digits: int = 0) -> Column:
     return value.isNotNull() & lost
 
 
-def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, object] | None = None,
-             fraction_digits: Mapping[str, int] | None = None) -> DataFrame:
-    """Values the target cannot hold: (table_name, column_name, check_name, rows, first_id).
-
-    One scan for the whole table. A width proven by metadata is not scanned. A column
-    that reads through an id map is measured on the mapped value once its map is joined.
-    """
+def value_checks(df: DataFrame, spec: TableSpec, source: Mapping[str, object] | None = None,
+                 fraction_digits: Mapping[str, int] | None = None) -> list[tuple[str, str, Column]]:
+    """(column, check, predicate) for every value the target cannot hold. A width proven by metadata has no check."""
     source, digits = source or {}, fraction_digits or {}
     read = [c for c, i in spec.columns.items() if i.type in NUMERIC and not (c in spec.fk_remap and f"_remap_{c}" not in df.columns)]
     types = dict(df.select(*[source_expr(spec, c).alias(c) for c in read]).dtypes) if read else {}
@@ -171,6 +167,17 @@ def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, o
             checks.append((name, "capacity", out_of_capacity(value, info, types[name])))
         if info.type in ("date", "datetime", "timestamp", "time"):
             checks.append((name, "temporal", temporal_loss(value, info, digits.get(name, 0))))
+    return checks
+
+
+def precheck(df: DataFrame, spec: TableSpec, key: str, *, source: Mapping[str, object] | None = None,
+             fraction_digits: Mapping[str, int] | None = None) -> DataFrame:
+    """Values the target cannot hold: (table_name, column_name, check_name, rows, first_id).
+
+    One scan for the whole table. A width proven by metadata is not scanned. A column
+    that reads through an id map is measured on the mapped value once its map is joined.
+    """
+    checks = value_checks(df, spec, source, fraction_digits)
     # each predicate is evaluated once, then counted and located from its flag
     flags = df.select(F.col(key).alias("_key"), *[F.coalesce(t, F.lit(False)).alias(f"_b{i}")
                                                   for i, (_, _, t) in enumerate(checks)])
@@ -191,14 +198,26 @@ def fk_violations(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, s
                   counted=complete.select(*[c for c, _ in on]))
 
 
-def fk_unmapped(child: DataFrame, idmap: DataFrame, column: str, nullable: bool, scatter: Sequence[str],
+def unmapped_becomes(info) -> str:
+    """What a row holds whose reference the parent's id map does not know, by the rules of the write."""
+    if not info.nullable:
+        return "raw id"
+    zero = null_zero(info)
+    return "NULL" if zero is None else f"zero ({zero})"
+
+
+def fk_unmapped(child: DataFrame, idmap: DataFrame, column: str, info: ColumnInfo | bool, scatter: Sequence[str],
                 hot_rows: int | None = None) -> DataFrame:
-    """References the parent's id map does not know: how many, and what the row will hold."""
+    """References the parent's id map does not know: how many, and what the row will hold.
+
+    ``info`` is the target column, or only whether it may be NULL.
+    """
+    if isinstance(info, bool):
+        info = ColumnInfo("bigint", nullable=info)
     lost = lookup(child.where(F.col(column).isNotNull()), idmap.select("old_id"), [(column, "old_id")],
                   scatter=scatter, how="left_anti", hot_rows=hot_rows)
-    will_hold = F.lit("NULL" if nullable else "raw id")
     return (lost.groupBy(F.col(column).alias("old_id")).agg(F.count(F.lit(1)).alias("rows"))
-            .withColumn("will_hold", will_hold))
+            .withColumn("will_hold", F.lit(unmapped_becomes(info))))
 
 
 def unique_conflicts(df: DataFrame, column: str, info=None) -> DataFrame:

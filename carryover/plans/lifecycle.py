@@ -14,13 +14,13 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.functions.charset import charset_census
 from carryover.operators import findings as K
 from carryover.operators import merge as M
 from carryover.operators import parity as P
 from carryover.operators.archive import dropped_shadow, homes_of, preserve_table, unknown_columns, unknown_shadow
-from carryover.operators.prechecks import dropped_value_scan, fk_violations, precheck, unique_conflicts
-from carryover.session import tune
+from carryover.plans.circles import circles
+from carryover.plans.preflight import Expectations, Preflight
+from carryover.session import materialise, tune
 from carryover.spec import TableClass, TableSpec, effective_spec, written
 
 
@@ -36,11 +36,14 @@ class Migration:
     specs: Sequence[TableSpec]
     out: str
     accepted: Sequence[str] = ()
+    expect: Expectations = field(default_factory=Expectations)
+    rewritten: Mapping[str, str] = field(default_factory=dict)   # table -> what changes it on purpose after the copy
     notes: list[tuple[str, str, str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         tune(self.spark)
-        self._specs = {}
+        self._specs: dict[str, TableSpec] = {}
+        self._found: DataFrame | None = None
         for spec in self.specs:
             if spec.name not in self.staging:
                 self.notes.append((spec.name, "", "table absent from the snapshot"))
@@ -59,110 +62,95 @@ class Migration:
         spec = self._specs.get(table)
         return spec is not None and spec.cls is TableClass.MERGE and spec.surrogate_pk is not None
 
-    def _maps(self, spec: TableSpec, own: DataFrame | None = None) -> dict[str, DataFrame]:
-        """The id map of every parent: what its merge wrote, or the identity of a table that keeps its ids."""
+    def _maps(self, spec: TableSpec, without: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
+        """The id map of every parent: what its merge wrote, or the identity of a table that keeps its ids.
+
+        Parents in ``without`` have no ids yet and get an empty map.
+        """
         maps = {}
         for parent in spec.fk_remap.values():
-            if parent == spec.name and self._renumbered(parent):
-                maps[parent] = own if own is not None else self._read("idmap", parent)
+            if parent in without:
+                maps[parent] = self.spark.createDataFrame([], "old_id bigint, new_id bigint")
             elif self._renumbered(parent):
                 maps[parent] = self._read("idmap", parent)
             elif parent in self._specs:
                 maps[parent] = M.identity_map(self.staging[parent], self._specs[parent])
         return maps
 
-    def _sources(self, spec: TableSpec, own: DataFrame | None = None) -> DataFrame:
+    def _sources(self, spec: TableSpec, without: frozenset[str] = frozenset()) -> DataFrame:
         """The staged rows next to the new ids of what they refer to."""
         src = self.staging[spec.name]
         if not spec.fk_remap:
             return src
-        return M.with_idmaps(src, spec, self._maps(spec, own), [spec.source_of(k) for k in spec.key])
+        return M.with_idmaps(src, spec, self._maps(spec, without), [spec.source_of(k) for k in spec.key])
 
-    def ordered(self) -> list[TableSpec]:
-        """Renumbered parents before their children; the declared order breaks ties.
+    def groups(self) -> list[list[TableSpec]]:
+        """Renumbered parents before their children; tables that renumber each other in a circle come together.
 
-        A table may refer to itself. Tables that renumber each other in a circle are refused.
+        The declared order breaks ties.
         """
-        placed: list[TableSpec] = []
-        waiting = list(self._specs.values())
-        while waiting:
-            names = {s.name for s in waiting if self._renumbered(s.name)}
-            ready = [s for s in waiting if not (set(s.fk_remap.values()) - {s.name}) & names]
-            if not ready:
-                raise Refused(f"circular references: {', '.join(sorted(s.name for s in waiting))}")
-            placed += ready
-            waiting = [s for s in waiting if s not in ready]
-        return placed
+        parents = {s.name: {p for p in s.fk_remap.values() if self._renumbered(p) and p != s.name} for s in self._specs.values()}
+        return [[self._specs[name] for name in group] for group in circles(parents)]
+
+    def ordered(self) -> list[TableSpec]:
+        return [spec for group in self.groups() for spec in group]
+
+    def _circle(self, group: Sequence[TableSpec]) -> frozenset[str]:
+        """The renumbered tables of a group that refer to each other or to themselves."""
+        names = {s.name for s in group}
+        circle = frozenset(s.name for s in group if self._renumbered(s.name) and set(s.fk_remap.values()) & names)
+        for spec in group:
+            held = [k for k in spec.merge_keys if spec.fk_remap.get(k) in circle]
+            if spec.name in circle and held:
+                raise Refused(f"{spec.name}: merge key {held[0]} refers to a table whose ids depend on it in turn")
+        return circle
 
     def preflight(self) -> tuple[DataFrame, DataFrame]:
-        """(findings, verdict) over every staged table; reads only.
+        """(findings, verdict) over every staged table; reads only, and each table once.
 
         Values the target cannot hold, keys that repeat, references without a parent,
-        text in a wrong charset and values without a home, each with the sign-off that
-        settles it where there is one.
+        text in a wrong charset, values without a home, and what ``expect`` names, each with the
+        sign-off that settles it where there is one. The findings are written down the first
+        time, so that the gate and the report speak of the same ones.
         """
-        checks = []
-        for spec in self._specs.values():
-            df = self.staging[spec.name]
-            key = spec.source_of((spec.key or tuple(spec.columns))[0])
-            name = lambda column: (F.lit(spec.name).alias("table_name"), column.cast("string").alias("column_name"))  # noqa: E731, B023
-            found = precheck(df, spec, key)
-            checks.append(found.select(
-                F.concat(F.lit("value-"), F.col("check_name")).alias("finding_id"), F.lit(K.BLOCKER).alias("severity"),
-                "table_name", "column_name", "rows", F.lit(None).cast("string").alias("accept")))
-            if len(spec.key) == 1 and spec.cls is TableClass.COPY and spec.key[0] in spec.columns:
-                twice = unique_conflicts(df, key, spec.columns[spec.key[0]]).agg(F.coalesce(F.sum("extras"), F.lit(0)).alias("rows"))
-                checks.append(K.finding(twice, "key-repeats", K.BLOCKER, spec.name, spec.key[0]))
-            for column, parent in spec.fk_remap.items():
-                if parent in self._specs and len(self._specs[parent].key) == 1:
-                    own = self._specs[parent]
-                    lost = fk_violations(df, self.staging[parent], [(spec.source_of(column), own.source_of(own.key[0]))], [key])
-                    # a reference that may be NULL becomes NULL, which is said; any other stays raw, which needs a sign-off
-                    free = spec.columns[column].nullable
-                    checks.append(K.finding(lost.agg(F.count(F.lit(1)).alias("rows")), "reference-without-parent",
-                                            K.ADVISORY if free else K.BLOCKER, spec.name, column, None if free else "keep-raw-references"))
-            if spec.charset_scan:
-                # a column that the mapping repairs was signed off with the mapping
-                scanned = [spec.source_of(c) for c in spec.charset_scan if c not in spec.repaired]
-                if scanned:
-                    checks.append(charset_census(df, scanned, spec.name).select(
-                        F.concat(F.lit("charset-"), F.col("lane")).alias("finding_id"), F.lit(K.BLOCKER).alias("severity"),
-                        "table_name", "column_name", "rows", "accept"))
-            if spec.dropped:
-                checks.append(dropped_value_scan(df, spec).select(
-                    F.lit("value-without-home").alias("finding_id"), F.lit(K.ADVISORY).alias("severity"), *name(F.col("column_name")), "rows",
-                    F.lit(None).cast("string").alias("accept")))
-        found = K.findings(checks).where(F.col("rows").isNull() | (F.col("rows") > 0))
-        return found, K.preflight_verdict(found, self.accepted)
+        if self._found is None:
+            self._found = materialise(Preflight(self.spark, self.staging, self.seed, self._specs, self.expect).findings(), "findings")
+        return self._found, K.preflight_verdict(self._found, self.accepted)
 
     def apply(self) -> None:
         """Write every table, its id map and its pre-merge snapshot. Refuses a closed gate."""
         verdict = self.preflight()[1].first()
         if verdict.exit_code:
             raise Refused(verdict.verdict)
-        for spec in self.ordered():
-            src = self.staging[spec.name]
-            preserve_table(src, spec.cls, {home: self._path(f"kept/{home}", spec.name) for home in homes_of(spec.cls)})
-            if spec.dropped:
-                dropped_shadow(src, spec).write.mode("overwrite").parquet(self._path("dropped", spec.name))
-            if unknown_columns(spec, src):
-                unknown_shadow(src, spec).write.mode("overwrite").parquet(self._path("unknown", spec.name))
-            if spec.cls is TableClass.MERGE:
-                self._merge(spec)
-            elif spec.cls is TableClass.COPY:
-                self._sources(spec).select(*M.written_columns(spec)).write.mode("overwrite").parquet(self._path("live", spec.name))
-
-    def _merge(self, spec: TableSpec) -> None:
-        # the snapshot is written first and read back: every later step sees the same seed
-        self.seed[spec.name].write.mode("overwrite").parquet(self._path("preseed", spec.name))
-        seed, src = self._read("preseed", spec.name), self.staging[spec.name]
-        refers_to_itself = spec.name in spec.fk_remap.values() and self._renumbered(spec.name)
-        if refers_to_itself:
-            # new ids do not depend on the references, so a first pass without them gives the id map
-            nothing = self.spark.createDataFrame([], "old_id bigint, new_id bigint")
-            live, _, _ = M.merge_seed_wins(self._sources(spec, nothing), seed, spec)
-            live.write.mode("overwrite").parquet(self._path("numbered", spec.name))
-            M.idmap_twins(self._sources(spec, nothing), self._read("numbered", spec.name), spec).write.mode("overwrite").parquet(self._path("idmap", spec.name))
+        for group in self.groups():
+            circle = self._circle(group)
+            for spec in group:
+                if spec.cls is TableClass.MERGE:
+                    # the snapshot is written first and read back: every later step sees the same seed
+                    self.seed[spec.name].write.mode("overwrite").parquet(self._path("preseed", spec.name))
+                if spec.name in circle:
+                    self._number(spec, circle)
+            for spec in group:
+                src = self.staging[spec.name]
+                preserve_table(src, spec.cls, {home: self._path(f"kept/{home}", spec.name) for home in homes_of(spec.cls)})
+                if spec.dropped:
+                    dropped_shadow(src, spec).write.mode("overwrite").parquet(self._path("dropped", spec.name))
+                if unknown_columns(spec, src):
+                    unknown_shadow(src, spec).write.mode("overwrite").parquet(self._path("unknown", spec.name))
+                if spec.cls is TableClass.MERGE:
+                    self._merge(spec, spec.name in circle)
+                elif spec.cls is TableClass.COPY:
+                    self._sources(spec).select(*M.written_columns(spec)).write.mode("overwrite").parquet(self._path("live", spec.name))
+
+    def _number(self, spec: TableSpec, circle: frozenset[str]) -> None:
+        """The id map of a table in a circle: new ids do not depend on the references, so a pass without them gives it."""
+        src = self._sources(spec, circle)
+        live, _, _ = M.merge_seed_wins(src, self._read("preseed", spec.name), spec)
+        live.write.mode("overwrite").parquet(self._path("numbered", spec.name))
+        M.idmap_twins(src, self._read("numbered", spec.name), spec).write.mode("overwrite").parquet(self._path("idmap", spec.name))
+
+    def _merge(self, spec: TableSpec, numbered: bool) -> None:
+        seed = self._read("preseed", spec.name)
         src = self._sources(spec)
         live, _, judged = M.merge_seed_wins(src, seed, spec)
         live.write.mode("overwrite").parquet(self._path("merged", spec.name))
@@ -172,7 +160,7 @@ class Migration:
             key = [spec.surrogate_pk] if spec.surrogate_pk else list(spec.key)
             written = M.archived_backfill(written, seed, src, spec, key)
         written.write.mode("overwrite").parquet(self._path("live", spec.name))
-        if spec.surrogate_pk and not refers_to_itself:
+        if spec.surrogate_pk and not numbered:
             (M.idmap_twins(src, self._read("live", spec.name), spec).write.mode("overwrite")
              .parquet(self._path("idmap", spec.name)))
 
@@ -205,7 +193,15 @@ class Migration:
             idmap = self._read("idmap", spec.name) if spec.surrogate_pk else None
             rows = P.merge_parity(src, live, preseed, idmap, spec).select(F.lit(spec.name).alias("table_name"), F.col("claim").alias("item"), "rows")
             rows = rows.unionByName(counted(P.appended_missing(src, live, preseed, idmap, spec), "appended and there"))
-        elif P.unpairable_reason(spec):
+            rows = rows.unionByName(self._counted_rows(P.merge_row_parity(src, live, spec)))
+            if spec.archived:
+                rows = rows.unionByName(self._archived_values(P.archived_column_parity(src, live, preseed, spec), spec))
+            return rows
+        if spec.name in self.rewritten:
+            # named, with no count: not a pass
+            state = P.copy_value_parity(src, live, spec, rewritten=self.rewritten[spec.name])
+            return state.select("table_name", F.col("state").alias("item"), F.lit(None).cast("bigint").alias("rows"))
+        if P.unpairable_reason(spec):
             rows = P.multiset_parity(src, live, spec).select(
                 "table_name", F.lit("content").alias("item"), F.when(F.col("status") == "verified", 0).otherwise(1)
                 .cast("bigint").alias("rows"))
@@ -227,8 +223,38 @@ class Migration:
                         empty = live.where(F.col(column).isNull()).join(
                             held, reduce(and_, [F.col(c[2:]).eqNullSafe(F.col(c)) for c in held.columns]), "left_semi")
                         rows = rows.unionByName(counted(empty, f"{column}: lost references"))
+        rows = rows.unionByName(self._counted_rows(P.copy_row_parity(src, live, spec.name, list(spec.key))))
+        if spec.archived:
+            rows = rows.unionByName(self._archived_values(P.archived_column_parity(src, live, None, spec), spec))
         return rows
 
+    def _counted_rows(self, parity: DataFrame) -> DataFrame:
+        return parity.select("table_name", F.lit("(row count)").alias("item"), F.when(F.col("state") == "pass", 0)
+                             .otherwise(F.greatest(F.abs(F.col("target_rows") - F.col("expected_rows")), F.lit(1))).cast("bigint").alias("rows"))
+
+    def _archived_values(self, parity: DataFrame, spec: TableSpec) -> DataFrame:
+        lost = F.abs(F.col("source_values") - F.col("twin_surplus") - F.col("live_values"))
+        return parity.select(F.lit(spec.name).alias("table_name"), F.concat(F.col("column_name"), F.lit(": archived values")).alias("item"), lost.cast("bigint").alias("rows"))
+
+    def gate(self, recheck: DataFrame | None = None) -> DataFrame:
+        """May staging be dropped: the homes that are the only copy of their rows are read again and digested.
+
+        ``recheck`` has the claims (claim, rows) of mappings that the run depends on.
+        """
+        only = {s.name: self.staging[s.name] for s in self._specs.values() if s.cls not in (TableClass.COPY, TableClass.MERGE) and homes_of(s.cls)}
+        homes: dict[str, dict[str, DataFrame]] = {}
+        for name in only:
+            for home in homes_of(self._specs[name].cls):
+                homes.setdefault(home, {})[name] = self._read(f"kept/{home}", name)
+        parity = None
+        for home, tables in sorted(homes.items()):
+            part = P.preserved_parity({t: only[t] for t in tables}, {home: tables})
+            parity = part if parity is None else parity.unionByName(part)
+        if parity is None:
+            parity = self.spark.createDataFrame([], "home string, table_name string, status string, why string")
+        claims = recheck if recheck is not None else self.spark.createDataFrame([], "claim string, rows bigint")
+        return P.release_gate(parity, claims)
+
     def report(self, verified: DataFrame) -> DataFrame:
         """The long report: what arrived, where else it went, what was not checked, findings, verdict."""
         found, verdict = self.preflight()
@@ -247,10 +273,11 @@ class Migration:
                 row = self._read("overridden", spec.name).select(
                     F.lit(f"{spec.name}: beaten by the seed or excluded").alias("item"), F.col("overridden").alias("rows"))
                 elsewhere = row if elsewhere is None else elsewhere.unionByName(row)
+        unchecked = verified.where("rows IS NULL").select(F.concat_ws(": ", "table_name", "item").alias("item"), "rows")
         wrong = verified.where(F.col("rows") > 0).select(
             F.lit("not as written").alias("finding_id"), F.lit(K.BLOCKER).alias("severity"), "table_name",
             F.col("item").alias("column_name"), "rows", F.lit(None).cast("string").alias("accept"))
         skipped = self.spark.createDataFrame([(f"{t}.{c}: {w}", None) for t, c, w in self.notes], "item string, rows bigint")
         empty = skipped.where(F.lit(False))
-        return K.import_report(arrived, elsewhere if elsewhere is not None else empty, skipped,
+        return K.import_report(arrived, elsewhere if elsewhere is not None else empty, skipped.unionByName(unchecked),
                                found.unionByName(wrong), verdict)

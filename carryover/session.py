@@ -73,12 +73,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a result that several later steps read to the shared checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, survives lost executors and stays columnar, so
     later steps still read only the columns they need.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

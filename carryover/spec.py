@@ -44,6 +44,7 @@ class ColumnInfo:
     default: object = None
     values: tuple[str, ...] = ()       # enum members
     collation: str = "binary"          # "binary" or "ci" (case and pad insensitive)
+    primitive: bool = False            # may be NULL, but its readers cannot: a NULL is stored as the type's zero
 
     def spark_type(self) -> str:
         if self.type == "decimal":

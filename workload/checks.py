@@ -98,13 +98,17 @@ def _(spark, sf):
 
 
 @query("fk_unmapped", """
-    SELECT o_custkey AS old_id, count(*) AS rows, 'NULL' AS will_hold FROM orders
-    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1""")
+    SELECT o_custkey AS old_id, count(*) AS rows, will_hold FROM orders, (VALUES ('NULL'), ('raw id'), ('zero (0)')) v(will_hold)
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1, 3""")
 def _(spark, sf):
     child, parents = frames(spark, sf, "orders", "customer")
     idmap = parents.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("old_id"),
                                                                (F.col("c_custkey") + 1000).alias("new_id"))
-    return P.fk_unmapped(child, idmap, "o_custkey", True, ["o_orderkey"])
+    # a column that may be NULL, one that may not, and one that may but whose readers cannot hold a NULL
+    out = P.fk_unmapped(child, idmap, "o_custkey", True, ["o_orderkey"])
+    for info in (ColumnInfo("bigint", nullable=False), ColumnInfo("bigint", primitive=True)):
+        out = out.unionByName(P.fk_unmapped(child, idmap, "o_custkey", info, ["o_orderkey"]))
+    return out
 
 
 @query("unique_conflicts", """
