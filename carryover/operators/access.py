@@ -7,12 +7,15 @@ stored apart from surrounding blanks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.text import fold
+from carryover.operators.ordinals import in_order, with_group_ordinal
 from carryover.operators.skew import lookup, one_per_key
+from carryover.session import materialise
 
 # Group names that are not roles (digits, everybody, queues).
 NON_GROUP = r"(?i)^(-?[0-9]+|_all|_queue\..*)$"
@@ -47,16 +50,79 @@ def jaccard_scores(custom: DataFrame, stock: DataFrame) -> DataFrame:
                         (F.col("shared") / union).alias("score"))
 
 
+def _closest(scores: DataFrame) -> DataFrame:
+    """For each custom group the template with the highest score, ties by name."""
+    return one_per_key(scores, ["custom"], F.struct((-F.col("score")).alias("a"), F.col("template").alias("b")),
+                       ["template", "shared", "union", "score"], largest=False)
+
+
+@dataclass
+class Round:
+    """One threshold of :func:`closest_templates`: groups that went in, pairs looked at, groups settled."""
+
+    threshold: float
+    groups: int
+    candidates: int
+    settled: int
+
+
+def closest_templates(custom: DataFrame, stock: DataFrame, thresholds: Sequence[float] = (0.8, 0.5, 0.2)) -> tuple[DataFrame, list[Round]]:
+    """(custom, template, shared, union, score) of the closest template, without meeting all pairs.
+
+    At a threshold t, two sets whose Jaccard score reaches t share one of their rarest
+    (object, privilege) pairs: of n pairs, the first n - ceil(t n) + 1 in the order rare to frequent.
+    Only these prefixes meet, and a pair of groups stays a candidate if its sizes and the places
+    of the first pair they share leave room for t. Candidates are counted in full, once. A group
+    whose best score reaches t is settled, since no better one can be missing; the others go on to
+    the next lower threshold. What shares little with every template is met in full at the end.
+    """
+    spark = custom.sparkSession
+    c, s = pairs(custom), pairs(stock)
+    both = c.select("object", "privilege").unionByName(s.select("object", "privilege"))
+    ranked = in_order(both.groupBy("object", "privilege").agg(F.count(F.lit(1)).alias("_n")), [F.col("_n").asc(), F.col("object").asc(), F.col("privilege").asc()], "_item")
+
+    def placed(side: DataFrame, name: str) -> DataFrame:
+        items = with_group_ordinal(side.join(ranked.select("object", "privilege", "_item"), ["object", "privilege"]), ["grp"], "_item", "_at")
+        size = side.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
+        return materialise(items.join(size, "grp").select(F.col("grp").alias(name), "_item", F.col("_at").alias(f"_{name}_at"), F.col("_size").alias(f"_{name}_size")), name)
+
+    mine, theirs = placed(c, "custom"), placed(s, "template")
+    mine_size, theirs_size = F.col("_custom_size"), F.col("_template_size")
+    open_groups, best, rounds = materialise(mine.select("custom").distinct(), "open"), [], []
+    prefix = lambda name, t: F.col(f"_{name}_at") <= F.col(f"_{name}_size") - F.ceil(F.col(f"_{name}_size") * t - 1e-9) + 1
+    for t in sorted(thresholds, reverse=True):
+        left = mine.join(open_groups, "custom", "left_semi")
+        fits = (theirs_size >= mine_size * t - 1e-9) & (mine_size >= theirs_size * t - 1e-9)
+        met = (left.where(prefix("custom", t)).join(theirs.where(prefix("template", t)), "_item").where(fits)
+               .groupBy("custom", "template", "_custom_size", "_template_size").agg(F.min("_custom_at").alias("_c"), F.min("_template_at").alias("_s")))
+        # the first pair both hold stands at the smallest place on either side; at most what comes after it is shared too
+        room = F.least(mine_size - F.col("_c"), theirs_size - F.col("_s")) + 1
+        candidates = materialise(met.where(room >= (mine_size + theirs_size) * (t / (1 + t)) - 1e-9), "candidates")
+        shared = (candidates.join(left.select("custom", "_item"), "custom").join(theirs.select("template", "_item"), ["template", "_item"])
+                  .groupBy("custom", "template", "_custom_size", "_template_size").agg(F.count(F.lit(1)).alias("shared")))
+        union = mine_size + theirs_size - F.col("shared")
+        scored = shared.select("custom", "template", "shared", union.alias("union"), (F.col("shared") / union).alias("score"))
+        settled = materialise(_closest(scored.where(F.col("score") >= t)), "settled")
+        rounds.append(Round(t, open_groups.count(), candidates.count(), settled.count()))
+        best.append(settled)
+        open_groups = materialise(open_groups.join(settled.select("custom"), "custom", "left_anti"), "open")
+    rest = c.join(open_groups.withColumnRenamed("custom", "grp"), "grp", "left_semi")
+    out = _closest(jaccard_scores(rest, stock)) if not open_groups.isEmpty() else spark.createDataFrame([], best[0].schema)
+    for part in best:
+        out = out.unionByName(part)
+    return out, rounds
+
+
 def jaccard_template(custom: DataFrame, stock: DataFrame, floor: float, *, guarded: Sequence[str] = (),
-                     guarded_floor: float = 0.5, override: dict[str, str] | None = None) -> DataFrame:
+                     guarded_floor: float = 0.5, override: dict[str, str] | None = None, best: DataFrame | None = None) -> DataFrame:
     """For each custom group the closest stock group, ties by name, NULL below the floor.
 
     A guarded (administrative) template needs ``guarded_floor``. An operator's override wins.
+    ``best`` is what :func:`closest_templates` found; without it all groups meet.
     """
     groups = pairs(custom).select(F.col("grp").alias("custom")).distinct()
-    best = one_per_key(jaccard_scores(custom, stock), ["custom"],
-                       F.struct((-F.col("score")).alias("a"), F.col("template").alias("b")),
-                       ["template", "shared", "union", "score"], largest=False)
+    if best is None:
+        best = _closest(jaccard_scores(custom, stock))
     joined = groups.join(best, "custom", "left")
     needed = F.when(F.col("template").isin(*[g.lower() for g in guarded]), F.lit(max(floor, guarded_floor))) \
         .otherwise(F.lit(floor)) if guarded else F.lit(floor)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from carryover.functions.text import fold
 from carryover.operators.counting import beside
-from carryover.operators.ordinals import cut_points, with_ordinal
+from carryover.operators.ordinals import cut_points, with_group_ordinal, with_ordinal
 from carryover.operators.skew import lookup
 from carryover.session import checkpoint_dir
 
@@ -121,43 +121,43 @@ def generated_name(prefix: str, suffix: str) -> Column:
                     F.col("row_id").cast("string"), F.lit("-"), F.col("nonce").cast("string"), F.lit(suffix))
 
 
-def allocate_names(names: DataFrame, prefix: str, suffix: str = "", *, hot_rows: int | None = None,
-                   max_rounds: int = 1000) -> DataFrame:
+def free_numbers(names: DataFrame, prefix: str, suffix: str = "", *, hot_rows: int | None = None) -> DataFrame:
+    """(_stem, _free): the smallest number that no original name has behind its stem, for every stem some name has.
+
+    The numbers of a stem are put in order; those that stand where they belong, 0 first, are the
+    run without a gap that starts at 0, so how many they are is the first free number.
+    """
+    head, tail = F.lower(F.lit(prefix + "-")), F.lower(F.rtrim(F.lit(suffix)))
+    folded = F.col("folded")
+    looks = names.where(folded.startswith(head) & folded.endswith(tail)).select(
+        F.substring(folded, F.lit(1), F.char_length(folded) - F.char_length(tail)).alias("_name")).distinct()
+    # a generated number has no leading zero; one of more digits lies behind more names than there are
+    numbered = r"^(.*-)(0|[1-9][0-9]{0,17})$"
+    taken = looks.where(F.regexp_like("_name", F.lit(numbered))).select(
+        F.regexp_extract("_name", numbered, 1).alias("_stem"), F.regexp_extract("_name", numbered, 2).cast("bigint").alias("_number"))
+    placed = with_group_ordinal(taken, ["_stem"], "_number", "_place", hot_rows=hot_rows)
+    return placed.groupBy("_stem").agg(F.count_if(F.col("_number") == F.col("_place") - 1).alias("_free"))
+
+
+def allocate_names(names: DataFrame, prefix: str, suffix: str = "", *, hot_rows: int | None = None) -> DataFrame:
     """Names for every row: unchanged where unique, generated where several rows share one.
 
-    ``names`` comes from :func:`namespace`. A generated name that equals any original
-    (under the target's comparison) is retried with the next number. Each retry uses up
-    a different original name, so the loop ends; running out of rounds is an error,
-    never a truncation. Output: source_table, row_id, original_name, new_name,
-    group_size, year_tag, nonce, reason.
+    ``names`` comes from :func:`namespace`. A generated name carries the smallest number with
+    which it equals no original (under the target's comparison). Output: source_table, row_id,
+    original_name, new_name, group_size, year_tag, nonce, reason.
     """
-    checkpoint_dir(names.sparkSession)
     sizes = names.where(F.col("folded").isNotNull()).groupBy("folded").agg(F.count(F.lit(1)).alias("group_size"))
-    sized = lookup(names, sizes, [("folded", "folded")], scatter=["source_table", "row_id"], hot_rows=hot_rows,
-                   counted=names.select("folded"))
-    sized = sized.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint")))
-    shared = F.col("group_size") > 1
-    # only names that look generated can be hit by a generated one
-    occupied = (names.select("folded").where(F.col("folded").startswith(prefix.lower() + "-")).distinct()
-                .withColumnRenamed("folded", "_taken"))
-    open_rows = sized.where(shared).withColumn("nonce", F.lit(0).cast("bigint"))
-    settled = None
-    for _ in range(max_rounds):
-        candidate = open_rows.withColumn("new_name", generated_name(prefix, suffix))
-        free = candidate.join(occupied, fold(F.col("new_name")) == F.col("_taken"), "left_anti")
-        settled = free if settled is None else settled.unionByName(free)
-        hit = candidate.join(occupied, fold(F.col("new_name")) == F.col("_taken"), "left_semi")
-        hit = hit.drop("new_name").withColumn("nonce", F.col("nonce") + 1).checkpoint()
-        if hit.isEmpty():
-            break
-        open_rows = hit
-    else:
-        raise RuntimeError("name allocation used up its rounds")
-    kept = sized.where(~shared).select("*", F.lit(0).cast("bigint").alias("nonce"),
-                                       F.col("original_name").alias("new_name"))
-    return kept.unionByName(settled).select(
-        "source_table", "row_id", "original_name", "new_name", "group_size", "year_tag", "nonce",
-        F.when(F.col("group_size") > 1, "collision").otherwise("unchanged").alias("reason"))
+    rows = ["source_table", "row_id"]
+    sized = lookup(names, sizes, [("folded", "folded")], scatter=rows, hot_rows=hot_rows, counted=names.select("folded"))
+    shared = F.coalesce(F.col("group_size"), F.lit(1)) > 1
+    stem = F.lower(F.concat(F.lit(prefix + "-"), F.col("source_table"), F.lit("-"), F.col("year_tag"), F.lit("-"), F.col("row_id").cast("string"), F.lit("-")))
+    free = free_numbers(names, prefix, suffix, hot_rows=hot_rows)
+    numbered = lookup(sized.withColumn("_own", F.when(shared, stem)), free, [("_own", "_stem")], scatter=rows)
+    numbered = numbered.withColumn("nonce", F.coalesce("_free", F.lit(0).cast("bigint")))
+    return numbered.select(
+        *rows, "original_name", F.when(shared, generated_name(prefix, suffix)).otherwise(F.col("original_name")).alias("new_name"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), "year_tag", "nonce",
+        F.when(shared, "collision").otherwise("unchanged").alias("reason"))
 
 
 def mapping_recheck(names: DataFrame, mapping: DataFrame, prefix: str, suffix: str = "",

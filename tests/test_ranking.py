@@ -47,11 +47,18 @@ def test_allocation_retries_past_taken_names(spark):
         "missing_or_changed": 0, "extra": 0, "policy": 0, "collision": 0, "not_unique": 0}
 
 
-def test_allocation_out_of_rounds_is_an_error(spark):
-    taken = [(i + 10, f"import-a-x-1-{i}") for i in range(5)]
-    names = R.namespace({"a": (spark.createDataFrame([(1, "n"), (2, "n"), *taken], "id int, n string"), "id", "n", None)})
-    with pytest.raises(RuntimeError):
-        R.allocate_names(names, "import", max_rounds=3)
+def test_allocation_takes_the_first_gap(spark):
+    """As many numbers as there are may be taken: no round is used up for them, and no gap is passed over."""
+    taken = [(i + 10, f"Import-A-x-1-{i}.PDF ") for i in range(3000) if i != 2071] + [(9001, "import-a-x-2-00.pdf"), (9002, "import-a-x-2-1.pdf"),
+             (9003, "import-a-x-3-0"), (9004, "import-a-x-4-0.pdf"), (9005, "import-a-x-4-2.pdf"), (9006, "import-a-x-4-99999999999999999999.pdf"), (9007, None)]
+    names = R.namespace({"a": (spark.createDataFrame([(i, "n") for i in range(1, 6)] + taken, "id int, n string"), "id", "n", None)})
+    for hot in (None, 100):
+        mapping = R.allocate_names(names, "import", ".pdf", hot_rows=hot)
+        got = {r.row_id: (r.new_name, r.nonce) for r in mapping.where("reason = 'collision'").collect()}
+        assert got == {1: ("import-a-x-1-2071.pdf", 2071), 2: ("import-a-x-2-0.pdf", 0), 3: ("import-a-x-3-0.pdf", 0), 4: ("import-a-x-4-1.pdf", 1), 5: ("import-a-x-5-0.pdf", 0)}
+    assert mapping.count() == names.count()
+    assert {r.claim: r.rows for r in R.mapping_recheck(names, mapping, "import", ".pdf").collect()} == {
+        "missing_or_changed": 0, "extra": 0, "policy": 0, "collision": 0, "not_unique": 0}
 
 
 def test_tag_that_does_not_fit_is_reported(spark):

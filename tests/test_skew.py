@@ -49,11 +49,34 @@ def test_ranges_follow_the_row_count(spark):
     df = spark.range(20_000).select((F.col("id") * F.col("id")).alias("pk")).repartition(7)
     cuts = O.cut_points(df, "pk", 4)
     ranged = O.with_range(df, "pk", cuts)
-    assert (len(cuts.edges) - 1) * cuts.pieces >= 4500 and ranged.select("_range").distinct().count() > 4096
+    assert (len(cuts.edges) - 1) * cuts.cells * cuts.pieces >= 4500 and ranged.select("_range").distinct().count() > 4096
     got = O.with_ordinal(df, "pk", rows_per_range=4)
     assert [r.ordinal for r in got.orderBy("pk").collect()] == list(range(1, 20_001))
 
 
+def test_ranges_of_a_clustered_key_stay_even(spark, monkeypatch):
+    """Nine of ten ids lie in a millionth of the span, in clumps; no range may hold much more than its share."""
+    monkeypatch.setattr(O, "QUANTILES", 16)
+    clump = (F.col("id") % 37) * 100_000 + F.col("id") / 37
+    df = spark.range(60_000).select(F.when(F.col("id") % 10 < 9, clump.cast("bigint") + F.col("id") % 7).otherwise(F.col("id") * 10 ** 9).alias("raw"), "id")
+    df = df.groupBy("raw").agg(F.min("id").alias("id")).withColumnRenamed("raw", "pk").repartition(7)
+    total = df.count()
+    cuts = O.cut_points(df, "pk", 100)
+    sizes = [r["count"] for r in O.with_range(df, "pk", cuts).groupBy("_range").count().collect()]
+    assert cuts.inner is not None and sum(sizes) == total and max(sizes) <= 2 * total / len(sizes) and max(sizes) <= 250
+    ordered = O.with_range(df, "pk", cuts).groupBy("_range").agg(F.min("pk").alias("a"), F.max("pk").alias("b")).orderBy("_range").collect()
+    assert all(x.b < y.a for x, y in zip(ordered, ordered[1:]))
+    got = O.with_ordinal(df, "pk", rows_per_range=100)
+    assert [r.ordinal for r in got.orderBy("pk").collect()] == list(range(1, total + 1))
+
+
+def test_numbers_in_order(spark):
+    df = skewed(spark)
+    got = O.in_order(df, [F.col("k").asc_nulls_first(), F.col("pk").asc()], "at").orderBy("at").collect()
+    key = lambda r: (-1 if r.k is None else r.k, r.pk)
+    assert [key(r) for r in got] == sorted(map(key, df.collect())) and len({r["at"] for r in got}) == len(got)
+
+
 def test_plain_lookup_matches_the_spread_one(spark):
     right = spark.range(200).select(F.col("id").alias("kk"), (F.col("id") * 2).alias("v"))
     plain, spread = (skew.lookup(skewed(spark), right, [("k", "kk")], scatter=["pk"], hot_rows=n) for n in (None, 300))

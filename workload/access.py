@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carryover.operators import access as A
 from carryover.session import materialise
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.roles import frame, frames
 
 IS_GROUP = "NOT regexp_matches({0}, '(?i)^(-?[0-9]+|_all|_queue\\..*)$')"
@@ -40,6 +40,13 @@ def templates(spark, sf):
     return A.jaccard_template(custom, stock, FLOOR, guarded=["FURNITURE"], override={"building 0": "MACHINERY"})
 
 
+@query("jaccard_template_pruned", ORACLES["jaccard_template"])
+def _(spark, sf):
+    custom, stock = matrices(spark, sf)
+    best, _ = A.closest_templates(custom, stock)
+    return A.jaccard_template(custom, stock, FLOOR, guarded=["FURNITURE"], override={"building 0": "MACHINERY"}, best=best)
+
+
 @query("era_objects", """
     SELECT DISTINCT object FROM {seed_matrix} WHERE lower(object) NOT IN (SELECT lower(object) FROM {staged_matrix})
         AND lower(object) NOT IN (SELECT lower('ERA.' || p_brand) FROM part WHERE p_brand LIKE 'Brand#1%')""")
