@@ -118,8 +118,10 @@ def with_group_ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str
     NULL key parts count as equal, as they do in a group-by.
     """
     hot_rows = hot_rows or HOT_ROWS
-    hot = hot_keys(df, keys, hot_rows)
-    cuts = cut_points(df, order, rows_per_range or hot_rows)
+    hot = materialise(hot_keys(df, keys, hot_rows), "hot")
+    if hot.isEmpty():
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
+    cuts = cut_points(df.join(hot, key_hash(keys) == F.col("_kh"), "left_semi"), order, rows_per_range or hot_rows)
     tagged = df.withColumn("_kh", key_hash(keys)).join(hot, "_kh", "left")
     tagged = with_range(tagged, order, cuts)
     tagged = tagged.withColumn("_range", F.when(F.col("_spread").isNull(), 0).otherwise(F.col("_range")))

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from html import unescape
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from carryover.functions.text import basename
+from carryover.functions.text import basename, decoded_references
 from carryover.operators.counting import beside
 from carryover.operators.skew import lookup
 
@@ -69,13 +66,6 @@ def static_html(html: Column) -> Column:
     return F.regexp_replace(no_comments, f"(?is)({opening}).*?(</script\\s*>|\\z)", "$1$2")
 
 
-@F.pandas_udf(StringType())
-def with_other_entities(values: pd.Series) -> pd.Series:
-    """For values that hold character references besides an ampersand's; NULL stays NULL."""
-    held = values.dropna()
-    return held.map(unescape).reindex(values.index)
-
-
 def reference_name(raw: Column) -> Column:
     """The file a reference names: its address without fragment and parameters, form-decoded."""
     return F.try_url_decode(F.regexp_extract(raw, "^[^#&]*", 0))
@@ -96,12 +86,10 @@ def html_asset_refs(pages: DataFrame, pk: str, html: str, token: str) -> DataFra
     value = F.coalesce(*[F.nullif(F.regexp_extract(one, f"^(?:{pattern})$", g), F.lit("")) for g in range(1, 6)])
     found = pages.select(pk, F.explode(F.array_distinct(hits)).alias("_hit")).select(pk, value.alias("_raw"))
     raw = F.col("_raw")
-    # an ampersand, bare or as its own entity, ends the name; only other entities need a look-up outside the JVM
+    # an ampersand, bare or as its own entity, ends the name; other references are decoded once per distinct value
     other = F.regexp_like(raw, F.lit("&(?!amp;)[#a-zA-Z]"))
     plain = F.replace(raw, F.lit("&amp;"), F.lit("&"))
-    # (marked nondeterministic so that the filter below does not evaluate it a second time)
-    looked_up = with_other_entities.asNondeterministic()(F.when(other, raw))
-    named = found.where(raw.isNotNull()).distinct().select(pk, F.coalesce(looked_up, plain).alias("_value"))
+    named = found.where(raw.isNotNull()).distinct().select(pk, F.when(other, decoded_references(raw)).otherwise(plain).alias("_value"))
     decoded = named.select(pk, F.coalesce(reference_name(F.col("_value")), F.regexp_extract("_value", "^[^#&]*", 0)).alias("ref"))
     return decoded.where(F.col("ref") != "").distinct()
 

@@ -46,3 +46,33 @@ def test_exact_spans(spark):
     df = spark.createDataFrame([("a â\u0080\u0093 b",), ("x â\u0089¤ y é",), ("â\u0080\u0093 and â\u0085",), ("plain",), (None,)], "v string")
     got = [r[0] for r in df.select(C.exact_span_repair(F.col("v"))).collect()]
     assert got == ["a – b", "x ≤ y é", "â\u0080\u0093 and â\u0085", "plain", None]
+
+
+def test_character_references(spark):
+    """Every name and every kind of number, whole, cut off and run together, as the standard library reads them."""
+    import random
+    from html import unescape
+    from html.entities import html5
+
+    from carryover.functions.text import decoded_references
+
+    draw = random.Random(3)
+    texts = ["", "&", "&&", "a&b", "&;", "&#;", "&#x;", "&#xZ;", "&#0;", "&#13;", "&#x80;&#129;&#159", "&#xD800;&#x110000;&#99999999999999999999;", "&#65 &#x41x", "&notit; &notin; &amp;amp;",
+             "&eacute", "&eacuteX;", "&Eacute;&amp", "&#11;&#1;&#127;&#xfdd0;&#xffff;&#x1fffe;&#128512;", "&\u00e9;", "x" * 40 + "&" + "a" * 40 + ";", "&#00065;&#x000041;", "&gt&lt;&quot&#39;"]
+    texts += [f"&{n}" for n in html5] + [f"<&{n}z>" for n in html5 if not n.endswith(";")]
+    texts += [f"&#{n};" for n in range(0, 300)] + [f"&#x{n:X}" for n in (0x7FF, 0x800, 0xFFFD, 0xFFFE, 0x10000, 0x10FFFF)]
+    texts += ["".join(draw.choice(["&", "#", "x", "6", "5", ";", "amp", "not", "in", " ", "lt", "é"]) for _ in range(draw.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", decoded_references(F.col("t")).alias("d")).collect()}
+    bad = [(t, got[i], unescape(t)) for i, t in enumerate(texts) if got[i] != unescape(t)]
+    assert not bad, bad[:10]
+    assert got[-1] is None
+
+
+def test_no_python_in_the_plan(spark):
+    from carryover.operators.reconcile import html_asset_refs
+
+    pages = spark.createDataFrame([(1, '<img src="${t}a&eacute;.png">')], "i int, h string")
+    refs = html_asset_refs(pages, "i", "h", "${t}")
+    assert [r.ref for r in refs.collect()] == ["aé.png"]
+    assert "Python" not in refs._jdf.queryExecution().executedPlan().toString()
