@@ -16,8 +16,8 @@ model may be as large as the corpus asks for.
    second copy of the n-grams, and a frequent word is at most one entry per chunk.
 3. With the answers of all orders a chunk scores its own texts.
 
-Counts are those of the learning texts; the hash of an n-gram has 48 bits (64 for single
-words), so two n-grams share an entry once in about 10^14 pairs.
+Counts are those of the learning texts; the hash of an n-gram has 64 bits: among 10^9 different
+n-grams about one pair in all is expected to share an entry.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from carryover.llm import grams
 from carryover.llm.batches import release, small_batches
-from carryover.llm.exchange import groups, pack_columns, pack_keys, pack_places, range_edges, rows, unpack_columns, unpack_keys, unpack_places
+from carryover.llm.exchange import groups, range_edges, rows
 from carryover.session import materialise
 
 CHUNK_TOKENS = 1_000_000
@@ -46,8 +46,50 @@ _STATE, _STAT = 0, 99  # other kinds are the order of an n-gram
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _bits(order: int) -> int:
-    return 64 if order == 1 else 48
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that upper bytes that hardly change take hardly any room."""
+    raw = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.int64(len(raw)).tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def _expanded(blob: bytes, kind: type) -> np.ndarray:
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    raw = np.frombuffer(_CODEC.decompress(memoryview(blob)[8:], size), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as their gaps."""
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_expanded(blob, np.uint64), dtype=np.uint64)
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Arrays of one length, each in the narrowest width that holds its largest number."""
+    out = [np.uint32(len(columns[0])).tobytes()]
+    for c in columns:
+        most = int(c.max()) if len(c) else 0
+        width = next(i for i, t in enumerate(_WIDTHS) if most <= np.iinfo(t).max)
+        out += [bytes([width]), c.astype(_WIDTHS[width]).tobytes()]
+    raw = b"".join(out)
+    return np.int64(len(raw)).tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
+    blob = _CODEC.decompress(memoryview(blob)[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
+    count, at, out = int(np.frombuffer(blob, np.uint32, 1)[0]), 4, []
+    while at < len(blob):
+        kind = np.dtype(_WIDTHS[blob[at]])
+        out.append(np.frombuffer(blob, kind, count, at + 1).astype(np.int64))
+        at += 1 + count * kind.itemsize
+    return out
 
 
 def _chunks(chunk_tokens: int):
@@ -67,7 +109,7 @@ def _chunks(chunk_tokens: int):
             vocabulary, place = vocabulary[order], rank[place]
             numbers = pack_columns([lengths, train.astype(np.int64), np.array([i is not None for i in ids], np.int64)])
             ids = np.array([i or 0 for i in ids], np.int64)
-            tokens = pack_places(place)
+            tokens = _squeezed(place.astype(np.uint32))
             sizes = np.array([len(vocabulary), len(ids), len(tokens)], np.int64)
             row = (0, task * 1_000_000 + serial, _STATE, sizes.tobytes() + vocabulary.tobytes() + ids.tobytes() + tokens, numbers)
             serial, held, size = serial + 1, [], 0
@@ -102,9 +144,10 @@ class _Chunk:
         words, docs, packed = np.frombuffer(row["keys"], np.int64, 3)
         self.vocabulary = np.frombuffer(row["keys"], np.uint64, words, 24)
         self.ids = np.frombuffer(row["keys"], np.int64, docs, 24 + 8 * words)
-        place = unpack_places(row["keys"][24 + 8 * (words + docs):])
+        place = _expanded(row["keys"][24 + 8 * (words + docs):], np.uint32)
         self.lengths, train, self.has_id = unpack_columns(row["numbers"])
         self.train = train.astype(bool)
+        self.place = place
         self.words = self.vocabulary[place]
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.start = np.cumsum(self.lengths) - self.lengths
@@ -121,17 +164,23 @@ class _Chunk:
             out = grams.mix(before * _SCALE + self.words)
             with np.errstate(over="ignore"):
                 bos = grams.mix(np.array([bos]) * _SCALE + BOS)[0]
-        return out if order == 1 else out >> np.uint64(16)
+        return out
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.ends(order), return_inverse=True)
+        if order > 1:
+            return np.unique(self.ends(order), return_inverse=True)
+        # the places stand for words already: only the vocabulary is put in order
+        sorted_ = np.argsort(self.vocabulary)
+        rank = np.empty_like(sorted_)
+        rank[sorted_] = np.arange(len(sorted_))
+        return self.vocabulary[sorted_], rank[self.place]
 
 
 def _asks(chunk: int, order: int, keys: np.ndarray, columns: list[np.ndarray], ranges: int) -> Iterator[tuple]:
-    edges = range_edges(keys, _bits(order), ranges)
+    edges = range_edges(keys, 64, ranges)
     for r in np.flatnonzero(edges[1:] > edges[:-1]):
         part = slice(edges[r], edges[r + 1])
-        yield int(r), chunk, order, pack_keys(keys[part], _bits(order)), pack_columns([c[part] for c in columns])
+        yield int(r), chunk, order, pack_keys(keys[part]), pack_columns([c[part] for c in columns])
 
 
 def _answers(found: list[dict], order: int) -> list[np.ndarray]:
@@ -185,7 +234,7 @@ def _merge(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (deal,), found in groups(batches, ["deal"]):
             found.sort(key=lambda r: r["chunk"])
-            keys = [unpack_keys(r["keys"], _bits(order)) for r in found]
+            keys = [unpack_keys(r["keys"]) for r in found]
             shard, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             sent = [np.concatenate(c) for c in zip(*[unpack_columns(r["numbers"]) for r in found])]
             totals = [np.bincount(place, weights=c, minlength=len(shard)).astype(np.int64) for c in sent]  # exact below 2^53
@@ -198,7 +247,7 @@ def _merge(order: int):
                     numbers = [2 * totals[0][mine] + own[at:at + len(k)], *[t[mine] for t in totals[1:]]]
                 else:
                     numbers = [t[mine] for t in totals]
-                out.append((deal, r["chunk"], order, b"", pack_columns(numbers, 6)))
+                out.append((deal, r["chunk"], order, b"", pack_columns(numbers)))
                 at += len(k)
             adjusted = totals[0]
             stat = [*[np.array([(adjusted == k).sum()]) for k in (1, 2, 3, 4)], np.array([adjusted.sum()]), np.array([(adjusted > 0).sum()])]
