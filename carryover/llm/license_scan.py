@@ -5,17 +5,20 @@ of a text are its lines, the whole text, and, where a unit is longer than a temp
 may match, every window of the template's length. A unit of s bigrams can reach the
 ``threshold`` t only with templates of t / (2 - t) * s to (2 - t) / t * s bigrams, which prunes the
 templates, and only if that same share of its bigrams belongs to some template, which
-prunes nearly all units before any set is built. Of matches that share words only the
-closest stays: a notice of one licence resembles those of its relatives.
+prunes nearly all units before any set is built. Neighbouring windows differ by the bigram that
+enters and the one that leaves, so the sizes of their sets and of what these share with a
+template are running sums: the work is linear in the text. Of matches that share words only
+the closest stays: a notice of one licence resembles those of its relatives.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carryover.llm import grams
@@ -53,8 +56,20 @@ TEMPLATES: dict[str, list[str]] = {
         Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be
         useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
         License for more details."""],
-    "LGPL": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL": ["This work is licensed under the GNU Lesser General Public License, version 3.", """
+        This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the
+        Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+        General Public License for more details.""", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the
+        Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+        be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+        General Public License for more details."""],
+    "AGPL": ["This work is licensed under the GNU Affero General Public License, version 3.", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the
+        Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+        be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero
+        General Public License for more details."""],
     "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0.", """
         This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
         obtain one at https://mozilla.org/MPL/2.0/."""],
@@ -73,47 +88,91 @@ def bigram_sets(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(found[text == i]) for i in range(len(texts))]
 
 
+def _neighbours(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the previous, of the next) equal code; -1 and a place behind everything where there is none."""
+    order = np.argsort(code, kind="stable")
+    same = code[order[1:]] == code[order[:-1]]
+    before, after = np.full(len(code), -1), np.full(len(code), 1 << 62)
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, list[str]], threshold: float):
         names = [(name, text) for name, texts in templates.items() for text in texts]
         sets = bigram_sets([t for _, t in names])
-        order = sorted(range(len(names)), key=lambda i: len(sets[i]))
-        self.names, self.sets = [names[i][0] for i in order], [sets[i] for i in order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.union = np.unique(np.concatenate(self.sets))
+        order = sorted((i for i in range(len(names)) if len(sets[i])), key=lambda i: len(sets[i]))
+        self.names, sets = [names[i][0] for i in order], [sets[i] for i in order]
+        self.sizes = np.array([len(s) for s in sets])
+        self.union = np.unique(np.concatenate(sets))
+        # [template, bigram of the union]; the last column stands for bigrams of no template
+        self.holds = np.zeros((len(sets), len(self.union) + 1), bool)
+        for i, s in enumerate(sets):
+            self.holds[i, np.searchsorted(self.union, s)] = True
         self.threshold, self.part = threshold, threshold / (2 - threshold)
 
-    def best(self, unit: np.ndarray) -> dict[str, float]:
-        """Licences whose Dice coefficient with the bigrams of a unit reaches the threshold."""
-        unit, out = np.unique(unit), {}
-        low, high = np.searchsorted(self.sizes, [self.part * len(unit) - 1e-9, len(unit) / self.part + 1e-9])
-        for i in range(low, min(high, len(self.sizes) - 1) + 1):
-            dice = 2 * len(np.intersect1d(unit, self.sets[i], True)) / (len(unit) + self.sizes[i])
-            if dice >= self.threshold:
-                out[self.names[i]] = max(dice, out.get(self.names[i], 0))
-        return out
-
-    def _units(self, found: np.ndarray, edges: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(unit, place in it, bigrams) of the units and windows of long units that can match a template at all."""
-        hits = np.concatenate(([0], np.cumsum(known)))
+    def _whole(self, spot: np.ndarray, code: np.ndarray, edges: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(dice, first bigram, bigrams, template) of units that match as they stand."""
+        size = edges[units + 1] - edges[units]
+        at = np.repeat(edges[units] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        owner = np.repeat(np.arange(len(units)), size)
+        _, first = np.unique(owner * (int(code.max(initial=0)) + 1) + code[at], return_index=True)  # each bigram of a unit once
+        owner, spot = owner[first], spot[at[first]]
+        distinct = np.bincount(owner, minlength=len(units))
+        for t in range(len(self.sizes)):
+            dice = 2 * np.bincount(owner[self.holds[t, spot]], minlength=len(units)) / (distinct + self.sizes[t])
+            hit = np.flatnonzero(dice >= self.threshold)
+            yield dice[hit], edges[units[hit]], size[hit], np.full(len(hit), t)
+
+    def _windows(self, spot: np.ndarray, code: np.ndarray, edges: np.ndarray, hits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same of windows of long units that can match a template at all."""
         size, hit = np.diff(edges), hits[edges[1:]] - hits[edges[:-1]]
-        for u in np.flatnonzero((hit >= self.part * size - 1e-9) & (size > 0)):
-            yield u, 0, found[edges[u]:edges[u + 1]]
-        for m in np.unique(self.sizes):
-            for u in np.flatnonzero((size > m) & (hit >= self.part * m - 1e-9)):
-                begin = np.arange(edges[u], edges[u + 1] - m + 1)
-                inside = hits[begin + m] - hits[begin]
-                for b in begin[inside >= self.part * m - 1e-9]:
-                    yield u, b - edges[u], found[b:b + m]
+        for m in np.unique(self.sizes).tolist():
+            units = np.flatnonzero((size > m) & (hit >= self.part * m - 1e-9))
+            if not len(units):
+                continue
+            many = size[units] - m + 1
+            begin = np.repeat(edges[units] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            owner = np.repeat(units, many)
+            likely = hits[begin + m] - hits[begin] >= self.part * m - 1e-9
+            begin, owner = begin[likely], owner[likely]
+            # windows of a unit that lie near each other are measured together, with those between them
+            cuts = np.flatnonzero((np.diff(begin) > 4 * m + 200) | (np.diff(owner) > 0)) + 1
+            for run in np.split(begin, cuts):
+                if len(run):
+                    yield from self._run(spot, code, int(run[0]), int(run[-1] - run[0]) + 1, m)
+
+    def _run(self, spot: np.ndarray, code: np.ndarray, start: int, windows: int, m: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Windows of ``m`` bigrams that begin at ``start`` and at the places after it."""
+        part, spot = code[start:start + windows + m - 1], spot[start:start + windows + m - 1]
+        before, after = _neighbours(part)
+        place = np.arange(windows)
+        # a window counts a bigram at its first place in it: what leaves was the last of its kind, what enters is the first
+        leaves, enters = after[:windows - 1] >= place[:-1] + m, before[m:] < place[1:]
+        first = before[:m] < 0
+
+        def counted(flags: np.ndarray) -> np.ndarray:
+            step = (enters & flags[m:]).astype(np.int64) - (leaves & flags[:windows - 1])
+            return int((first & flags[:m]).sum()) + np.concatenate(([0], np.cumsum(step)))
+
+        distinct = counted(np.ones(len(part), bool))
+        low, high = np.searchsorted(self.sizes, [self.part * distinct.min() - 1e-9, distinct.max() / self.part + 1e-9])
+        for t in range(low, high):
+            dice = 2 * counted(self.holds[t, spot]) / (distinct + self.sizes[t])
+            hit = np.flatnonzero(dice >= self.threshold)
+            if len(hit):
+                yield dice[hit], start + hit, np.full(len(hit), m), np.full(len(hit), t)
 
     @staticmethod
     def closest(matches: list[tuple[float, int, int, str]]) -> dict[str, float]:
         """Best coefficient per licence of the matches (dice, begin, end, name) that overlap no closer one."""
         out: dict[str, float] = {}
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # disjoint, in order
         for dice, begin, end, name in sorted(matches, key=lambda m: (-round(m[0], 9), m[1] - m[2], m[1], m[3])):
-            if all(end <= b or e <= begin for b, e in taken):
-                taken.append((begin, end))
+            at = bisect_right(taken, (begin, end))
+            if (at == 0 or taken[at - 1][1] <= begin) and (at == len(taken) or end <= taken[at][0]):
+                insort(taken, (begin, end))
                 out[name] = max(dice, out.get(name, 0))
         return out
 
@@ -128,10 +187,19 @@ class Scanner:
             found, unit = grams.ngrams(words, first_word, 2, whole_when_short=True)
             edges = np.searchsorted(unit, np.arange(len(first_word)))
             spot = np.minimum(np.searchsorted(self.union, found), len(self.union) - 1)
-            for u, place, bigrams in self._units(found, edges, self.union[spot] == found):
-                begin = int(first_word[u] + place)
-                for name, dice in self.best(bigrams).items():
-                    matches.setdefault(int(owners[u]), []).append((float(dice), begin, begin + len(bigrams) + 1, name))
+            known = self.union[spot] == found
+            spot = np.where(known, spot, len(self.union))
+            hits = np.concatenate(([0], np.cumsum(known)))
+            size, hit = np.diff(edges), hits[edges[1:]] - hits[edges[:-1]]
+            units = np.flatnonzero((hit >= self.part * size - 1e-9) & (size > 0))
+            if not len(units) and not (hit >= self.part * self.sizes[0] - 1e-9).any():
+                continue
+            code = np.unique(found, return_inverse=True)[1]
+            for dice, begin, long, template in (*self._whole(spot, code, edges, units), *self._windows(spot, code, edges, hits)):
+                of = np.searchsorted(edges, begin, "right") - 1
+                for d, b, n, t, u in zip(dice.tolist(), begin.tolist(), long.tolist(), template.tolist(), of.tolist()):
+                    word = int(first_word[u]) + b - int(edges[u])
+                    matches.setdefault(int(owners[u]), []).append((d, word, word + n + 1, self.names[t]))
         return [self.closest(matches.get(i, [])) for i in range(texts)]
 
 
@@ -151,15 +219,25 @@ def _scan(templates: Mapping[str, list[str]], threshold: float):
     return run
 
 
+def license_texts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """More templates: one text file per licence below ``path``, a folder the driver can read, named as the licence is."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.(?:txt|md))?$", 1).alias("name"), "value")
+    out: dict[str, list[str]] = {}
+    for r in sorted(files.collect()):  # as many rows as there are licences
+        out.setdefault(r.name, []).append(r.value)
+    return out
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: Mapping[str, list[str]] = TEMPLATES,
                  threshold: float = 0.8) -> DataFrame:
     """(doc_id, licenses, n_licenses, best_license, best_dice) for every row of ``docs``.
 
-    ``licenses`` are the comma-joined names, sorted, of all licences found; the best is the one with
+    ``templates`` are wordings by name; the given ones hold notices and short texts, and :func:`license_texts`
+    reads longer ones. ``licenses`` are the comma-joined names, sorted, of all licences found; the best is the one with
     the largest coefficient, of equal ones the last by name.
 
     * Null and empty texts and texts without words hold no licence (best null, coefficient 0).
-    * Texts are scanned whole. Every row gives a row; null and repeated ids are passed on.
+    * Texts are scanned whole, in time that grows with their length. Every row gives a row; null and repeated ids are passed on.
     * An empty table gives an empty result. Other columns are not looked at.
     """
     return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -57,6 +57,39 @@ def test_against_brute_force(threshold):
         assert {k: round(v, 9) for k, v in found.items()} == {k: round(v, 9) for k, v in brute(text, S.TEMPLATES, threshold).items()}, text
 
 
+def test_long_licence_texts_take_linear_time():
+    """A file of a megabyte that is nothing but licences, and one line over and over."""
+    import time
+
+    scanner = S.Scanner(S.TEMPLATES, 0.8)
+    five = "\n\n".join(S.TEMPLATES[n][-1] for n in ("MIT", "ISC", "BSD", "Apache-2.0", "AGPL"))
+    for text, names in ((five * 320, {"MIT", "ISC", "BSD", "Apache-2.0", "AGPL"}), ("Released under the MIT License.\n" * 32000, {"MIT"})):
+        assert len(text) > 1_000_000
+        started = time.process_time()
+        assert set(scanner.scan(pa.array([text]))[0]) == names
+        assert time.process_time() - started < 20
+
+
+def test_relatives_are_told_apart():
+    scanner = S.Scanner(S.TEMPLATES, 0.8)
+    for name in ("GPL", "LGPL", "AGPL"):
+        for notice in S.TEMPLATES[name]:
+            assert scanner.scan(pa.array([f"Copyright 2020 somebody.\n{' '.join(notice.split())}\nsome code here"]))[0].keys() == {name}
+
+
+def test_templates_from_files(spark, tmp_path):
+    draw = random.Random(1)
+    long = " ".join(draw.choice(["grant", "of", "patent", "the", "work", "you", "may", "not", f"clause{draw.randint(1, 300)}"]) for _ in range(3000))
+    (tmp_path / "Long-1.0.txt").write_text(long)
+    (tmp_path / "Short").write_text("do what you like with it")
+    own = S.license_texts(spark, str(tmp_path))
+    assert set(own) == {"Long-1.0", "Short"}
+    texts = ["preface of many words " * 20 + long.replace("patent", "Patent!", 1) + " tail" * 50, "you may do what you like with it", "Released under the MIT License.", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.licenses for r in S.license_scan(docs, templates={**S.TEMPLATES, **own}).collect()}
+    assert got == {0: "Long-1.0", 1: "Short", 2: "MIT", 3: ""}
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in S.license_scan(docs).collect()}
