@@ -1,13 +1,18 @@
 """Main text of web pages: site templates go by counted subtrees, page furniture by its markup.
 
-1. Every element subtree outside article and main is hashed (tag, class, text, children). Rows of
-   a host whose text is the same count as one page; Spark counts on how many pages of a host
-   each hash occurs, combining before the shuffle.
+1. Every element subtree outside article and main is hashed (tag, class, text, children), and inside
+   them every box, an element like div or section that has a class or an id, together with its path
+   of tags from the article. Rows of a host whose text is the same count as one page; Spark
+   counts on how many pages of a host each hash occurs, combining before the shuffle.
 2. A subtree that occurs on at least ``min_pages`` pages and ``share`` of the pages of its host is a
    template of the site; templates are few per host by that share, and join the pages by host.
 3. Each page is read again: navigation, headers, footers, sidebars, notices, adverts, forms,
-   scripts and reader comments go, and what is left of the article or main is written block by
-   block. Templates are deleted only from pages without either: what an article repeats is its text.
+   scripts, reader comments and the site's templates go, and what is left of the outermost articles
+   and mains is written block by block in page order, or of the page where it has neither.
+
+Headings, paragraphs and lists that articles repeat are their text and stay, however many pages share
+them. Inside an article a class only marks furniture on a box, and by a whole word; the class of
+an outermost article matters only where another article has text.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +47,11 @@ FURNITURE = frozenset("""ad ads adv advert adverts advertisement advertisements
     cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup sidebar sidebars widget widgets related
     recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond reply replies nav navbar
     navigation menu menus footer masthead toolbar login search skiplink""".split())
+# inside an article: words that no box of its text is named by
+INNER = frozenset("""ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos cookie cookies newsletter subscribe
+    subscription sidebar related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager comment comments commentlist disqus
+    respond navbar""".split())
+BOXES = frozenset("div section aside ul ol dl table figure details fieldset article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
@@ -48,19 +59,31 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "items", "hash", "core")
+    __slots__ = ("tag", "attributes", "parent", "items", "hash", "core", "inside", "key")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.items: list[Node | str] = []
         self.hash = b""
         self.core = False  # holds an article or main element
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.key: int | None = None  # what it is counted by, if it may be a template
 
 
 def parse(source: str) -> list[Node]:
     """The elements of a page, parents first. Never fails: what is no markup is text."""
     root = Node("#page", "", None)
     nodes, here, at = [root], root, 0
+    opened: Counter[str] = Counter()  # open elements by tag: what is not open needs no search
+
+    def close(up: Node) -> Node:
+        node = here
+        while True:
+            opened[node.tag] -= 1
+            if node is up:
+                return up.parent
+            node = node.parent
+
     while True:
         sign = source.find("<", at)
         if sign < 0:
@@ -85,19 +108,19 @@ def parse(source: str) -> list[Node]:
             continue
         at, tag = found.end(), found[2].lower()
         if found[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[tag] > 0:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = close(up)
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"] > 0:
             up = here
             while up is not root and up.tag != "p" and up.tag not in FENCES_P:
                 up = up.parent
             if up.tag == "p":
-                here = up.parent
-        if tag in CLOSES:
+                here = close(up)
+        if tag in CLOSES and any(opened[k] > 0 for k in CLOSES[tag][0]):
             kinds, fences = CLOSES[tag]
             up, hit = here, None
             while up is not root and up.tag not in fences:
@@ -105,7 +128,7 @@ def parse(source: str) -> list[Node]:
                     hit = up
                 up = up.parent
             if hit is not None:
-                here = hit.parent
+                here = close(hit)
         node = Node(tag, found[3], here)
         here.items.append(node)
         nodes.append(node)
@@ -115,6 +138,7 @@ def parse(source: str) -> list[Node]:
             at = end.end() if end else len(source)
         elif tag not in VOID and not found[3].rstrip().endswith("/"):
             here = node
+            opened[tag] += 1
     return nodes
 
 
@@ -127,7 +151,7 @@ def attributes(node: Node) -> dict[str, str]:
 
 
 def subtrees(nodes: list[Node]) -> None:
-    """Hash every element after its children; mark what holds an article."""
+    """Hash every element after its children, mark what holds an article, and key what may be a template."""
     for node in reversed(nodes):
         text = hashlib.blake2b(digest_size=8)
         text.update(f"<{node.tag} {attributes(node).get('class', '') if node.attributes else ''}>".encode("utf-8", "replace"))
@@ -139,29 +163,30 @@ def subtrees(nodes: list[Node]) -> None:
                 text.update(squeezed(item).encode("utf-8", "replace"))
         node.hash = text.digest()
         node.core |= node.tag in ("article", "main")
+    path: dict[int, bytes] = {}  # from the outermost article or main
+    for node in nodes[1:]:
+        if node.inside:
+            above = path[id(node)] = hashlib.blake2b(path.get(id(node.parent), b"") + node.tag.encode("utf-8", "replace"), digest_size=8).digest()
+            if node.items and node.tag in BOXES and not node.core and node.attributes and {"class", "id"} & attributes(node).keys():
+                node.key = int.from_bytes(hashlib.blake2b(node.hash + above, digest_size=8).digest(), "little", signed=True)
+        elif node.items and node.tag not in ("html", "head", "body", "title", "script", "style", "article", "main"):
+            node.key = int.from_bytes(node.hash, "little", signed=True)
 
 
 def template_hashes(nodes: list[Node]) -> set[int]:
-    """Hashes of the subtrees that may be a site's template: elements with text, below the page's frame and outside article and main."""
-    inside: set[int] = set()
-    out: set[int] = set()
-    for n in nodes[1:]:
-        if id(n.parent) in inside or n.tag in ("article", "main"):
-            inside.add(id(n))
-        elif n.items and n.tag not in ("html", "head", "body", "title", "script", "style"):
-            out.add(int.from_bytes(n.hash, "little", signed=True))
-    return out
+    """Keys of the subtrees that may be a site's template."""
+    return {n.key for n in nodes if n.key is not None}
+
+
+def _words(named: dict[str, str]) -> set[str]:
+    return {w.lower() for w in _NAME.findall(f"{named.get('class', '')} {named.get('id', '')}")}
 
 
 def _furniture(node: Node) -> bool:
     if node.tag in DROPPED:
         return True
-    if node.tag == "header":  # an article's own headline stays
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    if node.tag == "header" and not node.inside:  # an article's own headline stays
+        return True
     if not node.attributes or node.tag in ("html", "body", "main"):
         return False
     named = attributes(node)
@@ -169,10 +194,12 @@ def _furniture(node: Node) -> bool:
         return not node.core
     if named.get("role", "").lower() in ROLES:
         return not node.core
-    if node.core and node.tag != "article":
-        return False
-    words = {w.lower() for w in _NAME.findall(f"{named.get('class', '')} {named.get('id', '')}")}
-    return bool(words & FURNITURE)
+    if node.inside:
+        if node.tag not in BOXES or (node.core and node.tag != "article"):
+            return False
+        tokens = f"{named.get('class', '')} {named.get('id', '')}".lower().split()
+        return any(t in INNER or re.split("[-_]", t, maxsplit=1)[0] in INNER for t in tokens)
+    return not node.core and bool(_words(named) & FURNITURE)
 
 
 def _text(start: Node, templates: set[int]) -> list[str]:
@@ -194,7 +221,7 @@ def _text(start: Node, templates: set[int]) -> list[str]:
             item = node.items[i]
             if isinstance(item, str):
                 line.append(item)
-            elif item.hash and int.from_bytes(item.hash, "little", signed=True) in templates or _furniture(item):
+            elif item.key in templates or _furniture(item):
                 line.append(" ")
             else:
                 if item.tag in ("td", "th", "option"):
@@ -209,16 +236,17 @@ def _text(start: Node, templates: set[int]) -> list[str]:
 
 
 def main_text(nodes: list[Node], templates: set[int]) -> str:
-    """Blocks of the article, or of main, or of the page without ``templates``, joined by line ends."""
+    """Blocks of the outermost articles and mains in page order, or of the page, without ``templates``, joined by line ends."""
     dropped: set[int] = set()
     for node in nodes[1:]:
         if id(node.parent) in dropped or _furniture(node):
             dropped.add(id(node))
-    for wanted in ("article", "main"):
-        found = [_text(n, set()) for n in nodes[1:] if n.tag == wanted and id(n) not in dropped]
-        found = [blocks for blocks in found if blocks]
-        if found:
-            return "\n".join(max(found, key=lambda blocks: sum(map(len, blocks))))
+    cores = [n for n in nodes[1:] if n.tag in ("article", "main") and not n.inside and id(n) not in dropped]
+    plain = [n for n in cores if n.tag == "main" or not n.attributes or not _words(attributes(n)) & FURNITURE]
+    for chosen in (plain, cores):
+        blocks = [block for n in chosen for block in _text(n, templates)]
+        if blocks:
+            return "\n".join(blocks)
     return "\n".join(_text(nodes[0], templates))
 
 
@@ -273,6 +301,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     * A null or empty html, and a page with nothing but furniture, give the empty text.
     * A null or relative url has no host; such pages lose no templates.
+    * A host with fewer than ``min_pages`` different pages has no templates: nothing tells its furniture from its text
+      but the markup. Pages are read whole; a task needs memory for a small multiple of its longest page.
     * Markup is read as browsers do where it is broken: unclosed and stray tags, bare signs and
       cut-off pages give the text that is there. Every row gives a row; rows that
       repeat a text count as one page.

@@ -25,6 +25,11 @@ def text(source, templates=()):
     ("<p>a</b></div>b</p>c", "ab\nc"), ("<p>cut <a hre", "cut"), ("<p title='a>b'>x</p>", "x"), ("<!-- open", ""), ("<script>open", ""),
     ("<div hidden>x</div><p style='display: none'>y</p><p>z", "z"), ("<article class=comment>no</article><article><p>yes</article>", "yes"),
     ("<p><b>bold<br><p>next</p>", "bold\nnext"),
+    ("<article class=promotion><p>all there is</p></article>", "all there is"),
+    ("<article><p class='notice-period'>a</p><section id=login><p>b</p></section><div class='share-buttons'>no</div><div class='comments-area'>no</div></article>", "a\nb"),
+    ("<main><h1>Title</h1><article>part one</article><article>longer part</article></main>", "Title\npart one\nlonger part"),
+    ("<article><p>one</p></article><div>between</div><article><p>two</p></article><article class='related'><p>no</p></article>", "one\ntwo"),
+    ("<article><p>x</p><article class=comment><p>me</p></article></article>", "x"), ("</b></p></div><p>a</i>b</p></article>", "ab"),
 ])
 def test_small_pages(source, want):
     assert text(source) == want
@@ -61,6 +66,26 @@ def test_long_and_deep_pages():
     assert len(text("<p>" + "word " * 200000)) == 5 * 200000 - 1
 
 
+def test_stray_tags_take_linear_time():
+    import time
+
+    started = time.process_time()
+    assert text("<div><b>" * 3000 + "</i></p></td>" * 60000 + "x") == "x"
+    assert text("<b>" * 20000 + "<div>y</div>" * 20000) == "\n".join(["y"] * 20000)
+    assert time.process_time() - started < 15
+
+
+def test_boxes_of_a_site_go_from_its_articles(spark):
+    """An unknown box at the same place of many pages goes; shared paragraphs and a box at another place stay."""
+    box = "<div class='x7'>Get our letter <a href='/l'>here</a></div>"
+    rows = [(i, f"https://a.example/{i}", f"<article><h1>News</h1><p>text {i}</p><p>Shared passage</p>{box}</article>") for i in range(20)]
+    rows += [(100, "https://a.example/q", f"<article><section><p>about the box:</p>{box}</section></article>")]
+    rows += [(200 + i, f"https://b.example/{i}", f"<article><p>text {i}</p>{box}</article>") for i in range(5)]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got[7] == "News\ntext 7\nShared passage"
+    assert got[100] == "about the box:\nGet our letter here" and got[203] == "text 3\nGet our letter here"
+
+
 def test_what_articles_repeat_stays(spark):
     around = "<div>Site line</div>"
     rows = [(i, f"https://a.example/{i}", f"<body>{around}<article><h1>News</h1><p>text {i}</p><p>Shared passage</p></article></body>") for i in range(30)]
