@@ -3,8 +3,10 @@
 A text becomes a vector of byte trigrams (lower-cased, every run of other ASCII signs one
 space), weighted by TF-IDF and scaled to length one. Document frequencies are counted over
 every learning row. Each language is clustered into a few centroids (spherical k-means
-inside Spark, one task per language) on at most about ``sample`` of its rows, a bound that
-is a parameter. A text takes the language of the centroid with the largest cosine and is
+inside Spark, one task per language) on at most ``sample`` of its different texts, a bound that
+is a parameter. Clusters start from rows drawn by their distance (k-means++); one that keeps fewer
+than a twentieth of the rows is started anew inside the largest, and goes if that does not help, so
+that no centroid stands for oddities. A text takes the language of the centroid with the largest cosine and is
 rejected when it lies farther away than anything the language was learned from.
 """
 
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,43 +110,87 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vectors(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(1)
             for start, counts in counted(*binary_parts(batch.column(0))):
                 vectors = _scaled(counts, idf)
                 at = [np.flatnonzero(v) for v in vectors]
                 yield pa.RecordBatch.from_arrays(
-                    [langs.slice(start, len(at)), pa.array([a.astype(np.int32).tobytes() for a in at]),
-                     pa.array([v[a].astype(np.float32).tobytes() for v, a in zip(vectors, at)])], names=["lang", "slots", "weights"])
+                    [batch.column(1).slice(start, len(at)), batch.column(2).slice(start, len(at)), pa.array([a.astype(np.int32).tobytes() for a in at]),
+                     pa.array([v[a].astype(np.float32).tobytes() for v, a in zip(vectors, at)])], names=["lang", "h", "slots", "weights"])
 
     return run
 
 
+LEAST_SHARE = 0.05  # of a language's rows that a centroid stands for
+
+
+def _moved(x: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, rows of each) after rounds of spherical k-means; centres without rows go."""
+    for _ in range(rounds):
+        near = np.argmax(x @ centres.T, axis=1)
+        sums = np.array([x[near == k].sum(axis=0) for k in range(len(centres))])
+        norm = np.linalg.norm(sums, axis=1)
+        centres = sums[norm > 0] / norm[norm > 0, None]
+    return centres, np.bincount(np.argmax(x @ centres.T, axis=1), minlength=len(centres))
+
+
+def clustered(x: np.ndarray, clusters: int, rounds: int) -> np.ndarray:
+    """At most ``clusters`` centres of the rows of length one in ``x``, none for fewer than LEAST_SHARE of them."""
+    draw = np.random.default_rng(len(x))
+    centres = x[draw.integers(len(x))][None, :]
+    while len(centres) < min(clusters, len(x)):
+        far = np.maximum(1 - (x @ centres.T).max(axis=1), 0).astype(np.float64) ** 2
+        if far.sum() <= 1e-12:  # nothing but copies is left
+            break
+        centres = np.vstack((centres, x[draw.choice(len(x), p=far / far.sum())]))
+    for again in range(clusters + 1):
+        centres, size = _moved(x, centres, rounds)
+        small_ = size < LEAST_SHARE * len(x)
+        if not small_.any():
+            return centres
+        if again < clusters:  # start small ones anew inside the largest
+            largest = np.flatnonzero(np.argmax(x @ centres.T, axis=1) == size.argmax())
+            centres[small_] = x[draw.choice(largest, int(small_.sum()))]
+    while len(centres) > 1:
+        size = np.bincount(np.argmax(x @ centres.T, axis=1), minlength=len(centres))
+        if size.min() >= LEAST_SHARE * len(x):
+            break
+        centres = _moved(x, np.delete(centres, size.argmin(), axis=0), 1)[0]
+    return centres
+
+
 def _cluster(clusters: int, rounds: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h")  # the same order, and so the same draws, wherever it runs
         x = np.zeros((len(rows), DIMENSIONS), np.float32)
         for i, (slots, weights) in enumerate(zip(rows["slots"], rows["weights"])):
             x[i, np.frombuffer(slots, np.int32)] = np.frombuffer(weights, np.float32)
         x = x[x.any(axis=1)]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
-        mean = x.sum(axis=0)
-        centres = [mean / np.linalg.norm(mean)]
-        while len(centres) < min(clusters, len(x)):  # the row farthest from what is there
-            centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
-        centres = np.array(centres)
-        for _ in range(rounds):
-            near = np.argmax(x @ centres.T, axis=1)
-            for k in range(len(centres)):
-                total = x[near == k].sum(axis=0)
-                if total.any():
-                    centres[k] = total / np.linalg.norm(total)
-        floor = float((x @ centres.T).max(axis=1).min())
+            return pd.DataFrame({"lang": [], "centroid": [], "floor": [], "members": []})
+        centres = clustered(x, clusters, rounds)
+        cosine = x @ centres.T
+        members = np.bincount(cosine.argmax(axis=1), minlength=len(centres))
+        floor = float(cosine.max(axis=1).min())
         return pd.DataFrame({"lang": [key[0]] * len(centres), "centroid": [c.astype(np.float32).tobytes() for c in centres],
-                             "floor": [floor] * len(centres)})
+                             "floor": [floor] * len(centres), "members": members})
 
     return run
 
 
+def drawn_texts(learn: DataFrame, sample: int) -> DataFrame:
+    """(text, lang, h): of each language the ``sample`` different texts with the smallest hashes, each once."""
+    hashed = learn.select("text", "lang", F.xxhash64("text").alias("h"))
+    # one row per language; a sketch, with room, so that enough texts come through
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("of"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("of"))
+    place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = hashed.join(sizes, "lang").where(place < share)
+    # copies of a text are put together before they meet
+    once = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return (once.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h")))
+            .where(F.col("_n") <= sample).select("text", "lang", "h"))
+
+
 def fit(learn: DataFrame, *, sample: int = 600, clusters: int = 4, rounds: int = 8, slack: float = 0.25):
     """(languages of the centroids, centroids, cosine floors, idf) from (text, lang) with non-null lang."""
     df = np.zeros(DIMENSIONS, np.int64)
@@ -156,12 +202,8 @@ def fit(learn: DataFrame, *, sample: int = 600, clusters: int = 4, rounds: int =
         else:
             df[slot] = n
     idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))  # one row per language
-    share = F.lit(float(sample)) / F.col("of")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = learn.join(F.broadcast(sizes), "lang").where(draw < share).select("text", "lang")
-    fitted = (drawn.mapInArrow(_vectors(idf), "lang string, slots binary, weights binary").groupBy("lang")
-              .applyInPandas(_cluster(clusters, rounds), "lang string, centroid binary, floor double")).collect()
+    fitted = (drawn_texts(learn, sample).mapInArrow(_vectors(idf), "lang string, h bigint, slots binary, weights binary").groupBy("lang")
+              .applyInPandas(_cluster(clusters, rounds), "lang string, centroid binary, floor double, members bigint")).collect()
     fitted.sort(key=lambda r: (r.lang, r.centroid))
     centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in fitted]).reshape(-1, DIMENSIONS)
     return [r.lang for r in fitted], centroids, np.array([r.floor * slack for r in fitted]), idf

@@ -66,3 +66,49 @@ def test_odd_rows(spark):
     assert got == sorted([(1, "und", True), (2, "und", True), (3, "und", True), (4, "aa", False), (4, "aa", False), (None, "bb", False), (5, "aa", True), (6, "bb", False)], key=str)
     assert L.language_id(odd.limit(0), docs).collect() == []
     assert {r.lang_pred for r in L.language_id(odd, docs.limit(0)).collect()} == {"und"}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+
+
+def test_every_centroid_stands_for_many_texts(learned):
+    rows = learned.distinct().toPandas()
+    idf = np.ones(L.DIMENSIONS, np.float32)
+    for lang, texts in rows.groupby("lang")["text"]:
+        x = L._scaled(plain(list(texts)).astype(np.float32), idf)
+        centres = L.clustered(x, 4, 8)
+        size = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
+        assert len(centres) >= 2 and size.min() >= L.LEAST_SHARE * len(x), (lang, size)
+        assert np.allclose(np.linalg.norm(centres, axis=1), 1, atol=1e-4)
+    same = np.repeat(x[:1], 50, axis=0)
+    assert len(L.clustered(same, 4, 8)) == 1 and len(L.clustered(x[:1], 4, 8)) == 1
+
+
+def test_copies_count_once_in_the_sample(spark):
+    copies = spark.range(100_000).select(F.lit("the very same text " * 3).alias("text"), F.lit("aa").alias("lang"))
+    others = spark.range(700).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 690, "bb").otherwise("aa").alias("lang"))
+    drawn = L.drawn_texts(copies.unionByName(others), 300).collect()
+    assert len({(r.lang, r.text) for r in drawn}) == len(drawn)
+    assert sum(r.lang == "aa" for r in drawn) == 11 and sum(r.lang == "bb" for r in drawn) == 300
+    langs, centroids, floors, _ = L.fit(copies.unionByName(others), sample=300)
+    assert set(langs) == {"aa", "bb"} and len(centroids) == len(langs) == len(floors)
+
+
+def test_predictions_by_hand(spark, learned):
+    """Document frequencies, vectors, cosines and the floor recomputed text by text."""
+    rows = [r.text for r in learned.collect()]
+    langs, centroids, floors, idf = L.fit(learned)
+    counts = plain(rows)
+    assert np.allclose(idf, np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1, atol=1e-4)
+    vectors = np.log1p(counts) * idf
+    cosine = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ centroids.T
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in L.language_id(docs, learned).collect()}
+    for i, c in enumerate(cosine):
+        best = int(c.argmax())
+        sure = c[best] - np.max(np.where(np.array(langs) == langs[best], -1, c)) > 1e-4
+        assert not sure or got[i].lang_pred == langs[best]
+        assert got[i].score == pytest.approx(c[best], abs=1e-4)
+        assert abs(c[best] - floors[best]) < 1e-4 or got[i].rejected == (c[best] < floors[best])
