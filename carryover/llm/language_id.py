@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carryover.llm.grams import binary_parts
+from carryover.session import materialise
 
 DIMENSIONS = 1 << 14
 GROUP_BYTES = 1 << 20  # text that is turned into vectors at once
@@ -181,14 +182,14 @@ def drawn_texts(learn: DataFrame, sample: int) -> DataFrame:
     """(text, lang, h): of each language the ``sample`` different texts with the smallest hashes, each once."""
     hashed = learn.select("text", "lang", F.xxhash64("text").alias("h"))
     # one row per language; a sketch, with room, so that enough texts come through
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("of"))
+    sizes = materialise(hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("of")), "languages")
     share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("of"))
     place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = hashed.join(sizes, "lang").where(place < share)
-    # copies of a text are put together before they meet
-    once = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    return (once.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h")))
-            .where(F.col("_n") <= sample).select("text", "lang", "h"))
+    # the hashes are chosen before any text moves; copies of a text are put together before they meet
+    some = hashed.select("lang", "h").join(sizes, "lang").where(place < share).select("lang", "h").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h"))
+    chosen = materialise(some.withColumn("_n", first).where(F.col("_n") <= sample).drop("_n"), "chosen")
+    return hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang", "h")
 
 
 def fit(learn: DataFrame, *, sample: int = 600, clusters: int = 4, rounds: int = 8, slack: float = 0.25):
