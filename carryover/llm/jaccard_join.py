@@ -15,9 +15,11 @@ prefix shingles and verified exactly.
 4. Equal sets become one class. The prefix shingles of the classes are joined in two
    steps: first every class with the smallest class of its bucket, then, only across
    the components this gave, all others that pass the filters. Buckets above
-   ``BUCKET`` classes are cut into blocks that are verified block against block in
-   memory and give back only the links that join components, so a large group of near
-   copies never becomes a list of its pairs.
+   ``BUCKET`` classes are cut into bands of set size and position; two bands meet only if
+   the length and positional filters leave room for some pair of theirs. Bands are cut into
+   blocks, bounded in classes and shingles, that meet block against block in memory: the
+   filters say which pairs are verified, and only links that join components come back,
+   so a large group of near copies never becomes a list of its pairs.
 5. Links never leave a component. ``_counts`` compares every two classes of a component once,
    block against block, and adds up the links of each class, weighted by its rows.
 
@@ -45,7 +47,7 @@ CHUNK_SHINGLES = 1_000_000
 HOT = 64            # from this many documents of one chunk on, a shingle's documents stay with the chunk
 BUCKET = 64         # classes per prefix shingle that are paired directly; larger buckets go in blocks
 BLOCK_SHINGLES = 60_000  # shingles in a block of a large bucket or component
-BLOCK_CLASSES = 1000     # classes in a block of a large component
+BLOCK_CLASSES = 1000     # classes in a block of a large bucket or component
 RANGES_PER_SPLIT = 8
 PARTS = 8           # hash parts of the suffix filter
 
@@ -257,8 +259,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _linked(found: list[dict], percent: int) -> np.ndarray:
-    """Which classes of one cell (two blocks, or one with itself) are similar."""
+def _similar(found: list[dict], percent: int) -> np.ndarray:
+    """Which pairs of sets are similar, all of them counted at once."""
     sets = [np.frombuffer(r["shared"], np.int64) for r in found]
     sizes, n = np.array([len(s) for s in sets]), np.array([r["n"] for r in found])
     flat = np.concatenate(sets)
@@ -267,23 +269,47 @@ def _linked(found: list[dict], percent: int) -> np.ndarray:
     use = often[column] > 1
     _, column = np.unique(column[use], return_inverse=True)
     line = line[use]
-    common = np.zeros((len(found), len(found)), np.float32)
+    common = np.zeros((len(found), len(found)), np.int64)
     width = 1 << 13
     for start in range(0, int(column.max()) + 1 if len(column) else 0, width):  # bounded scratch space
         here = (column >= start) & (column < start + width)
         dense = np.zeros((len(found), width), np.float32)
         dense[line[here], column[here] - start] = 1
-        common += dense @ dense.T
+        common += (dense @ dense.T).astype(np.int64)  # at most ``width`` each, exact
+    return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+
+
+def _cross(found: list[dict], whole: bool) -> np.ndarray:
+    """Which pairs of a cell are of different sides; all of them where a block meets itself."""
     side = np.array([r["side"] for r in found])
-    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    cross = (side[:, None] != side[None, :]) | (found[0]["i"] == found[0]["j"])
-    return linked & cross
+    return (side[:, None] != side[None, :]) | whole
+
+
+def _allowed(found: list[dict], percent: int) -> np.ndarray:
+    """The filters of :func:`_may_link` for all pairs of a cell."""
+    n, left = (np.array([r[c] for r in found]) for c in ("n", "pos"))
+    left = n - left
+    need = -(-(n[:, None] + n[None, :]) * percent // (100 + percent))
+    allowed = (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None]) & (np.minimum(left[:, None], left[None, :]) >= need)
+    if allowed.any():
+        rest = np.array([r["rest"] for r in found], np.int64)
+        shared = np.ones_like(need)
+        for part in rest.T:
+            shared += np.minimum(part[:, None], part[None, :])
+        allowed &= shared >= need
+    return allowed
 
 
 def _blocks(percent: int):
-    """Verify the classes of one cell of a bucket at once."""
+    """Verify the pairs of one cell of a bucket that pass the filters."""
     def cell(found: list[dict]) -> list[tuple]:
-        group = [r["label"] for r in found]
+        group = np.array([r["label"] for r in found])
+        open_ = np.triu(_allowed(found, percent) & _cross(found, found[0]["i"] == found[0]["j"] and found[0]["g"] == found[0]["h"]), 1)
+        open_ &= group[:, None] != group[None, :]
+        used = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+        if not len(used):
+            return []
+        similar = _similar([found[i] for i in used], percent) & open_[np.ix_(used, used)]
         root: dict[int, int] = {}
 
         def find(x):
@@ -292,15 +318,15 @@ def _blocks(percent: int):
             return x
 
         out = []
-        for a, b in np.argwhere(np.triu(_linked(found, percent), 1)).tolist():
-            x, y = find(group[a]), find(group[b])
+        for a, b in used[np.argwhere(similar)].tolist():
+            x, y = find(int(group[a])), find(int(group[b]))
             if x != y:
                 root[x] = y
                 out.append((found[a]["rid"], found[b]["rid"]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in groups(batches, ["key", "i", "j"]):
+        for _, found in groups(batches, ["key", "g", "h", "i", "j"]):
             out = cell(found) if len(found) > 1 else []
             if out:
                 yield rows(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -308,6 +334,36 @@ def _blocks(percent: int):
     return run
 
 
+def _cells(large: DataFrame, percent: int) -> DataFrame:
+    """The entries of large buckets (key, rid, n, pos, rest, label) dealt to cells (key, g, h, i, j): block i of band g against block j of band h."""
+    band = F.floor(F.log(F.col("n").cast("double")) * 20) * 32 + F.least(F.lit(31), F.floor(20 * F.col("pos") / F.col("n")))
+    banded = materialise(large.withColumn("band", band.cast("bigint")), "banded")
+    # a few bands of a bucket for each size of set
+    bands = materialise(banded.groupBy("key", "band").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int").alias("blocks"),
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")), "bands")
+    x, y = bands.alias("x"), bands.alias("y")
+    need = F.ceil((F.col("x.lo") + F.col("y.lo")) * percent / (100 + percent))
+    room = ((100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+            & (F.least("x.left", "y.left") >= need))
+    meet = x.join(y, "key").where((F.col("x.band") <= F.col("y.band")) & room).select(
+        "key", F.col("x.band").alias("g"), F.col("y.band").alias("h"), F.col("x.blocks").alias("g_blocks"), F.col("y.blocks").alias("h_blocks"))
+    own = lambda blocks: F.pmod(F.xxhash64("rid", "key"), F.col(blocks)).cast("int")
+    entry = ["rid", "n", "pos", "rest", "label"]
+
+    def dealt(mine: str, theirs: str, same: bool) -> DataFrame:
+        met = meet.where("g = h") if same else meet.where("g <> h")
+        rows_ = banded.join(met.withColumn("band", F.col(mine)), ["key", "band"]).withColumn("own", own(f"{mine}_blocks"))
+        rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_blocks") - 1)))
+        if same:
+            place = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side")]
+        else:
+            place = [F.col("own" if mine == "g" else "other").alias("i"), F.col("other" if mine == "g" else "own").alias("j"), F.lit(0 if mine == "g" else 1).alias("side")]
+        return rows_.select("key", "g", "h", *place, *entry)
+
+    return dealt("g", "h", True).union(dealt("g", "h", False)).union(dealt("h", "g", False))
+
+
 def _links(reps: DataFrame, percent: int) -> DataFrame:
     """Links between classes: enough of them to connect every pair that is similar."""
     entries = materialise(reps.mapInArrow(_entries(percent), "key bigint, rid bigint, n bigint, pos bigint, rest array<int>"), "prefixes")
@@ -319,20 +375,17 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     labels = components(first)
     named = (entries.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
              .withColumn("label", F.coalesce("label", "rid")))
-    buckets = (named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    buckets = (named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
                .where("lo <> hi").drop("lo", "hi"))
     open_ = materialise(named.join(buckets, "key"), "open")
     small = open_.where(F.col("m") <= BUCKET)
     direct = (small.alias("x").join(small.alias("y"), "key")
               .where((F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent))
               .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")))
-    count = F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int")
-    own = F.pmod(F.xxhash64("rid", "key"), F.col("blocks")).cast("int")
-    large = (open_.where(F.col("m") > BUCKET).withColumn("blocks", count).withColumn("side", own)
-             .join(reps.select("rid", "shared"), "rid")
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rid", "n", "label", "shared"))
-    blocks = (large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a bigint, b bigint"))
+    cells = _cells(open_.where(F.col("m") > BUCKET).select("key", "rid", "n", "pos", "rest", "label"), percent)
+    place = ["key", "g", "h", "i", "j"]
+    blocks = (cells.join(reps.select("rid", "shared"), "rid").repartition(*place).sortWithinPartitions(*place)
+              .mapInArrow(_blocks(percent), "a bigint, b bigint"))
     return first.union(materialise(_verify(direct, reps, percent).union(blocks), "links"))
 
 
@@ -343,7 +396,7 @@ def _counts(reps: DataFrame, components_: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in groups(batches, ["label", "i", "j"]):
             if len(found) > 1:
-                similar = _linked(found, percent)
+                similar = _similar(found, percent) & _cross(found, found[0]["i"] == found[0]["j"])
                 np.fill_diagonal(similar, False)
                 total = similar @ np.array([r["weight"] for r in found], np.int64)
                 yield rows([(r["rid"], int(t)) for r, t in zip(found, total) if t], schema)

@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("op3_jaccard_join")
 def _(spark, sf):
-    return jaccard_join(table(spark, sf, "documents"), shingle=4, percent=85).drop("n_links")
+    return jaccard_join(table(spark, sf, "documents"), shingle=4, percent=85)
 
 
 @query("op4_source_mixing")

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from carryover.llm import jaccard_join as J
 
@@ -36,7 +37,7 @@ def brute(rows, k, percent):
 @pytest.mark.parametrize("k,percent", [(4, 85), (2, 60)])
 def test_against_all_pairs(spark, make, near_copies, k, percent, small, monkeypatch):
     if small:  # many chunks, hot shingles, buckets cut into blocks
-        for name, value in (("CHUNK_SHINGLES", 700), ("HOT", 3), ("BUCKET", 4), ("BLOCK_SHINGLES", 900)):
+        for name, value in (("CHUNK_SHINGLES", 700), ("HOT", 3), ("BUCKET", 4), ("BLOCK_SHINGLES", 900), ("BLOCK_CLASSES", 3)):
             monkeypatch.setattr(J, name, value)
     got = J.jaccard_groups(make(near_copies), shingle=k, percent=percent).collect()
     assert Counter(map(tuple, got)) == brute(near_copies, k, percent)
@@ -64,3 +65,40 @@ def test_every_link_is_counted(spark, make, near_copies, small, monkeypatch):
     alike = lambda a, b: 100 * len(a & b) >= 60 * len(a | b)
     want = [sum(i != j and bool(a) and bool(b) and alike(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     assert Counter((r.doc_id, r.n_links) for r in got) == Counter((doc, n) for (doc, _), n in zip(near_copies, want))
+
+
+def test_a_common_template_makes_no_cells(spark, monkeypatch):
+    """Ten words of which nine are the same everywhere: the positional filter leaves no pair of a bucket of thousands to compare."""
+    texts = spark.range(20_000).select("id", F.concat(F.lit("one two three four five six seven eight nine w"), F.col("id").cast("string")).alias("text"))
+    cells = []
+    plain = J._cells
+
+    def counted(large, percent):
+        out = plain(large, percent)
+        cells.append((large.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "_cells", counted)
+    got = J.jaccard_join(texts, "id", shingle=4, percent=85)
+    assert got.where("n_links > 0 OR component_id <> doc_id").count() == 0
+    assert all(out == 0 for _, out in cells)
+
+
+def test_large_buckets_are_cut_into_bounded_cells(spark, monkeypatch):
+    """Texts of two templates and of many sizes in one bucket: every cell stays within its bounds and no link is lost."""
+    for name, value in (("BUCKET", 4), ("BLOCK_SHINGLES", 400), ("BLOCK_CLASSES", 8)):
+        monkeypatch.setattr(J, name, value)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:40 + i % 20] + [f"x{i}", f"y{i % 7}"])) for i in range(300)]
+    seen = []
+    plain = J._cells
+
+    def watched(large, percent):
+        out = plain(large, percent)
+        seen.append(out.groupBy("key", "g", "h", "i", "j").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(J, "_cells", watched)
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), shingle=2, percent=80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2, 80)
+    assert all(n is None or n <= 60 for n in seen)
