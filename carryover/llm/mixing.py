@@ -99,8 +99,8 @@ def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
 
     * A null source is a source of its own, ordered last. A null size counts as 0; documents of
       size 0 are in no copy. A source of total 0 has target 0.
-    * Rows that repeat doc_id, source and size are drawn as one and share their copies; null
-      ids of one source and size are such rows.
+    * Of n rows that repeat doc_id, source and size (null ids too), as many get a copy more as their n
+      fractions sum up to in whole; what is left of the sum is drawn like one row. Which of them get it is open.
     * An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     """
     units = materialise(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -112,10 +112,11 @@ def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     s = goals.withColumnRenamed("source", "of")
     rate = F.least(F.lit(float(limit)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     planned = (units.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate)
-               .withColumn("sure", F.floor("rate")).withColumn("p", F.col("rate") - F.col("sure")))
+               .withColumn("sure", F.floor("rate")).withColumn("sum", F.col("rows") * (F.col("rate") - F.col("sure")))
+               .withColumn("held", F.floor("sum")).withColumn("p", F.col("sum") - F.col("held")).drop("sum"))
     tie = F.xxhash64(F.lit(seed), "doc_id", "size")
     chunk = F.when(F.col("p") > 0, F.pmod(tie, F.col("chunks")))
-    one = F.struct((F.col("size") * F.col("rows")).cast("double").alias("mass"), tie.alias("tie"), "doc_id", "size", "p")
+    one = F.struct(F.col("size").cast("double").alias("mass"), tie.alias("tie"), "doc_id", "size", "p")
     level, most = 0, goals.agg(F.max("chunks")).first()[0] or 1
     step = (planned.where("p > 0 AND size > 0").select("source", chunk.alias("chunk"), one.alias("unit")))
     decided = []
@@ -135,7 +136,7 @@ def mix_sources(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     c = choices.select(F.col("source").alias("c_source"), F.col("doc_id").alias("c_id"), F.col("size").alias("c_size"), "up")
     joined = planned.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.col("source").eqNullSafe(F.col("c_source"))
                           & (F.col("size") == F.col("c_size")), "left")
-    copies = F.when(F.col("size") > 0, F.col("sure") + F.coalesce("up", F.lit(0))).otherwise(0).cast("bigint")
-    return (joined.withColumn("copies", copies)
-            .withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    more = (F.col("row") <= F.col("held") + F.coalesce("up", F.lit(0))).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("sure") + more).otherwise(0).cast("bigint")
+    return (joined.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).withColumn("copies", copies)
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"))

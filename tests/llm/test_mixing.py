@@ -85,3 +85,15 @@ def test_odd_rows(spark):
     assert len(got) == 6 and len(spark.createDataFrame(rows, schema).columns) == 5
     assert all(r.taken <= 3 * r["size"] for r in got)
     assert [r.target for r in got if r.source == "s"] == [0.0, 0.0]
+
+
+def test_repeated_rows_are_no_lump(spark):
+    """A third of all words lie in rows without an id and of one size: their source still meets its target."""
+    rows = [(None, "a b c d e", "hot", "x", 1)] * 3000 + [(i, "a " * (1 + i % 9), "hot" if i % 2 else "cold", "x", 1) for i in range(4000)]
+    got = run(spark, rows, weights=(5, 4))
+    assert len(got) == 7000
+    for source in ("hot", "cold"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+    lump = [r.copies for r in got if r.doc_id is None]
+    assert len(lump) == 3000 and len(set(lump)) == 2 and max(lump) - min(lump) == 1
