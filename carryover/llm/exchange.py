@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from carryover.llm.grams import pack_sorted, unpack_sorted
-
 
 def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Consecutive rows with the same values in ``columns``."""
@@ -34,44 +31,3 @@ def range_edges(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     """Where each of ``ranges`` even ranges of ``bits``-bit keys begins in sorted ``keys``."""
     inner = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.float64) * (2.0 ** bits / ranges)).astype(np.uint64))
     return np.concatenate(([0], inner, [len(keys)]))
-
-
-def pack_keys(keys: np.ndarray, bits: int) -> bytes:
-    return pack_sorted(keys) if bits == 48 else keys.tobytes()
-
-
-def unpack_keys(blob: bytes, bits: int) -> np.ndarray:
-    return unpack_sorted(blob) if bits == 48 else np.frombuffer(blob, np.uint64)
-
-
-_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
-
-
-def pack_columns(columns: list[np.ndarray], level: int = 1) -> bytes:
-    """Arrays of one length, each in the narrowest width that holds its largest number, deflated."""
-    out = []
-    for c in columns:
-        most = int(c.max()) if len(c) else 0
-        width = next(i for i, t in enumerate(_WIDTHS) if most <= np.iinfo(t).max)
-        out.append(bytes([width]) + c.astype(_WIDTHS[width]).tobytes())
-    return zlib.compress(np.uint32(len(columns[0])).tobytes() + b"".join(out), level)
-
-
-def unpack_columns(blob: bytes) -> list[np.ndarray]:
-    blob = zlib.decompress(blob)
-    count, at, out = int(np.frombuffer(blob, np.uint32, 1)[0]), 4, []
-    while at < len(blob):
-        kind = np.dtype(_WIDTHS[blob[at]])
-        out.append(np.frombuffer(blob, kind, count, at + 1).astype(np.int64))
-        at += 1 + count * kind.itemsize
-    return out
-
-
-def pack_places(places: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, so that the nearly constant upper bytes deflate to nothing."""
-    return zlib.compress(np.ascontiguousarray(places.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def unpack_places(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
