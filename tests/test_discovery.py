@@ -41,6 +41,19 @@ def test_minimal_keys(spark, seed, first, slice_, monkeypatch):
     assert K.minimal_keys(repeated.select("a", "s"), 2)[1] == [] and K.minimal_keys(repeated)[1] == []
 
 
+def test_few_sets_are_counted_over_all_rows(spark, monkeypatch):
+    """Sets of three and four columns that almost are keys are looked up on the repeats of a pair."""
+    counted = []
+    count = K._Repeats.count
+    monkeypatch.setattr(K._Repeats, "count", lambda self, sets, keep: counted.extend(sets) or count(self, sets, keep))
+    draw = random.Random(4)
+    names = list("abcdefgh")
+    rows = [(i // 4, draw.randrange(2000), *(draw.randrange(n) for n in (900, 50, 40, 30, 11, 9))) for i in range(20_000)]
+    n, got = K.minimal_keys(spark.createDataFrame(rows, names).repartition(3), 4)
+    assert n == len(rows) and set(got) == brute_keys(rows, names, 4)
+    assert len(got) > len(counted) and len(counted) < 15
+
+
 def test_keys_of_odd_tables(spark):
     maps = spark.createDataFrame([(1, {"a": 1}, [1.0]), (2, {"a": 1}, [1.0])], "i int, m map<string,int>, v array<double>")
     tables = {"maps": maps, "none": maps.limit(0), "one": maps.limit(1), "null": spark.createDataFrame([(None,), (None,)], "x int"), "only": maps.select("m")}
