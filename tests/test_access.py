@@ -62,3 +62,16 @@ def test_nothing_to_compare(spark, matrices):
     for a, b in ((custom.limit(0), stock), (custom, stock.limit(0))):
         assert A.closest_templates(a, b)[0].collect() == []
     assert {r.template for r in A.jaccard_template(custom, stock.limit(0), 0.1, best=A.closest_templates(custom, stock.limit(0))[0]).collect()} == {None}
+
+
+def test_matrices_are_made_once_per_query(spark, monkeypatch):
+    """The large tables are joined once, however often a query asks for its matrices."""
+    from workload import QUERIES, roles
+
+    written = []
+    write = roles.materialise
+    monkeypatch.setattr(roles, "materialise", lambda df, name="step": written.append(name) or write(df, name))
+    for name in ("grant_backfill", "matrix_diff"):
+        written.clear()
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert sorted(written) == ["grants_all", "seed_matrix", "staged_matrix"]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carryover.operators import access as A
-from carryover.session import materialise
 from workload.registry import ORACLES, query
-from workload.roles import frame, frames
+from workload.roles import frame, frames, written_once
 
 IS_GROUP = "NOT regexp_matches({0}, '(?i)^(-?[0-9]+|_all|_queue\\..*)$')"
 PAIRS = f"""
@@ -22,8 +21,13 @@ FLOOR = 0.05
 
 
 def matrix(spark, sf, name):
-    """An access matrix, written down because a query reads it several times."""
-    return materialise(frame(spark, sf, name), name)
+    """An access matrix, written down because a query reads it several times.
+
+    Both matrices come from different grants by best, least and different values, so the join of
+    the large tables runs once and what is read again are its different rows.
+    """
+    written_once(spark, sf, "grants_all", ("seg", "reg", "object", "ptype", "flag", "qty"))
+    return written_once(spark, sf, name)
 
 
 def matrices(spark, sf):
