@@ -43,7 +43,7 @@ from carryover.llm.exchange import groups, range_edges, rows
 from carryover.llm.graph import components
 from carryover.session import materialise
 
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 400_000
 HOT = 64            # from this many documents of one chunk on, a shingle's documents stay with the chunk
 BUCKET = 64         # classes per prefix shingle that are paired directly; larger buckets go in blocks
 BLOCK_SHINGLES = 60_000  # shingles in a block of a large bucket or component
@@ -269,13 +269,14 @@ def _similar(found: list[dict], percent: int) -> np.ndarray:
     use = often[column] > 1
     _, column = np.unique(column[use], return_inverse=True)
     line = line[use]
-    common = np.zeros((len(found), len(found)), np.int64)
-    width = 1 << 13
+    n = n.astype(np.int32 if 200 * int(n.max()) < 1 << 31 else np.int64)
+    common = np.zeros((len(found), len(found)), n.dtype)
+    width = 1 << 11
     for start in range(0, int(column.max()) + 1 if len(column) else 0, width):  # bounded scratch space
         here = (column >= start) & (column < start + width)
         dense = np.zeros((len(found), width), np.float32)
         dense[line[here], column[here] - start] = 1
-        common += (dense @ dense.T).astype(np.int64)  # at most ``width`` each, exact
+        common += (dense @ dense.T).astype(n.dtype)  # at most ``width`` each, exact
     return 100 * common >= percent * (n[:, None] + n[None, :] - common)
 
 
@@ -288,11 +289,12 @@ def _cross(found: list[dict], whole: bool) -> np.ndarray:
 def _allowed(found: list[dict], percent: int) -> np.ndarray:
     """The filters of :func:`_may_link` for all pairs of a cell."""
     n, left = (np.array([r[c] for r in found]) for c in ("n", "pos"))
-    left = n - left
+    kind = np.int32 if 200 * int(n.max()) < 1 << 31 else np.int64
+    n, left = n.astype(kind), (n - left).astype(kind)
     need = -(-(n[:, None] + n[None, :]) * percent // (100 + percent))
     allowed = (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None]) & (np.minimum(left[:, None], left[None, :]) >= need)
     if allowed.any():
-        rest = np.array([r["rest"] for r in found], np.int64)
+        rest = np.array([r["rest"] for r in found], kind)
         shared = np.ones_like(need)
         for part in rest.T:
             shared += np.minimum(part[:, None], part[None, :])

@@ -102,3 +102,26 @@ def test_large_buckets_are_cut_into_bounded_cells(spark, monkeypatch):
     got = J.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), shingle=2, percent=80).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2, 80)
     assert all(n is None or n <= 60 for n in seen)
+
+
+def test_scratch_memory_is_bounded():
+    """A chunk of texts and a full cell each stay within a share of an executor that holds two workers."""
+    import tracemalloc
+
+    import numpy as np
+
+    from carryover.llm import jaccard_join as J
+
+    rng = np.random.default_rng(1)
+    found = [{"n": 60, "shared": np.sort(rng.integers(0, 1 << 40, 60)).tobytes()} for _ in range(2 * J.BLOCK_CLASSES)]
+    found += [{"n": 60, "shared": found[0]["shared"]}]
+    tracemalloc.start()
+    try:
+        similar = J._similar(found, 85)
+        assert np.argwhere(np.triu(similar, 1)).tolist() == [[0, len(found) - 1]]
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+        tracemalloc.reset_peak()
+        J.grams.words(np.full(1 << 22, 97, np.uint8), np.arange(0, (1 << 22) + 1, 1 << 10))
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    finally:
+        tracemalloc.stop()
