@@ -37,6 +37,7 @@ from carryover.session import materialise
 
 CHUNK_TOKENS = 1_000_000
 RANGES_PER_SPLIT = 8
+BLOCK = 1 << 16  # positions scored at once; bounds the scratch arrays
 END, BOS = (grams.mix(np.array([k], np.uint64))[0] for k in (0x0E4D, 0x0B05))
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +73,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def pack_columns(columns: list[np.ndarray]) -> bytes:
-    """Arrays of one length, each in the narrowest width that holds its largest number."""
+    """Arrays of one length, each in the narrowest width that holds its largest number; they are read back in it."""
     out = [np.uint32(len(columns[0])).tobytes()]
     for c in columns:
         most = int(c.max()) if len(c) else 0
@@ -87,11 +88,24 @@ def unpack_columns(blob: bytes) -> list[np.ndarray]:
     count, at, out = int(np.frombuffer(blob, np.uint32, 1)[0]), 4, []
     while at < len(blob):
         kind = np.dtype(_WIDTHS[blob[at]])
-        out.append(np.frombuffer(blob, kind, count, at + 1).astype(np.int64))
+        out.append(np.frombuffer(blob, kind, count, at + 1))
         at += 1 + count * kind.itemsize
     return out
 
 
+def _numbered(keys: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each is found, the place of every key among them); a ``stable`` kind finds the first."""
+    order = np.argsort(keys, kind=kind)
+    ascending = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ascending[1:] != ascending[:-1]
+    distinct, found = ascending[fresh], order[fresh]
+    del ascending
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return distinct, found, place
+
+
 def _chunks(chunk_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -145,11 +159,12 @@ class _Chunk:
         self.vocabulary = np.frombuffer(row["keys"], np.uint64, words, 24)
         self.ids = np.frombuffer(row["keys"], np.int64, docs, 24 + 8 * words)
         place = _expanded(row["keys"][24 + 8 * (words + docs):], np.uint32)
-        self.lengths, train, self.has_id = unpack_columns(row["numbers"])
+        lengths, train, self.has_id = unpack_columns(row["numbers"])
+        self.lengths = lengths.astype(np.int64)
         self.train = train.astype(bool)
         self.place = place
         self.words = self.vocabulary[place]
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.start = np.cumsum(self.lengths) - self.lengths
         self.predicted = np.ones(len(self.words), bool)
         self.predicted[self.start] = False
@@ -161,17 +176,20 @@ class _Chunk:
             before = np.empty_like(out)
             before[1:] = out[:-1]
             before[self.start] = bos
-            out = grams.mix(before * _SCALE + self.words)
+            before *= _SCALE
+            before += self.words
+            out = grams.mix(before)
             with np.errstate(over="ignore"):
                 bos = grams.mix(np.array([bos]) * _SCALE + BOS)[0]
         return out
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         if order > 1:
-            return np.unique(self.ends(order), return_inverse=True)
+            keys, _, place = _numbered(self.ends(order))
+            return keys, place
         # the places stand for words already: only the vocabulary is put in order
         sorted_ = np.argsort(self.vocabulary)
-        rank = np.empty_like(sorted_)
+        rank = np.empty(len(sorted_), np.int32)
         rank[sorted_] = np.arange(len(sorted_))
         return self.vocabulary[sorted_], rank[self.place]
 
@@ -184,6 +202,7 @@ def _asks(chunk: int, order: int, keys: np.ndarray, columns: list[np.ndarray], r
 
 
 def _answers(found: list[dict], order: int) -> list[np.ndarray]:
+    """The columns of a chunk's answers, each in the narrowest width that its parts come in."""
     parts = [unpack_columns(r["numbers"]) for r in sorted((r for r in found if r["kind"] == order), key=lambda r: r["deal"])]
     return [np.concatenate(c) for c in zip(*parts)]
 
@@ -195,7 +214,7 @@ def _ask_highest(order: int, ranges: int):
                 c = _Chunk(row)
                 keys, place = c.distinct(order)
                 counted = c.predicted & c.train[c.doc]
-                count = np.bincount(place[counted], minlength=len(keys))
+                count = np.bincount(place[counted], minlength=len(keys)).astype(np.uint32)
                 yield rows(list(_asks(row["chunk"], order, keys, [count], ranges)), _ROWS)
 
     return run
@@ -206,24 +225,25 @@ def _ask_lower(order: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (chunk,), found in groups(batches, ["chunk"]):
             c = _Chunk(next(r for r in found if r["kind"] == _STATE))
-            long, at_long = c.distinct(order + 1)
             marked = _answers(found, order + 1)[0]
-            total, own = marked >> 1, marked & 1
+            at_long = c.distinct(order + 1)[1]
+            at = np.flatnonzero(c.predicted).astype(np.int32)
+            spot = np.zeros(len(marked), np.int32)  # one position of each longer n-gram, none for those across texts
+            spot[at_long[at]] = at
+            del at_long, at
+            # what its owner says of a longer n-gram that occurs
+            use = np.flatnonzero((spot > 0) & (marked & 1 > 0) & (marked > 1))
+            spot, total = spot[use], marked[use] >> 1
+            del marked, use
             keys, place = c.distinct(order)
-            spot = np.zeros(len(long), np.int64)
-            spot[at_long[c.predicted]] = np.flatnonzero(c.predicted)  # one position of each longer n-gram
-            use = np.zeros(len(long), bool)
-            use[at_long[c.predicted]] = True
-            use &= (own > 0) & (total > 0)
-            spot, total = spot[use], total[use]
             suffix, history = place[spot], place[spot - 1]
+            counts = lambda x: np.bincount(x, minlength=len(keys)).astype(np.uint32)
             # what a history is followed by: how many n-grams of 1, 2 and more, and the sum of the latter (mostly none)
             much = np.where(total >= 3, total, 0)
-            columns = [np.bincount(suffix, minlength=len(keys)), np.bincount(history, weights=much, minlength=len(keys)).astype(np.int64),
-                       *[np.bincount(history[total == k if k < 3 else total >= 3], minlength=len(keys)) for k in (1, 2, 3)]]
+            columns = [counts(suffix), np.bincount(history, weights=much, minlength=len(keys)).astype(np.int64),
+                       *[counts(history[total == k if k < 3 else total >= 3]) for k in (1, 2, 3)]]
             if order == 1:
-                counted = c.predicted & c.train[c.doc]
-                columns.append(np.bincount(place[counted], minlength=len(keys)))
+                columns.append(counts(place[c.predicted & c.train[c.doc]]))
             yield rows(list(_asks(chunk, order, keys, columns, ranges)), _ROWS)
 
     return run
@@ -235,20 +255,23 @@ def _merge(order: int):
         for (deal,), found in groups(batches, ["deal"]):
             found.sort(key=lambda r: r["chunk"])
             keys = [unpack_keys(r["keys"]) for r in found]
-            shard, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            sent = [np.concatenate(c) for c in zip(*[unpack_columns(r["numbers"]) for r in found])]
-            totals = [np.bincount(place, weights=c, minlength=len(shard)).astype(np.int64) for c in sent]  # exact below 2^53
-            own = np.zeros(len(place), np.int64)
+            sizes = [len(k) for k in keys]
+            shard, first, place = _numbered(np.concatenate(keys), "stable")
+            distinct = len(shard)
+            del keys, shard
+            sent = zip(*[unpack_columns(r["numbers"]) for r in found])
+            totals = [np.bincount(place, weights=np.concatenate(c), minlength=distinct).astype(np.int64) for c in sent]  # exact below 2^53
+            own = np.zeros(len(place), np.uint8)
             own[first] = 1
             at, out = 0, []
-            for r, k in zip(found, keys):
-                mine = place[at:at + len(k)]
+            for r, size in zip(found, sizes):
+                mine = place[at:at + size]
                 if order > 1:  # the owner's mark rides on the first number
-                    numbers = [2 * totals[0][mine] + own[at:at + len(k)], *[t[mine] for t in totals[1:]]]
+                    numbers = [2 * totals[0][mine] + own[at:at + size], *[t[mine] for t in totals[1:]]]
                 else:
                     numbers = [t[mine] for t in totals]
                 out.append((deal, r["chunk"], order, b"", pack_columns(numbers)))
-                at += len(k)
+                at += size
             adjusted = totals[0]
             stat = [*[np.array([(adjusted == k).sum()]) for k in (1, 2, 3, 4)], np.array([adjusted.sum()]), np.array([(adjusted > 0).sum()])]
             if order == 1:
@@ -270,30 +293,33 @@ def _score(order: int, cuts: dict[int, tuple[float, float, float]], words: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in groups(batches, ["chunk"]):
             c = _Chunk(next(r for r in found if r["kind"] == _STATE))
-            at = np.flatnonzero(c.predicted)
-            p = np.full(len(at), 1.0 / (words + 1))
-            context = None
+            at = np.flatnonzero(c.predicted).astype(np.int32)
+            p, base, known = np.full(len(at), 1.0 / (words + 1)), np.empty(len(at)), np.empty(len(at), bool)
+            history = None  # answers on the n-grams one word shorter, and where they end
             for k in range(1, order + 1):
                 _, place = c.distinct(k)
                 answer = _answers(found, k)
                 d = np.array([0.0, *cuts[k]])
-                count = answer[0][place[at]] >> (k > 1)
-                gain = np.maximum(count - d[np.minimum(count, 3)], 0)
-                if k == 1:
-                    seen, ones, twos, more = (np.full(len(at), float(x)) for x in root)
-                    known = answer[5][place[at]]
-                else:
-                    much, ones, twos, more = (x.astype(float) for x in context)
-                    seen = ones + 2 * twos + much
-                left = cuts[k][0] * ones + cuts[k][1] * twos + cuts[k][2] * more
-                p = np.where(seen > 0, (gain + left * p) / np.where(seen > 0, seen, 1), p)
-                if k < order:  # this order's n-gram one position earlier is the history of the next
-                    context = [answer[j][place[at - 1]] for j in (1, 2, 3, 4)]
+                for begin in range(0, len(at), BLOCK):
+                    part = slice(begin, begin + BLOCK)
+                    here = at[part]
+                    count = answer[0][place[here]] >> int(k > 1)
+                    gain = np.maximum(count - d[np.minimum(count, 3)], 0)
+                    if k == 1:
+                        seen, ones, twos, more = (np.full(len(here), float(x)) for x in root)
+                        often = answer[5][place[here]].astype(np.int64)
+                        known[part], base[part] = often > 0, np.log10((often + 1) / (tokens + words + 1))
+                    else:
+                        before = history[1][here - 1]
+                        much, ones, twos, more = (history[0][j][before].astype(float) for j in (1, 2, 3, 4))
+                        seen = ones + 2 * twos + much
+                    left = cuts[k][0] * ones + cuts[k][1] * twos + cuts[k][2] * more
+                    p[part] = np.where(seen > 0, (gain + left * p[part]) / np.where(seen > 0, seen, 1), p[part])
+                history = (answer, place)
             docs, of = len(c.lengths), c.doc[at]
-            base = np.log10((known + 1) / (tokens + words + 1))
             sums = lambda x: np.bincount(of, weights=x, minlength=docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.ids, mask=c.has_id == 0), pa.array(~c.train), pa.array(c.lengths - 1), pa.array(sums(known > 0).astype(np.int64)),
+                [pa.array(c.ids, mask=c.has_id == 0), pa.array(~c.train), pa.array(c.lengths - 1), pa.array(sums(known).astype(np.int64)),
                  pa.array(np.full(docs, tokens, np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p)))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -84,3 +84,39 @@ def test_empty_and_clashing_columns(spark):
     assert K.kneser_ney_scores(spark.createDataFrame([], schema)).collect() == []
     one = K.kneser_ney_scores(spark.createDataFrame([(1, "a", "c", 1, 2)], schema), held_out=F.lit(True)).collect()
     assert [tuple(r) for r in one] == [(1, True, 2, 0, 0, 0.0, 0.0)]
+
+
+def test_steps_of_a_full_chunk_take_little_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+
+    monkeypatch.setattr(K, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in draw.zipf(1.3, 2000) % 50_000) for _ in range(490)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(490)), pa.array(texts), pa.array([i % 7 == 2 for i in range(490)])], names=["doc_id", "text", "held_out"])
+    del texts
+    state = pa.Table.from_batches(list(K._chunks(K.CHUNK_TOKENS)(iter([docs]))))
+    assert state.num_rows == 1
+
+    def step(run, *tables):
+        rows = pa.concat_tables(tables)
+        rows = rows.sort_by([(c, "ascending") for c in ("deal", "chunk", "kind")] if run.__qualname__.startswith("_merge") else [("chunk", "ascending"), ("kind", "ascending")])
+        tracemalloc.start()
+        out = list(run(iter(rows.to_batches(max_chunksize=8))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 160e6, (run.__qualname__, peak)
+        return pa.Table.from_batches(out)
+
+    answers, asked = {}, step(K._ask_highest(3, 64), state)
+    for k in (3, 2, 1):
+        merged = step(K._merge(k), asked)
+        answers[k] = merged.filter(pa.compute.equal(merged["kind"], k))
+        if k > 1:
+            asked = step(K._ask_lower(k - 1, 64), state, answers[k])
+    got = step(K._score(3, {k: (0.5, 1.0, 1.5) for k in (1, 2, 3)}, 50_000, (10, 1, 1, 1), 10), state, *answers.values())
+    assert got.num_rows == 490
