@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.transforms import not_null_fallback
+from carryover.operators.counting import beside
 from carryover.operators.ordinals import cut_points, with_group_ordinal, with_ordinal
 from carryover.operators.skew import lookup, one_per_key
 from carryover.spec import REMAP_PREFIX, ColumnInfo, TableSpec, key_exprs, source_expr, written, written_columns
@@ -24,13 +25,17 @@ def with_idmaps(src: DataFrame, spec: TableSpec, idmaps: Mapping[str, DataFrame]
     """Join each parent's id map; the written expressions read ``_remap_<column>``.
 
     Every parent needs a map: for a table whose ids do not change that is
-    :func:`identity_map`. Without one, references would silently become NULL.
+    :func:`identity_map`. Without one, references would silently become NULL. A map that
+    is None stands for a parent that has no ids yet.
     """
     out = src
     for column, parent in spec.fk_remap.items():
         source = spec.source_of(column)
         if parent not in idmaps:
             raise KeyError(f"{spec.name}.{column}: no id map for {parent}")
+        if idmaps[parent] is None:
+            out = out.withColumn(REMAP_PREFIX + column, F.lit(None).cast("bigint"))
+            continue
         mapped = idmaps[parent].select("old_id", F.col("new_id").alias(REMAP_PREFIX + column))
         out = lookup(out, mapped, [(source, "old_id")], scatter=scatter, hot_rows=hot_rows,
                      counted=src.select(source))
@@ -115,15 +120,36 @@ def appended_rows(judged: Judged, seed: DataFrame, *, floor: Column | int | None
     pk = spec.surrogate_pk
     if pk is None:
         return judged.appended.select(*written_columns(spec))
-    stored = judged.appended.select(F.col(spec.source_of(pk)).alias("_old_id"),
-                                    *[c for c, n in zip(written_columns(spec), _names(spec)) if n != pk])
+    return _with_new_ids(judged, _stored(judged.appended, spec), pk, seed, floor, rows_per_range)
+
+
+def numbered_rows(judged: Judged, seed: DataFrame) -> DataFrame:
+    """The source rows that the merge inserts, each with the ``_new_id`` that :func:`appended_rows` gives it."""
+    rows = judged.appended.select("*", F.col(judged.spec.source_of(judged.spec.surrogate_pk)).alias("_old_id"))
+    return _with_new_ids(judged, rows, "_new_id", seed)
+
+
+def stored_rows(numbered: DataFrame, spec: TableSpec) -> DataFrame:
+    """The rows of :func:`numbered_rows` as the target stores them, with ``_old_id``."""
+    return _stored(numbered, spec, F.col("_new_id").alias(spec.surrogate_pk))
+
+
+def _stored(rows: DataFrame, spec: TableSpec, *more: Column) -> DataFrame:
+    return rows.select(F.col(spec.source_of(spec.surrogate_pk)).alias("_old_id"),
+                       *[c for c, n in zip(written_columns(spec), _names(spec)) if n != spec.surrogate_pk], *more)
+
+
+def _with_new_ids(judged: Judged, rows: DataFrame, name: str, seed: DataFrame, floor: Column | int | None = None,
+                  rows_per_range: int | None = None) -> DataFrame:
+    spec = judged.spec
+    pk = spec.surrogate_pk
     # the source's own ids split the appended rows evenly enough, and cost one column to read
     cuts = cut_points(judged.source, spec.source_of(pk), rows_per_range)
-    numbered = with_ordinal(stored, "_old_id", "_ordinal", cuts=cuts)
+    numbered = with_ordinal(rows, "_old_id", "_ordinal", cuts=cuts)
     base = seed.agg(F.coalesce(F.max(pk), F.lit(0))).scalar()
     if floor is not None:
         base = F.greatest(base, F.lit(floor) if isinstance(floor, int) else floor)
-    return numbered.withColumn(pk, base + F.col("_ordinal")).drop("_ordinal")
+    return numbered.withColumn(name, base + F.col("_ordinal")).drop("_ordinal")
 
 
 def _names(spec: TableSpec) -> list[str]:
@@ -148,6 +174,28 @@ def merge_overridden(judged: Judged) -> DataFrame:
         F.count_if(~F.col("_seeded") & ~F.col("_excluded")).alias("appended"))
 
 
+def overridden_counts(src: DataFrame, added: DataFrame, spec: TableSpec) -> DataFrame:
+    """:func:`merge_overridden` from the rows that were inserted: what was neither inserted nor excluded, the seed beat."""
+    excluded = F.coalesce(spec.merge_exclude(), F.lit(False)) if spec.merge_exclude else F.lit(False)
+    appended = added.agg(F.count(F.lit(1)).alias("appended"))
+    both = beside(src.agg(F.count(F.lit(1)).alias("_all"), F.count_if(excluded).alias("excluded")), appended)
+    return both.select((F.col("_all") - F.col("appended") - F.col("excluded")).alias("beaten"), "excluded",
+                       (F.col("_all") - F.col("appended")).alias("overridden"), "appended")
+
+
+def merge_idmap(judged: Judged, ids: DataFrame, seed: DataFrame, live: DataFrame) -> DataFrame:
+    """:func:`idmap_twins` of a merge whose inserted rows are known: ``ids`` has their old_id and new_id.
+
+    A key that the seed does not hold has no other target rows than its inserted twins, in the order of the
+    source ids, so only the twins of seed rows are paired. An excluded twin would shift that pairing.
+    """
+    spec = judged.spec
+    if spec.merge_exclude:
+        return idmap_twins(judged.source, live, spec)
+    beaten = judged.rows.where("_seeded").drop("_seeded", "_excluded", *judged.keys)
+    return idmap_twins(beaten, seed, spec).unionByName(ids.select(F.col("old_id").cast("bigint"), F.col("new_id").cast("bigint")))
+
+
 def idmap_twins(src: DataFrame, target: DataFrame, spec: TableSpec, *, hot_rows: int | None = None) -> DataFrame:
     """(old_id, new_id): the n-th source twin of a key pairs with the n-th target twin.
 

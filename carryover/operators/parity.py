@@ -283,18 +283,23 @@ def backfill_mismatches(src: DataFrame, live: DataFrame, preseed: DataFrame, spe
 
 
 def merge_parity(src: DataFrame, live: DataFrame, preseed: DataFrame, idmap: DataFrame, spec: TableSpec, *,
-                 removed: Column | None = None) -> DataFrame:
-    """The three claims of a merge: (claim, rows). Zero everywhere means proven."""
+                 removed: Column | None = None, missing: bool = False) -> DataFrame:
+    """The three claims of a merge: (claim, rows). Zero everywhere means proven.
+
+    With ``missing`` the count of :func:`appended_missing` is a fourth, from the same pass.
+    """
     pk = [spec.surrogate_pk] if spec.surrogate_pk else list(spec.key)
     plain = [c for c in preseed.columns if c not in spec.archived]
-    parts = [("seed unchanged", seed_changes(live, preseed, pk, plain, removed)),
-             ("appended as written", appended_mismatches(src, live, preseed, idmap, spec)),
-             ("losers archived", backfill_mismatches(src, live, preseed, spec, pk))]
-    out = None
-    for claim, frame in parts:
-        row = frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(claim).alias("claim"), "rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+    counted = lambda frame, claim: frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(claim).alias("claim"), "rows")
+    out = counted(seed_changes(live, preseed, pk, plain, removed), "seed unchanged")
+    differs = F.col("_found").isNotNull() & any_mismatch(spec, [c for c in spec.carried if c != spec.surrogate_pk])
+    claims = {"appended as written": differs, **({"appended and there": F.col("_found").isNull()} if missing else {})}
+    placed = placed_rows(src, live, preseed, idmap, spec).agg(*[F.count_if(test).alias(f"_{i}") for i, test in enumerate(claims.values())])
+    entries = [F.struct(F.lit(claim).alias("claim"), F.col(f"_{i}").alias("rows")) for i, claim in enumerate(claims)]
+    out = out.unionByName(placed.select(F.inline(F.array(*entries))))
+    if not spec.archived:  # losers without archived columns have nothing to lose
+        return out.unionByName(preseed.limit(0).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("losers archived").alias("claim"), "rows"))
+    return out.unionByName(counted(backfill_mismatches(src, live, preseed, spec, pk), "losers archived"))
 
 
 def preserved_parity(originals: Mapping[str, DataFrame], homes: Mapping[str, Mapping[str, DataFrame]], *,

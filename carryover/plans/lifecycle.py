@@ -21,7 +21,7 @@ from carryover.operators.archive import dropped_shadow, homes_of, preserve_table
 from carryover.plans.circles import circles
 from carryover.plans.preflight import Expectations, Preflight
 from carryover.session import materialise, tune
-from carryover.spec import TableClass, TableSpec, effective_spec, written
+from carryover.spec import REMAP_PREFIX, TableClass, TableSpec, effective_spec, written
 
 
 class Refused(RuntimeError):
@@ -62,15 +62,15 @@ class Migration:
         spec = self._specs.get(table)
         return spec is not None and spec.cls is TableClass.MERGE and spec.surrogate_pk is not None
 
-    def _maps(self, spec: TableSpec, without: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
+    def _maps(self, spec: TableSpec, without: frozenset[str] = frozenset()) -> dict[str, DataFrame | None]:
         """The id map of every parent: what its merge wrote, or the identity of a table that keeps its ids.
 
-        Parents in ``without`` have no ids yet and get an empty map.
+        Parents in ``without`` have no ids yet and no map.
         """
         maps = {}
         for parent in spec.fk_remap.values():
             if parent in without:
-                maps[parent] = self.spark.createDataFrame([], "old_id bigint, new_id bigint")
+                maps[parent] = None
             elif self._renumbered(parent):
                 maps[parent] = self._read("idmap", parent)
             elif parent in self._specs:
@@ -142,27 +142,41 @@ class Migration:
                 elif spec.cls is TableClass.COPY:
                     self._sources(spec).select(*M.written_columns(spec)).write.mode("overwrite").parquet(self._path("live", spec.name))
 
+    def _write(self, df: DataFrame, role: str, table: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(role, table))
+        return self._read(role, table)
+
     def _number(self, spec: TableSpec, circle: frozenset[str]) -> None:
-        """The id map of a table in a circle: new ids do not depend on the references, so a pass without them gives it."""
-        src = self._sources(spec, circle)
-        live, _, _ = M.merge_seed_wins(src, self._read("preseed", spec.name), spec)
-        live.write.mode("overwrite").parquet(self._path("numbered", spec.name))
-        M.idmap_twins(src, self._read("numbered", spec.name), spec).write.mode("overwrite").parquet(self._path("idmap", spec.name))
+        """The ids and the id map of a table in a circle: they do not depend on the references, so a pass without them gives both."""
+        seed = self._read("preseed", spec.name)
+        judged = M.judge(self._sources(spec, circle), seed, spec)
+        rows = M.numbered_rows(judged, seed).drop("_old_id", "_seeded", "_excluded", *[REMAP_PREFIX + c for c in spec.fk_remap])
+        rows = self._write(rows, "numbered", spec.name)
+        ids = rows.select(F.col(spec.source_of(spec.surrogate_pk)).alias("old_id"), F.col("_new_id").alias("new_id"))
+        # target rows as far as twins look at them: the key and the id
+        keys = [F.col(k).alias(n) for k, n in zip(judged.keys, spec.merge_keys)]
+        live = seed.select(*spec.merge_keys, spec.surrogate_pk).unionByName(rows.select(*keys, F.col("_new_id").alias(spec.surrogate_pk)))
+        self._write(M.merge_idmap(judged, ids, seed, live), "idmap", spec.name)
 
     def _merge(self, spec: TableSpec, numbered: bool) -> None:
         seed = self._read("preseed", spec.name)
-        src = self._sources(spec)
-        live, _, judged = M.merge_seed_wins(src, seed, spec)
-        live.write.mode("overwrite").parquet(self._path("merged", spec.name))
-        M.merge_overridden(judged).write.mode("overwrite").parquet(self._path("overridden", spec.name))
-        written = self._read("merged", spec.name)
+        if numbered:
+            rows = M.with_idmaps(self._read("numbered", spec.name), spec, self._maps(spec), [spec.source_of(k) for k in spec.key])
+            added = M.stored_rows(rows, spec)
+        else:
+            judged = M.judge(self._sources(spec), seed, spec)
+            added = M.appended_rows(judged, seed)
+        # the inserted rows are written once: the live table, the id map and the counts read them
+        added = self._write(added, "appended", spec.name)
+        live = seed.unionByName(added.drop("_old_id"), allowMissingColumns=True)
+        self._write(M.overridden_counts(self.staging[spec.name], added, spec), "overridden", spec.name)
         if spec.archived:
             key = [spec.surrogate_pk] if spec.surrogate_pk else list(spec.key)
-            written = M.archived_backfill(written, seed, src, spec, key)
-        written.write.mode("overwrite").parquet(self._path("live", spec.name))
+            live = M.archived_backfill(live, seed, self._sources(spec), spec, key)
+        live = self._write(live, "live", spec.name)
         if spec.surrogate_pk and not numbered:
-            (M.idmap_twins(src, self._read("live", spec.name), spec).write.mode("overwrite")
-             .parquet(self._path("idmap", spec.name)))
+            ids = added.select(F.col("_old_id").alias("old_id"), F.col(spec.surrogate_pk).alias("new_id"))
+            self._write(M.merge_idmap(judged, ids, seed, live), "idmap", spec.name)
 
     def verify(self) -> DataFrame:
         """(table_name, item, rows): values that did not arrive, by table and claim."""
@@ -191,9 +205,10 @@ class Migration:
         if spec.cls is TableClass.MERGE:
             preseed = self._read("preseed", spec.name)
             idmap = self._read("idmap", spec.name) if spec.surrogate_pk else None
-            rows = P.merge_parity(src, live, preseed, idmap, spec).select(F.lit(spec.name).alias("table_name"), F.col("claim").alias("item"), "rows")
-            rows = rows.unionByName(counted(P.appended_missing(src, live, preseed, idmap, spec), "appended and there"))
-            rows = rows.unionByName(self._counted_rows(P.merge_row_parity(src, live, spec)))
+            rows = P.merge_parity(src, live, preseed, idmap, spec, missing=True).select(F.lit(spec.name).alias("table_name"), F.col("claim").alias("item"), "rows")
+            # keys that hold no reference are read without the id maps
+            bare = src if {*spec.fk_remap, *spec.value_exprs} & set(spec.merge_keys) else self.staging[spec.name]
+            rows = rows.unionByName(self._counted_rows(P.merge_row_parity(bare, live, spec)))
             if spec.archived:
                 rows = rows.unionByName(self._archived_values(P.archived_column_parity(src, live, preseed, spec), spec))
             return rows

@@ -168,7 +168,8 @@ class Preflight:
 
     def findings(self) -> DataFrame:
         """Every check that found something: (finding_id, severity, table_name, column_name, rows, accept)."""
-        tallies, checks = self.tallies(), self._as_frame(self.checks)
+        # a row per check of the mapping, however large the tables are
+        tallies, checks = self.tallies(), F.broadcast(self._as_frame(self.checks))
         at = ["table_name", "kind"]
         listed = F.col("finding_id")
         found = tallies.join(checks, at)
@@ -180,7 +181,7 @@ class Preflight:
         out = [f.groupBy(*at).agg(F.sum("rows").alias("rows")).join(checks, at) for f in (simple, repeats, lost)]
         names = found.where(listed == "ambiguous-file-name").groupBy(*at, F.substring_index("value", "/", -1).alias("name")).agg(F.count(F.lit(1)).alias("paths"))
         out.append(names.where("paths > 1").groupBy(*at).agg(F.count(F.lit(1)).alias("rows")).join(checks, at))
-        missing = checks.where(listed == "required-rows-missing").join(tallies.select(*at), at, "left_anti")
+        missing = checks.where(listed == "required-rows-missing").join(tallies.select(*at).distinct(), at, "left_anti")
         out.append(missing.withColumn("rows", F.lit(1).cast("bigint")))
         return K.findings([*[f.select(*K.FINDING) for f in out], *self._of_metadata(tallies.where("kind = 'rows'").select("table_name", "rows"))])
 

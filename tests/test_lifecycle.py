@@ -262,3 +262,30 @@ def test_not_checked_is_not_passed(spark, tmp_path):
     verified = m.verify()
     assert [(r["item"], r["rows"]) for r in verified.collect()] == [("not checked: rewritten on purpose (renumbering)", None)]
     assert m.report(verified).where("section = 'not checked'").first()["item"] == "t: not checked: rewritten on purpose (renumbering)"
+
+
+@pytest.mark.parametrize("exclude", [None, lambda: F.col("id") == 3])
+def test_a_merge_numbers_its_rows_once(spark, tmp_path, monkeypatch, exclude):
+    """Twins of all kinds keep the map of :func:`idmap_twins`; a table in a circle is judged and numbered once."""
+    from carryover.operators import merge as M
+
+    calls = []
+    for name in ("judge", "with_ordinal"):
+        monkeypatch.setattr(M, name, lambda *a, plain=getattr(M, name), name=name, **b: calls.append(name) or plain(*a, **b))
+    schema = "id bigint, code string, up bigint"
+    alone = TableSpec("t", TableClass.MERGE, columns={"id": ColumnInfo("bigint"), "code": ColumnInfo("varchar", length=5, collation="ci"), "up": ColumnInfo("bigint")},
+                      key=("id",), merge_keys=("code",), surrogate_pk="id", merge_exclude=exclude)
+    codes = ["a", "B", "b", "A ", None, "n", "n", None, "a", "z"]
+    src = spark.createDataFrame([(i + 1, c, 9 - i) for i, c in enumerate(codes)], schema)
+    seed = spark.createDataFrame([(90, "A", None), (70, "a", 1), (80, "n", None)], schema)
+    for spec in (alone, replace(alone, fk_remap={"up": "t"})):
+        calls.clear()
+        m = Migration(spark, {"t": src}, {"t": seed}, [spec], str(tmp_path / str(len(spec.fk_remap))))
+        m.apply()
+        assert calls == ["judge", "with_ordinal"]
+        live = m._read("live", "t")
+        assert sorted(map(tuple, m._read("idmap", "t").collect())) == sorted(map(tuple, M.idmap_twins(src, live, alone).collect()))
+        left = [i for i, c in enumerate(codes, 1) if (c or "").strip().lower() not in ("a", "n") and not (exclude and i == 3)]
+        assert sorted(r.id for r in live.select("id").collect()) == [70, 80, 90, *range(91, 91 + len(left))] and wrong(m) == {}
+        plain = M.merge_overridden(M.judge(src, seed, alone)).first().asDict()
+        assert m._read("overridden", "t").first().asDict() == plain
