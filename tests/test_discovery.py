@@ -191,3 +191,27 @@ def test_live_tail_restarts_in_the_middle(spark, tmp_path, monkeypatch):
     assert tail.last_lines_of(spark, out, 30).count() == 30
     with pytest.raises(ValueError):
         tail.last_lines_stream(spark.readStream.schema("pos bigint, value string").parquet(log), out, checkpoint, position="pos", n=0)
+
+
+def test_large_tables_are_counted_once_and_dealt(spark, monkeypatch):
+    """Rows as a whole are not counted when few sets are left; what is counted is dealt before it is counted."""
+    monkeypatch.setattr(K, "FIRST", 200)
+    monkeypatch.setattr(K, "SLICE", 1000)
+    monkeypatch.setattr(K, "DEALT", 3000, raising=False)
+    counted, plans = [], []
+    count, written = K._Repeats.count, K.materialise
+    monkeypatch.setattr(K._Repeats, "count", lambda self, sets, keep: counted.extend(sets) or count(self, sets, keep))
+    monkeypatch.setattr(K, "materialise", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or written(df, name))
+    draw = random.Random(6)
+    names = list("abcdef")
+    rows = [(i // 4, i % 4, *(draw.randrange(n) for n in (50, 40, 30, 11))) for i in range(9000)]
+    df = spark.createDataFrame(rows, names).repartition(3)
+    assert set(K.minimal_keys(df, 2)[1]) == brute_keys(rows, names, 2) == {("a", "b")}
+    assert counted and all(len(s) <= 2 for s in counted)
+    assert plans and all("REPARTITION_BY_NUM" in plan for name, plan in plans if name == "repeats")
+    # a row that repeats as a whole, which slices may miss: found before many sets are counted, and by counting few
+    repeated = df.unionByName(df.where("a = 77 AND b = 1"))
+    for few in (0, 8):
+        counted.clear()
+        monkeypatch.setattr(K, "FEW", few, raising=False)
+        assert K.minimal_keys(repeated, 4)[1] == [] and (few or ("_0", "_1", "_2", "_3", "_4", "_5") in counted)
