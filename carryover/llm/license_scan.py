@@ -98,6 +98,10 @@ def _neighbours(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+# Windows of a run of which all templates are bounded at once.
+SHORT = 2000
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, list[str]], threshold: float):
         names = [(name, text) for name, texts in templates.items() for text in texts]
@@ -158,7 +162,11 @@ class Scanner:
 
         distinct = counted(np.ones(len(part), bool))
         low, high = np.searchsorted(self.sizes, [self.part * distinct.min() - 1e-9, distinct.max() / self.part + 1e-9])
-        for t in range(low, high):
+        templates = np.arange(low, high)
+        if windows < SHORT:  # no window holds more of a template than the run does, which rules most of them out
+            held = self.holds[low:high][:, spot].sum(axis=1)
+            templates = templates[2 * held >= self.threshold * (distinct.min() + self.sizes[low:high]) - 1e-9]
+        for t in templates.tolist():
             dice = 2 * counted(self.holds[t, spot]) / (distinct + self.sizes[t])
             hit = np.flatnonzero(dice >= self.threshold)
             if len(hit):

@@ -108,3 +108,29 @@ def test_odd_rows(spark):
     rows = [(None, None, 1), (1, "Released under the MIT License.", 1), (1, "Released under the MIT License.", 1), (2, "x " * 300000 + "\nreleased UNDER the mit license", 1)]
     got = S.license_scan(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.doc_id), r.licenses, r.best_license, r.best_dice) for r in got) == [("1", "MIT", "MIT", 1.0), ("1", "MIT", "MIT", 1.0), ("2", "MIT", "MIT", 1.0), ("None", "", None, 0.0)]
+
+
+def test_few_templates_are_measured_on_short_runs(monkeypatch):
+    """Bounds leave the result as it is, and little to do on a text that is nothing but licences."""
+    import numpy as np
+
+    five = "\n\n".join(S.TEMPLATES[n][-1] for n in ("MIT", "ISC", "BSD", "Apache-2.0", "AGPL"))
+    texts = pa.array([five * 3, five.replace("the ", "a ") + "\nReleased under the MIT License, or so.\n", "No licence here at all, only some words.", None])
+
+    class Counted(np.ndarray):
+        taken = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, tuple) and len(at) == 2 and np.isscalar(at[0]):
+                Counted.taken += 1
+            return np.asarray(super().__getitem__(at)) if isinstance(at, tuple) else super().__getitem__(at)
+
+    results, taken = [], []
+    for short in (0, 2000):
+        monkeypatch.setattr(S, "SHORT", short)
+        scanner = S.Scanner(S.TEMPLATES, 0.8)
+        scanner.holds = scanner.holds.view(Counted)
+        Counted.taken = 0
+        results.append(scanner.scan(texts))
+        taken.append(Counted.taken)
+    assert results[0] == results[1] and results[0][0] and taken[1] < taken[0] / 2
