@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from carryover import session
 from carryover.operators import ranges as R
 from carryover.operators.parity import mismatch_keys
 from carryover.operators.rules import prefix_join
@@ -215,3 +216,31 @@ def test_large_tables_are_counted_once_and_dealt(spark, monkeypatch):
         counted.clear()
         monkeypatch.setattr(K, "FEW", few, raising=False)
         assert K.minimal_keys(repeated, 4)[1] == [] and (few or ("_0", "_1", "_2", "_3", "_4", "_5") in counted)
+
+
+def test_repeats_of_large_tables_stay_small(spark, monkeypatch, tmp_path):
+    """Shuffles hold one set of a large table and go when they were read; repeating rows are not found by a shuffle of the table."""
+    monkeypatch.setattr(K, "FIRST", 300)
+    monkeypatch.setattr(K, "SLICE", 4000)
+    monkeypatch.setattr(K, "DEALT", 8_000)
+    monkeypatch.setattr(K, "ENTRIES", 16_000, raising=False)
+    plans, written = [], K.materialise
+    monkeypatch.setattr(K, "materialise", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString(), df._jdf.queryExecution().shuffleCleanupMode().toString())) or written(df, name))
+    draw = random.Random(7)
+    names = list("abcdefgh")
+    rows = [(i // 4, draw.randrange(2000), *(draw.randrange(n) for n in (900, 50, 40, 30, 11)), f"text {draw.randrange(9)}") for i in range(16_000)]
+    df = spark.createDataFrame(rows, names).repartition(3)
+    want = brute_keys(rows, names, 4)
+    for found in (1_000_000, 300):  # with few hashes to a scan the repeats of a set lie in several parts
+        monkeypatch.setattr(K, "FOUND", found, raising=False)
+        plans.clear()
+        keys = {tuple(r.key_columns) for r in K.key_candidates(spark, {"t": df}).collect()}
+        assert keys == want and any(len(k) > 3 for k in keys)
+        assert {"repeats", "repeated"} <= {name for name, _, _ in plans}
+        assert all("RemoveShuffleFiles" in mode for *_, mode in plans)
+        # one set at a time: no row is multiplied before it is dealt
+        assert not any("Generate" in plan for name, plan, _ in plans if name == "repeats")
+        assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for name, plan, _ in plans if name == "repeated")
+    assert spark.conf.get(session.REMOVAL) == "false"
+    # a table that is no larger than a slice or two is not cut
+    assert set(K.minimal_keys(df.where("a < 1200"), 2)[1]) == brute_keys(rows[:4800], names, 2)
