@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +14,12 @@ from carryover.operators import ranges as R
 from carryover.operators.parity import mismatch_keys
 from carryover.operators.rules import prefix_join
 from carryover.sources import keys as K
+from carryover.sources.catalog import catalog_profile
 from carryover.spec import ColumnInfo, TableSpec
 from carryover.streaming import tail
+from tools import check
+from workload import ORACLES, QUERIES
+from workload.roles import BASE
 
 
 def brute_keys(rows, names, longest):
@@ -244,3 +249,41 @@ def test_repeats_of_large_tables_stay_small(spark, monkeypatch, tmp_path):
     assert spark.conf.get(session.REMOVAL) == "false"
     # a table that is no larger than a slice or two is not cut
     assert set(K.minimal_keys(df.where("a < 1200"), 2)[1]) == brute_keys(rows[:4800], names, 2)
+
+
+def test_preferred_key_of_any_length(spark):
+    """Where no key has up to four columns the search goes on; a profile shows the key."""
+    names = list("abcdef")
+    rows = [tuple(i >> k & 1 for k in range(5)) + (0,) for i in range(32)]
+    tables = {"long": spark.createDataFrame(rows, names), "twice": spark.createDataFrame(rows + rows[:1], names),
+              "short": spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], names)}
+    assert {r.table_name for r in K.key_candidates(spark, tables).collect()} == {"short"}
+    keys = K.key_candidates(spark, tables, onward=True)
+    assert {(r.table_name, tuple(r.key_columns)) for r in keys.collect()} == {("long", tuple("abcde")), ("short", ("a",))}
+    placed = K.with_key_positions(catalog_profile(tables), keys).where("key_position IS NOT NULL").collect()
+    assert {(r.table_name, r.column_name, r.key_position) for r in placed} == {("short", "a", 1), *(("long", c, i) for i, c in enumerate("abcde", 1))}
+
+
+def test_catalog_keys_are_of_any_length(spark, tmp_path):
+    """The query shows a key of three and one of six columns, and its SQL agrees."""
+    def written(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    given = "/root/testdata/sf0.001"
+    for name in BASE:
+        schema = spark.read.parquet(f"{given}/{name}.parquet").schema
+        if name == "conversations":  # no one or two of conv_id, turn and role tell rows apart, text is the same
+            written(name, [(i % 2, i // 2 % 2, "ab"[i // 4], "same") for i in range(8)], schema)
+        elif name == "part":
+            written(name, [(i & 1, f"n{i >> 1 & 1}", f"b{i >> 2 & 1}", f"t{i >> 3 & 1}", i >> 4 & 1, float(i >> 5 & 1)) for i in range(64)], schema)
+        else:
+            spark.read.parquet(f"{given}/{name}.parquet").limit(60).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.table_name, r.column_name): r.key_position for r in QUERIES["catalog_keys"](spark, str(tmp_path)).collect()}
+    assert [got["conversations", c] for c in ("conv_id", "turn", "role", "text")] == [1, 2, 3, None]
+    assert sorted(v for (t, _), v in got.items() if t == "part") == [1, 2, 3, 4, 5, 6]
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in BASE:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    ok, why, _, _ = check.compare(spark, con, str(tmp_path), "catalog_keys", QUERIES["catalog_keys"], ORACLES["catalog_keys"])
+    assert ok, why
